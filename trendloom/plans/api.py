@@ -99,3 +99,21 @@ def register_sql_functions(spark: SparkSession) -> None:
         body = f"replace({body}, '{search}', '{repl}')"
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_terms(text STRING) "
               f"RETURNS STRING RETURN {body}")
+
+
+def refresh(stories: DataFrame, comments: DataFrame, dictionary, root: str) -> dict[str, str]:
+    """U3 (T7 + T8 + S6): rebuild both fact tables in full under ``root``.
+
+    One pass over each corpus (not one probe per keyword); each write is a
+    map-only match stage followed by a rebalance on ``word`` so that a hot
+    word is spread over several files.  Overwrite semantics make a rerun
+    idempotent: refresh twice = refresh once.
+    """
+    from ..operators.matching import comment_postings, story_postings
+    from ..sources.tables import write_table
+
+    paths = {"keywords": f"{root.rstrip('/')}/keywords",
+             "hiring_keywords": f"{root.rstrip('/')}/hiring_keywords"}
+    write_table(story_postings(stories, dictionary), paths["keywords"], "keywords")
+    write_table(comment_postings(comments, dictionary), paths["hiring_keywords"], "hiring_keywords")
+    return paths

@@ -179,3 +179,17 @@ def trend_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact side of the large trend input: (l_partkey, year_month) per lineitem."""
     li = read(spark, sf_dir, "lineitem")
     return li.select("l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("year_month"))
+
+
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Story and comment hits of one search stream, tagged as the API tags them."""
+    from .. import schema
+
+    def full(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns
+                           else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in schema.HIT.fields])
+
+    comments = comment_hits(spark, sf_dir).withColumn(
+        "_tags", F.array(F.lit("comment"), F.concat(F.lit("story_"), F.col("story_id"))))
+    return full(story_hits(spark, sf_dir)).unionByName(full(comments))
