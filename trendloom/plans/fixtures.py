@@ -100,7 +100,12 @@ def _thread_day(turn_offset=None) -> F.Column:
 
 def hiring_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments: the comment's own day is the thread's day + its turn."""
-    cv = read(spark, sf_dir, "conversations").where(F.col("turn") > 0)
+    return hiring_comments_of(read(spark, sf_dir, "conversations"))
+
+
+def hiring_comments_of(conversations: DataFrame) -> DataFrame:
+    """The comment view over a conversations DataFrame (batch or streaming)."""
+    cv = conversations.where(F.col("turn") > 0)
     conv = F.col("conv_id").cast("string")
     created = iso_utc(_thread_day(F.col("turn")).cast("timestamp_ntz"))
     storyid = F.concat(conv, F.lit("-0"))

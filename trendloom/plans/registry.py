@@ -329,6 +329,52 @@ def q5_submission_samples(spark, sf_dir):
                                   order=F.md5("objectid"), url_prefix=fx.ITEM_URL_PREFIX)
 
 
+# ---- streaming -------------------------------------------------------------------
+
+STREAM_TIMEOUT_S = 1800
+
+
+def _run(query) -> None:
+    query.awaitTermination(STREAM_TIMEOUT_S)
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def r1_stream_ingest(spark, sf_dir):
+    """The events stream ingested once per event_id into an append-only sink."""
+    from ..session import scratch_path
+    from ..streaming.streams import ingest_stream, stream_table
+    root = scratch_path(spark, "r1")
+    ev = stream_table(spark, sf_dir, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    _run(ingest_stream(ev, f"{root}/sink", f"{root}/checkpoint", ["event_id"], "event_time"))
+    return spark.read.parquet(f"{root}/sink")
+
+
+def r2_stream_postings(spark, sf_dir):
+    """R2: comment postings computed on the conversations stream."""
+    from ..session import scratch_path
+    from ..streaming.streams import postings_stream, stream_table
+    root = scratch_path(spark, "r2")
+    comments = fx.hiring_comments_of(stream_table(spark, sf_dir, "conversations"))
+    _run(postings_stream(comments, fx.doc_dictionary(), f"{root}/sink", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/sink").select("word", "objectid", "year_month")
+
+
+def r3_stream_window_counts(spark, sf_dir):
+    """Daily (window, word) counts of the comment postings stream."""
+    from ..session import scratch_path
+    from ..streaming.streams import latest_counts, stream_table, windowed_counts_stream
+    root = scratch_path(spark, "r3")
+    comments = fx.hiring_comments_of(stream_table(spark, sf_dir, "conversations"))
+    facts = matching.postings(comments, "comment_text", ("objectid", "created_date"),
+                              fx.doc_dictionary(), hiring_only=True)
+    facts = facts.withColumn("event_time", F.to_timestamp("created_date"))
+    _run(windowed_counts_stream(facts, "event_time", f"{root}/sink", f"{root}/checkpoint"))
+    out = latest_counts(spark, f"{root}/sink")
+    return out.select(F.date_from_unix_date((F.col("window_start_s") / 86400).cast("int")).alias("day"),
+                      "word", "n")
+
+
 def queries() -> dict[str, Query]:
     return {
         "q4_submission_trend": q4_submission_trend,
@@ -371,6 +417,9 @@ def queries() -> dict[str, Query]:
         "a7_key_uniqueness": a7_key_uniqueness,
         "a8_constraint_audit": a8_constraint_audit,
         "q5_submission_samples": q5_submission_samples,
+        "r1_stream_ingest": r1_stream_ingest,
+        "r2_stream_postings": r2_stream_postings,
+        "r3_stream_window_counts": r3_stream_window_counts,
     }
 
 
@@ -530,4 +579,11 @@ def oracle_sql() -> dict[str, str]:
         "q5_submission_samples": (f"SELECT title, objectid, CAST(substr(submission_date, 1, 10) AS DATE) AS submission_date, "
                                   f"{osql.q(fx.ITEM_URL_PREFIX)} || objectid AS url FROM ({_doc_postings_sql()}) k "
                                   f"WHERE word = {osql.q(Q5_WORD)} AND year_month = {osql.q(Q5_PERIOD)} ORDER BY md5(objectid) LIMIT 5"),
+        "r1_stream_ingest": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+        "r2_stream_postings": _comment_postings_sql(),
+        "r3_stream_window_counts": (
+            "SELECT CAST(substr(created_date, 1, 10) AS DATE) AS day, word, count(*) AS n FROM ("
+            + osql.postings_sql(osql.HIRING_COMMENTS, ["objectid"], "comment_text", fx.doc_dictionary(),
+                                hiring_only=True, extra=["created_date"])
+            + ") k GROUP BY 1, 2"),
     }
