@@ -21,6 +21,10 @@ the dictionary is folded in as a literal map, so matching is a map-only stage.
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,26 +134,24 @@ def unescape_html(text: Column | str) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-_ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_ENTITY_RE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+
+
+def _unescape_one(value: str | None) -> str:
+    if value is None:
+        return ""
+    return _ENTITY_RE.sub(lambda m: html.unescape(m.group(0)), value)
 
 
-def _unescape_series(s):
-    import html
-    import re
-    pattern = re.compile(_ENTITY_RE)
-    return s.map(lambda v: "" if v is None else pattern.sub(lambda m: html.unescape(m.group(0)), v))
+def _unescape_batch(s: pd.Series) -> pd.Series:
+    return s.map(_unescape_one)
 
 
 def unescape_html_full(text: Column | str) -> Column:
     """P3 (full): every ``;``-terminated named or numeric reference, one pass.
 
-    An Arrow-batched pandas UDF (html's entity table is not a Spark function);
-    references without ``;`` are left alone (strict mode).  NULL -> ''.
+    An Arrow-batched pandas UDF (the HTML5 entity table is not a Spark
+    function); references without ``;`` are left alone (strict mode).
+    NULL -> ''.
     """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def _unescape(s: pd.Series) -> pd.Series:
-        return _unescape_series(s)
-
-    return _unescape(_col(text))
+    return F.pandas_udf(_unescape_batch, "string")(_col(text))

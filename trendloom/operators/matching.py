@@ -41,13 +41,14 @@ def postings(docs: DataFrame, text_col: str, keep: tuple[str, ...],
     return matched.join(F.broadcast(vocab), "canonical").select("word", *keep)
 
 
-def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...], key: tuple[str, ...],
+def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
                      keyword_list: DataFrame, synonyms: DataFrame,
                      hiring_only: bool = False) -> DataFrame:
     """Same result as :func:`postings` for a dictionary too large to fold into a
     column expression: the distinct chunks of each document are joined to the
     synonym table (broadcast only if Spark's size check allows), compound parts
-    to the canonical words, and the union is de-duplicated per (key, word)."""
+    to the canonical words, and the union is de-duplicated per (word, document)
+    (``keep`` columns depend on the document only)."""
     vocab = effective_vocabulary(keyword_list, synonyms)
     if hiring_only:
         vocab = vocab.where(F.col("include_hiring"))
@@ -60,8 +61,7 @@ def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...], key:
              .select(*keep, F.explode(F.split("chunk", PART_SEPARATOR)).alias("canonical"))
              .join(canon, "canonical", "left_semi"))
     matched = whole.unionByName(parts.select(*keep, "canonical"))
-    return (matched.join(vocab, "canonical").select("word", *keep)
-            .dropDuplicates(["word", *key]))
+    return matched.join(vocab, "canonical").select("word", *keep).distinct()
 
 
 def story_postings(stories: DataFrame, dictionary: Dictionary) -> DataFrame:
