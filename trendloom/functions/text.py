@@ -79,22 +79,38 @@ def _array_literal(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def match_words(text: Column | str, synonyms: dict[str, str]) -> Column:
-    """Distinct canonical words matched in ``text`` (array<string>).
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-element
+    ``transform``), so an expensive input used twice is not computed twice."""
+    return F.transform(F.array(value), body).getItem(0)
 
-    ``synonyms`` is a bounded token -> canonical dictionary.  NULL text gives a
-    NULL array (no rows after ``explode``); text without matches an empty one.
+
+def match_from_chunks(words: Column, synonyms: dict[str, str]) -> Column:
+    """T3-T5 on an array of plain chunks (see :func:`plain_chunks`).
+
+    Dictionary look-ups are set intersections with literal arrays
+    (``array_intersect``: generated code over a hash set), so only the few
+    chunks that are dictionary tokens reach the map look-up.
     """
-    words = plain_chunks(text)
     syn = _map_literal(synonyms)
+    tokens = _array_literal(synonyms.keys())
     canon = _array_literal(synonyms.values())
-    whole = F.array_compact(F.transform(words, lambda c: F.try_element_at(syn, c)))
-    parts = F.flatten(F.transform(
-        F.filter(words, lambda c: c.contains("-")),
-        lambda c: F.filter(F.split(c, PART_SEPARATOR), lambda p: F.array_contains(canon, p))))
+    whole = F.transform(F.array_intersect(words, tokens), lambda c: F.element_at(syn, c))
+    compounds = F.filter(words, lambda c: c.contains("-"))
+    parts = F.array_intersect(
+        F.flatten(F.transform(compounds, lambda c: F.split(c, PART_SEPARATOR))), canon)
     return F.array_distinct(F.concat(whole, parts))
 
 
+def match_words(text: Column | str, synonyms: dict[str, str]) -> Column:
+    """Distinct canonical words matched in ``text`` (array<string>).
+
+    ``synonyms`` is a bounded token -> canonical dictionary.  NULL text gives a
+    NULL array (no rows after ``explode``); text without matches an empty one.
+    """
+    return _let(plain_chunks(text), lambda words: match_from_chunks(words, synonyms))
+
+
 def contains_word(text: Column | str, word: str, synonyms: dict[str, str]) -> Column:
     """does ``text`` match the (single-word) query ``word``?
 

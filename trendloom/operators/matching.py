@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PART_SEPARATOR, match_words, plain_chunks
+from ..functions.text import PART_SEPARATOR, match_from_chunks, plain_chunks
 from ..sources.dictionary import Dictionary, effective_vocabulary
+from .partitioning import spread
 
 STORY_POSTING_COLUMNS = ("objectid", "submission_date", "title", "year_month")
 COMMENT_POSTING_COLUMNS = ("objectid", "year_month")
@@ -31,12 +32,27 @@ def vocabulary_frame(spark, dictionary: Dictionary, hiring_only: bool = False) -
     return spark.createDataFrame(rows, "word string, canonical string")
 
 
+def _chunked(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, _chunks): the plain chunks of each document, computed once.
+
+    Inputs with fewer partitions than cores are spread on their id (the first
+    ``keep`` column) first; tokenising is the CPU-heavy step.
+    """
+    if not docs.isStreaming:
+        docs = spread(docs, keep[0])
+    return docs.select(*keep, plain_chunks(text_col).alias("_chunks"))
+
+
 def postings(docs: DataFrame, text_col: str, keep: tuple[str, ...],
              dictionary: Dictionary, hiring_only: bool = False) -> DataFrame:
-    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``."""
+    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``.
+
+    ``keep[0]`` should identify the document (it is the spreading key).
+    """
     d = dictionary.restricted(hiring_only)
     vocab = vocabulary_frame(docs.sparkSession, d, hiring_only)
-    matched = docs.select(*keep, F.explode(match_words(text_col, d.synonyms)).alias("canonical"))
+    matched = _chunked(docs, text_col, keep).select(
+        *keep, F.explode(match_from_chunks(F.col("_chunks"), d.synonyms)).alias("canonical"))
     # vocab is bounded by the dictionary size check -> safe to broadcast
     return matched.join(F.broadcast(vocab), "canonical").select("word", *keep)
 
@@ -77,4 +93,5 @@ def comment_postings(comments: DataFrame, dictionary: Dictionary) -> DataFrame:
 def match_set(docs: DataFrame, text_col: str, keep: tuple[str, ...],
               synonyms: dict[str, str]) -> DataFrame:
     """T5 long form: (*keep, word) for each distinct canonical word of a document."""
-    return docs.select(*keep, F.explode(match_words(text_col, synonyms)).alias("word"))
+    return _chunked(docs, text_col, keep).select(
+        *keep, F.explode(match_from_chunks(F.col("_chunks"), synonyms)).alias("word"))
