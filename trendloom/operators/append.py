@@ -4,8 +4,8 @@ Rows whose key already exists are dropped (the existing row wins); inside one
 batch the first row per key wins, "first" being the smallest ``order`` — a
 deterministic choice where Spark's ``dropDuplicates`` would keep an arbitrary
 row.  Both steps are shuffles on the key: the de-duplication aggregates
-partially before its exchange (``min_by`` is a partial aggregate, so a hot key
-is combined map-side), and the conflict check is an anti join that AQE turns
+partially before its exchange (``min`` of a struct is a partial aggregate, so
+a hot key is combined map-side), and the conflict check is an anti join that AQE turns
 into a broadcast when the existing side is small and splits when a key is skewed.
 """
 
@@ -20,14 +20,21 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str] | None = None)
     others = [c for c in df.columns if c not in key]
     if not others:
         return df.select(*key).distinct()
-    order = order or df.columns
-    picked = (df.groupBy(*key)
-              .agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row")))
+    # min over one struct (order columns first, then the rest) = the row with
+    # the smallest ``order``, ties broken by the remaining columns
+    order = [c for c in (order or others) if c not in key]
+    fields = order + [c for c in others if c not in order]
+    picked = df.groupBy(*key).agg(F.min(F.struct(*fields)).alias("_row"))
     return picked.select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
                order: list[str] | None = None) -> DataFrame:
-    """The rows of ``incoming`` to append to ``existing``."""
-    fresh = first_per_key(incoming, key, order)
-    return fresh.join(existing.select(*key), key, "left_anti")
+    """The rows of ``incoming`` to append to ``existing``.
+
+    The conflict check runs first: a row whose key exists is dropped whatever
+    its rank in the batch, so the (sort-based) first-per-key step only sees
+    the new keys — on a replayed batch, almost nothing.
+    """
+    fresh = incoming.join(existing.select(*key), key, "left_anti")
+    return first_per_key(fresh, key, order)

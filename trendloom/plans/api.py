@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import item_url, to_day
+from ..functions.dates import current_period, item_url, to_day
 from ..functions.predicates import author_in, not_excluded, title_prefix
 from ..functions.text import TERM_REPLACEMENTS
 from ..operators import aggregate as agg
@@ -66,6 +66,8 @@ def hiring_trend(hiring_keywords: DataFrame, keywords: str | Iterable[str],
                  keep_empty: bool = True) -> DataFrame:
     """Q3 (P10 + F5 + A3 + A6): words -> wide monthly matrix of comment matches."""
     words = agg.parse_words(keywords)
+    if keep_empty:
+        return agg.wide_counts(hiring_keywords, words, "objectid")
     counts = agg.hiring_word_counts(hiring_keywords, words)
     return agg.trend_matrix(counts, words, "num_occurences", keep_empty)
 
@@ -75,6 +77,9 @@ def submission_trend(keywords: DataFrame, words: str | Iterable[str],
                      keep_empty: bool = True) -> DataFrame:
     """Q4 (P10 + F5 + F6 + A4 + A6): words -> wide monthly matrix of story matches."""
     ws = agg.parse_words(words)
+    if keep_empty:
+        return agg.wide_counts(keywords, ws, "title",
+                               where=F.col("year_month") != current_period(as_of))
     counts = agg.story_word_counts(keywords, ws, as_of)
     return agg.trend_matrix(counts, ws, "num_occurrences", keep_empty)
 

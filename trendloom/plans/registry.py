@@ -31,11 +31,15 @@ def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Tokenising runs on the part dimension (one row per part), not on every
     lineitem row; the lineitem side only contributes (partkey, month).  The
-    join strategy is left to the planner: broadcast while the part postings
-    are under the size threshold, sort-merge (with AQE skew splitting) beyond.
+    part postings are broadcast only when the part table is proven small;
+    beyond that the join is a shuffle join (AQE splits skewed part keys).
     """
-    words = matching.postings(fx.trend_parts(spark, sf_dir), "title",
-                              ("p_partkey", "title"), fx.part_dictionary())
+    from ..operators.partitioning import broadcast_if_bounded
+    parts = fx.trend_parts(spark, sf_dir)
+    d = fx.part_dictionary()
+    words = matching.postings(parts, "title", ("p_partkey", "title"), d)
+    # at most one posting per (part, keyword): bounded by the part table's rows
+    words = broadcast_if_bounded(words, parts.select("p_partkey"), per_row=len(d.keywords))
     li = fx.trend_periods(spark, sf_dir)
     return (li.join(words, li["l_partkey"] == words["p_partkey"])
             .select("word", "year_month", "title"))
