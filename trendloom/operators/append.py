@@ -29,12 +29,23 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str] | None = None)
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
-               order: list[str] | None = None) -> DataFrame:
+               order: list[str] | None = None, prune_on: str | None = None) -> DataFrame:
     """The rows of ``incoming`` to append to ``existing``.
 
     The conflict check runs first: a row whose key exists is dropped whatever
     its rank in the batch, so the (sort-based) first-per-key step only sees
     the new keys — on a replayed batch, almost nothing.
+
+    ``prune_on`` names a partition column of ``existing`` that is a function
+    of the key (e.g. the day of an item's immutable creation time).  The
+    conflicting keys are then found with a semi join on (partition, key), which
+    dynamic partition pruning restricts to the partitions the batch touches,
+    instead of scanning every key ever stored.
     """
-    fresh = incoming.join(existing.select(*key), key, "left_anti")
+    if prune_on is None:
+        fresh = incoming.join(existing.select(*key), key, "left_anti")
+    else:
+        cols = [prune_on, *key]
+        seen = existing.select(*cols).join(incoming.select(*cols), cols, "left_semi")
+        fresh = incoming.join(seen, cols, "left_anti")
     return first_per_key(fresh, key, order)

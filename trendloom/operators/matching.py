@@ -61,23 +61,30 @@ def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
                      keyword_list: DataFrame, synonyms: DataFrame,
                      hiring_only: bool = False) -> DataFrame:
     """Same result as :func:`postings` for a dictionary too large to fold into a
-    column expression: the distinct chunks of each document are joined to the
-    synonym table (broadcast only if Spark's size check allows), compound parts
-    to the canonical words, and the union is de-duplicated per (word, document)
-    (``keep`` columns depend on the document only)."""
+    column expression.
+
+    Only ``(id, chunk)`` pairs are exploded (``keep[0]`` is the document id;
+    the text is not carried along), joined to the synonym table and, for
+    compound parts, to the canonical words; the distinct (id, canonical)
+    matches are joined to the vocabulary and then back to the documents for
+    the ``keep`` columns.  Join strategies are left to the planner (broadcast
+    only under Spark's size threshold, AQE re-planning on measured sizes).
+    """
+    key = keep[0]
     vocab = effective_vocabulary(keyword_list, synonyms)
     if hiring_only:
         vocab = vocab.where(F.col("include_hiring"))
     vocab = vocab.select(F.col("keyword").alias("word"), "canonical")
-    tokens = docs.select(*keep, F.explode(F.array_distinct(plain_chunks(text_col))).alias("chunk"))
+    tokens = docs.select(key, F.explode(F.array_distinct(plain_chunks(text_col))).alias("chunk"))
     whole = (tokens.join(synonyms, tokens["chunk"] == synonyms["token"])
-             .select(*keep, "canonical"))
+             .select(key, "canonical"))
     canon = synonyms.select("canonical").distinct()
     parts = (tokens.where(F.col("chunk").contains("-"))
-             .select(*keep, F.explode(F.split("chunk", PART_SEPARATOR)).alias("canonical"))
+             .select(key, F.explode(F.split("chunk", PART_SEPARATOR)).alias("canonical"))
              .join(canon, "canonical", "left_semi"))
-    matched = whole.unionByName(parts.select(*keep, "canonical"))
-    return matched.join(vocab, "canonical").select("word", *keep).distinct()
+    matched = whole.unionByName(parts.select(key, "canonical")).distinct()
+    facts = matched.join(vocab, "canonical").select("word", key)
+    return facts.join(docs.select(*keep), key).select("word", *keep)
 
 
 def story_postings(stories: DataFrame, dictionary: Dictionary) -> DataFrame:

@@ -333,6 +333,27 @@ def q5_submission_samples(spark, sf_dir):
                                   order=F.md5("objectid"), url_prefix=fx.ITEM_URL_PREFIX)
 
 
+def j4_canonicalize_join(spark, sf_dir):
+    """J4/J2 for dictionaries too large for a map literal: chunks joined to the
+    synonym table, compound parts to the canonical words (same result as T7)."""
+    kw = spark.createDataFrame(sorted(fx.DOC_KEYWORDS.items()), "keyword string, include_hiring boolean")
+    syn = spark.createDataFrame(sorted(fx.DOC_SYNONYMS.items()), "token string, canonical string")
+    return matching.postings_by_join(fx.doc_stories(spark, sf_dir), "title",
+                                     matching.STORY_POSTING_COLUMNS, kw, syn)
+
+
+def t7_stories_postings(spark, sf_dir):
+    """T7 over the stories (titles such as ``building 1-URGENT``: compounds)."""
+    return story_keywords(spark, sf_dir)
+
+
+def p3_unescape_html_full(spark, sf_dir):
+    """P3, full entity set (Arrow-batched pandas UDF) over the whole pages."""
+    from ..functions.text import unescape_html_full
+    pages = fx.read(spark, sf_dir, "pages")
+    return pages.select("page_id", unescape_html_full("html").alias("text"))
+
+
 # ---- streaming -------------------------------------------------------------------
 
 STREAM_TIMEOUT_S = 1800
@@ -351,7 +372,8 @@ def r1_stream_ingest(spark, sf_dir):
     root = scratch_path(spark, "r1")
     ev = stream_table(spark, sf_dir, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
     _run(ingest_stream(ev, f"{root}/sink", f"{root}/checkpoint", ["event_id"], "event_time"))
-    return spark.read.parquet(f"{root}/sink")
+    return spark.read.parquet(f"{root}/sink").select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def r2_stream_postings(spark, sf_dir):
@@ -421,6 +443,9 @@ def queries() -> dict[str, Query]:
         "a7_key_uniqueness": a7_key_uniqueness,
         "a8_constraint_audit": a8_constraint_audit,
         "q5_submission_samples": q5_submission_samples,
+        "j4_canonicalize_join": j4_canonicalize_join,
+        "t7_stories_postings": t7_stories_postings,
+        "p3_unescape_html_full": p3_unescape_html_full,
         "r1_stream_ingest": r1_stream_ingest,
         "r2_stream_postings": r2_stream_postings,
         "r3_stream_window_counts": r3_stream_window_counts,
@@ -583,6 +608,9 @@ def oracle_sql() -> dict[str, str]:
         "q5_submission_samples": (f"SELECT title, objectid, CAST(substr(submission_date, 1, 10) AS DATE) AS submission_date, "
                                   f"{osql.q(fx.ITEM_URL_PREFIX)} || objectid AS url FROM ({_doc_postings_sql()}) k "
                                   f"WHERE word = {osql.q(Q5_WORD)} AND year_month = {osql.q(Q5_PERIOD)} ORDER BY md5(objectid) LIMIT 5"),
+        "j4_canonicalize_join": _doc_postings_sql(),
+        "t7_stories_postings": _story_postings_sql(),
+        "p3_unescape_html_full": f"SELECT page_id, {_unescape_sql('html')} AS text FROM pages",
         "r1_stream_ingest": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
         "r2_stream_postings": _comment_postings_sql(),
         "r3_stream_window_counts": (

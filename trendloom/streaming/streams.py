@@ -41,27 +41,42 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str,
 
 
 def _ensure_sink(spark: SparkSession, path: str, schema) -> None:
-    try:
-        spark.read.schema(schema).parquet(path).limit(0).collect()
-    except Exception:  # noqa: BLE001 - no sink yet: create it empty
+    """Create an empty sink once, so the first batch has a table to check against."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
 def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
                   event_time: str, watermark: str = "5 days",
-                  order: list[str] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append each new key once; ``event_time`` must be a TIMESTAMP column."""
+                  order: list[str] | None = None, available_now: bool = True,
+                  partition_col: str | None = "event_day") -> StreamingQuery:
+    """Append each new key once; ``event_time`` must be a TIMESTAMP column.
+
+    The sink is partitioned by the UTC day of ``event_time`` (``partition_col``);
+    a key's event time never changes, so the conflict check of a batch only
+    reads the days the batch touches (see ``append_new(prune_on=...)``).
+    """
     spark = stream.sparkSession
     out_cols = [c for c in stream.columns if c != event_time]
     deduped = (stream.withWatermark(event_time, watermark)
                .dropDuplicatesWithinWatermark(key))
-    sink_schema = stream.select(*out_cols).schema
+    if partition_col:
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col(event_time)) / 86400).cast("int"))
+        deduped = deduped.withColumn(partition_col, day)
+        out_cols = out_cols + [partition_col]
+    sink_schema = deduped.select(*out_cols).schema
     _ensure_sink(spark, sink, sink_schema)
 
     def _append(batch: DataFrame, batch_id: int) -> None:
         existing = batch.sparkSession.read.schema(sink_schema).parquet(sink)
-        fresh = append_new(existing, batch.select(*out_cols), key, order)
-        fresh.write.mode("append").parquet(sink)
+        fresh = append_new(existing, batch.select(*out_cols), key, order, prune_on=partition_col)
+        writer = fresh.write.mode("append")
+        if partition_col:
+            writer = writer.partitionBy(partition_col)
+        writer.parquet(sink)
 
     writer = deduped.writeStream.foreachBatch(_append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
