@@ -78,7 +78,11 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    return doc_stories_of(read(spark, sf_dir, "documents"))
+
+
+def doc_stories_of(d: DataFrame) -> DataFrame:
+    """The story view over a documents DataFrame."""
     day = _day(THREAD_EPOCH, F.col("doc_id") * 7 % 1800)
     sub = iso_utc(day.cast("timestamp_ntz"))
     return d.select(
