@@ -14,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Largest number of partition values a batch may touch for the conflict check
+# to be restricted to them.
+MAX_PRUNE_VALUES = 10_000
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """One row per key: the row with the smallest ``order`` (default: all columns)."""
@@ -38,14 +42,22 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
 
     ``prune_on`` names a partition column of ``existing`` that is a function
     of the key (e.g. the day of an item's immutable creation time).  The
-    conflicting keys are then found with a semi join on (partition, key), which
-    dynamic partition pruning restricts to the partitions the batch touches,
-    instead of scanning every key ever stored.
+    batch's distinct values of that column — a small set, fetched only up to
+    ``MAX_PRUNE_VALUES`` — become a partition filter on ``existing``, so the
+    conflict check reads only the partitions the batch touches instead of
+    every key ever stored.  Over the bound, no filter is applied (full check).
     """
     if prune_on is None:
         fresh = incoming.join(existing.select(*key), key, "left_anti")
     else:
         cols = [prune_on, *key]
-        seen = existing.select(*cols).join(incoming.select(*cols), cols, "left_semi")
-        fresh = incoming.join(seen, cols, "left_anti")
+        vals = [r[0] for r in incoming.select(prune_on).distinct()
+                .limit(MAX_PRUNE_VALUES + 1).collect()]
+        if len(vals) <= MAX_PRUNE_VALUES:
+            known = [v for v in vals if v is not None]
+            pred = F.col(prune_on).isin(known) if known else F.lit(False)
+            if len(known) < len(vals):
+                pred = pred | F.col(prune_on).isNull()
+            existing = existing.where(pred)
+        fresh = incoming.join(existing.select(*cols), cols, "left_anti")
     return first_per_key(fresh, key, order)

@@ -71,12 +71,21 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
     _ensure_sink(spark, sink, sink_schema)
 
     def _append(batch: DataFrame, batch_id: int) -> None:
-        existing = batch.sparkSession.read.schema(sink_schema).parquet(sink)
-        fresh = append_new(existing, batch.select(*out_cols), key, order, prune_on=partition_col)
-        writer = fresh.write.mode("append")
-        if partition_col:
-            writer = writer.partitionBy(partition_col)
-        writer.parquet(sink)
+        # the batch feeds two joins: keep it for the callback instead of
+        # re-running the source read and the stateful de-duplication
+        rows = batch.select(*out_cols).persist()
+        try:
+            if rows.isEmpty():   # e.g. the no-data batch a watermark advance triggers
+                return
+            existing = batch.sparkSession.read.schema(sink_schema).parquet(sink)
+            fresh = append_new(existing, rows, key, order, prune_on=partition_col)
+            if partition_col:
+                fresh = fresh.hint("rebalance", partition_col)
+                fresh.write.mode("append").partitionBy(partition_col).parquet(sink)
+            else:
+                fresh.write.mode("append").parquet(sink)
+        finally:
+            rows.unpersist()
 
     writer = deduped.writeStream.foreachBatch(_append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -108,6 +117,8 @@ def windowed_counts_stream(facts: DataFrame, event_time: str, sink: str, checkpo
               .agg(F.count(F.lit(1)).alias("n")))
 
     def _write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         (batch.select(F.unix_seconds(F.col("w.start")).alias("window_start_s"),
                       F.unix_seconds(F.col("w.end")).alias("window_end_s"),
                       "word", "n", F.lit(batch_id).cast("long").alias("batch_id"))
