@@ -7,12 +7,24 @@ from trendloom.plans import fixtures as fx
 from trendloom.plans import registry
 
 
+import contextlib
+import io
+
+
+def _explain(df, extended: bool) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(extended=extended)
+    return buf.getvalue()
+
+
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    return _explain(df, False)
 
 
 def optimized(df) -> str:
-    return df._jdf.queryExecution().optimizedPlan().toString()
+    text = _explain(df, True)
+    return text[text.index("== Optimized Logical Plan =="):text.index("== Physical Plan ==")]
 
 
 def test_matching_is_an_equi_join_not_a_cartesian_product(spark):

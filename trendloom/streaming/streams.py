@@ -17,6 +17,7 @@ All sinks and checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,10 +43,9 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str,
 
 def _ensure_sink(spark: SparkSession, path: str, schema) -> None:
     """Create an empty sink once, so the first batch has a table to check against."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    try:
+        spark.read.schema(schema).parquet(path).inputFiles()
+    except AnalysisException:  # PATH_NOT_FOUND: no sink yet
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
