@@ -170,3 +170,21 @@ def test_stream_ingest_restart_reads_nothing(spark):
     out = spark.read.parquet(f"{root}/sink")
     assert out.count() == fx.read(spark, SF_SMALL, "events").count()
     assert out.select("event_id").distinct().count() == out.count()
+
+
+def test_loaders_are_rerunnable(spark, tmp_dir):
+    from trendloom.plans.loader import load_stories, process_all_comments
+    from trendloom.sources.hits import write_hits
+    hits = f"{tmp_dir}/hits"
+    write_hits(fx.all_hits(spark, SF_SMALL), hits)
+    first = load_stories(spark, hits, f"{tmp_dir}/stories").count()
+    again = load_stories(spark, hits, f"{tmp_dir}/stories").count()
+    assert first == again == fx.stories(spark, SF_SMALL).count()
+    threads = fx.hiring_threads(spark, SF_SMALL)
+    args = dict(as_of=fx.THREAD_AS_OF, authors=["user"], prefix="", exclude=[])
+    c1 = process_all_comments(spark, hits, threads, f"{tmp_dir}/c", f"{tmp_dir}/log", **args).count()
+    c2 = process_all_comments(spark, hits, threads, f"{tmp_dir}/c", f"{tmp_dir}/log", **args).count()
+    assert c1 == c2 > 0
+    # every logged thread is settled, and the log has one row per thread
+    log = spark.read.parquet(f"{tmp_dir}/log")
+    assert log.count() == log.select("objectid").distinct().count()

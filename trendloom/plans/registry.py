@@ -354,6 +354,40 @@ def p3_unescape_html_full(spark, sf_dir):
     return pages.select("page_id", unescape_html_full("html").alias("text"))
 
 
+# ---- the recurring load -----------------------------------------------------------
+
+LOAD_EXISTING_BEFORE = "1998-01-01"
+
+
+def load_stories_run(spark, sf_dir):
+    """I1-I4 + S1 + P1 + S5 + S4: a stored table of the older stories, then one
+    ``latest`` load of all story and comment hits (JSON pages)."""
+    from ..plans.loader import load_stories
+    from ..session import scratch_path
+    from ..sources.hits import write_hits
+    from ..sources.tables import write_table
+    root = scratch_path(spark, "load")
+    s = fx.stories(spark, sf_dir)
+    write_table(s.where(F.col("submission_date") < LOAD_EXISTING_BEFORE), f"{root}/stories", "stories")
+    write_hits(fx.all_hits(spark, sf_dir), f"{root}/hits")
+    return load_stories(spark, f"{root}/hits", f"{root}/stories", "latest")
+
+
+def process_comments_run(spark, sf_dir):
+    """U2 + I6 + P2 + S5 + S7: comments of every settled, unprocessed thread
+    loaded from the hit files; threads created before 2021 are already logged."""
+    from ..plans.loader import process_all_comments
+    from ..session import scratch_path
+    from ..sources.hits import write_hits
+    from ..sources.tables import mark_processed
+    root = scratch_path(spark, "comments")
+    write_hits(fx.all_hits(spark, sf_dir), f"{root}/hits")
+    mark_processed(fx.thread_log(spark, sf_dir), f"{root}/log")
+    threads = fx.hiring_threads(spark, sf_dir)
+    return process_all_comments(spark, f"{root}/hits", threads, f"{root}/comments", f"{root}/log",
+                                fx.THREAD_AS_OF, authors=["user"], prefix="", exclude=[])
+
+
 # ---- streaming -------------------------------------------------------------------
 
 STREAM_TIMEOUT_S = 1800
@@ -443,6 +477,8 @@ def queries() -> dict[str, Query]:
         "a7_key_uniqueness": a7_key_uniqueness,
         "a8_constraint_audit": a8_constraint_audit,
         "q5_submission_samples": q5_submission_samples,
+        "i2_load_stories": load_stories_run,
+        "i6_process_all_comments": process_comments_run,
         "j4_canonicalize_join": j4_canonicalize_join,
         "t7_stories_postings": t7_stories_postings,
         "p3_unescape_html_full": p3_unescape_html_full,
@@ -608,6 +644,12 @@ def oracle_sql() -> dict[str, str]:
         "q5_submission_samples": (f"SELECT title, objectid, CAST(substr(submission_date, 1, 10) AS DATE) AS submission_date, "
                                   f"{osql.q(fx.ITEM_URL_PREFIX)} || objectid AS url FROM ({_doc_postings_sql()}) k "
                                   f"WHERE word = {osql.q(Q5_WORD)} AND year_month = {osql.q(Q5_PERIOD)} ORDER BY md5(objectid) LIMIT 5"),
+        "i2_load_stories": (_stories_where(f"submission_date < {osql.q(LOAD_EXISTING_BEFORE)}") + " UNION ALL "
+                            + _stories_where(f"created_at_i > (SELECT max(created_at_i) FROM ({osql.STORIES}) e "
+                                             f"WHERE submission_date < {osql.q(LOAD_EXISTING_BEFORE)})")),
+        "i6_process_all_comments": (f"SELECT * FROM ({osql.HIRING_COMMENTS}) c WHERE storyid IN (SELECT objectid FROM "
+                                    f"({osql.HIRING_THREADS}) t WHERE author = 'user' AND {_settled('submission_date', fx.THREAD_AS_OF)} "
+                                    f"AND submission_date >= {osql.q(fx.THREAD_LOG_BEFORE)})"),
         "j4_canonicalize_join": _doc_postings_sql(),
         "t7_stories_postings": _story_postings_sql(),
         "p3_unescape_html_full": f"SELECT page_id, {_unescape_sql('html')} AS text FROM pages",
