@@ -105,10 +105,19 @@ SCHEMAS = {
 }
 
 # Partition column of each stored table: facts by word (point lookups by word
-# prune to one folder), base tables by period.
+# prune to one folder), base tables by period.  Inside a partition, rows are
+# written sorted by SORT_COLUMNS so Parquet row-group min/max statistics skip
+# row groups for period filters (the product's (word, year_month) index).
 PARTITION_COLUMNS = {
     "stories": ["year_month"],
     "hiring_comments": ["year_month"],
     "keywords": ["word"],
     "hiring_keywords": ["word"],
 }
+
+SORT_COLUMNS = {
+    "stories": ["created_at_i"],
+    "hiring_comments": ["created_date"],
+    "keywords": ["year_month"],
+    "hiring_keywords": ["year_month"],
+}

@@ -45,6 +45,9 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     out = df.select(*schema.SCHEMAS[name].fieldNames())
     if parts:
         out = out.hint("rebalance", *parts)
+    order = schema.SORT_COLUMNS.get(name, [])
+    if order:
+        out = out.sortWithinPartitions(*parts, *order)   # local sort, no shuffle
     (out.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy(*parts).parquet(path))
 
