@@ -202,3 +202,23 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = comment_hits(spark, sf_dir).withColumn(
         "_tags", F.array(F.lit("comment"), F.concat(F.lit("story_"), F.col("story_id"))))
     return full(story_hits(spark, sf_dir)).unionByName(full(comments))
+
+
+def part_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A keyword list and a synonym table derived from the part names.
+
+    keywords: every distinct word of ``p_name`` (display name upper-cased,
+    ``include_hiring`` for words longer than three letters);
+    synonyms: each word of four letters or more maps to itself and its plural
+    to it — so the short words are keywords the dictionary does not know (T6).
+    """
+    words = (read(spark, sf_dir, "part")
+             .select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+             .where(F.col("w") != "").distinct())
+    keywords = words.select(F.col("w").alias("keyword"), F.upper("w").alias("display_name"),
+                            (F.length("w") > 3).alias("include_hiring"),
+                            F.concat("w", F.lit(".svg")).alias("image_path"))
+    long_words = words.where(F.length("w") > 3)
+    synonyms = long_words.select(F.col("w").alias("token"), F.col("w").alias("canonical")).unionByName(
+        long_words.select(F.concat("w", F.lit("s")).alias("token"), F.col("w").alias("canonical")))
+    return keywords, synonyms

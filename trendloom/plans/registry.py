@@ -354,6 +354,33 @@ def p3_unescape_html_full(spark, sf_dir):
     return pages.select("page_id", unescape_html_full("html").alias("text"))
 
 
+# ---- vocabulary files (S2, S3, Q1, T6) -------------------------------------------
+
+def _written_part_vocabulary(spark, sf_dir):
+    """The part-name vocabulary written as a CSV keyword list and a
+    whitespace-separated synonym file, read back with the S2 / S3 readers."""
+    from ..session import scratch_path
+    from ..sources.dictionary import read_keyword_list, read_synonyms
+    root = scratch_path(spark, "vocab")
+    keywords, synonyms = fx.part_vocabulary(spark, sf_dir)
+    keywords.write.option("header", True).csv(f"{root}/words")
+    synonyms.select(F.concat_ws("          ", "token", "canonical")).write.text(f"{root}/synonyms")
+    return read_keyword_list(spark, f"{root}/words"), read_synonyms(spark, f"{root}/synonyms")
+
+
+def q1_keyword_listing(spark, sf_dir):
+    """Q1 (S2 + F4 + P9): the hiring keyword listing of a CSV keyword file."""
+    keywords, _ = _written_part_vocabulary(spark, sf_dir)
+    return api.keyword_listing(keywords, hiring=True)
+
+
+def t6_effective_vocabulary(spark, sf_dir):
+    """T6 (S2 + S3 + J4): keywords through the synonym file; unknown ones drop out."""
+    from ..sources.dictionary import effective_vocabulary
+    keywords, synonyms = _written_part_vocabulary(spark, sf_dir)
+    return effective_vocabulary(keywords, synonyms)
+
+
 # ---- the recurring load -----------------------------------------------------------
 
 LOAD_EXISTING_BEFORE = "1998-01-01"
@@ -477,6 +504,8 @@ def queries() -> dict[str, Query]:
         "a7_key_uniqueness": a7_key_uniqueness,
         "a8_constraint_audit": a8_constraint_audit,
         "q5_submission_samples": q5_submission_samples,
+        "q1_keyword_listing": q1_keyword_listing,
+        "t6_effective_vocabulary": t6_effective_vocabulary,
         "i2_load_stories": load_stories_run,
         "i6_process_all_comments": process_comments_run,
         "j4_canonicalize_join": j4_canonicalize_join,
@@ -586,6 +615,10 @@ def _normalize_docs_sql() -> str:
     return f"SELECT doc_id, {osql.normalize_sql('text')} AS normalized FROM documents"
 
 
+_PART_WORDS_SQL = ("SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) x "
+                   "WHERE w <> ''")
+
+
 def oracle_sql() -> dict[str, str]:
     ws = agg.parse_words
     return {
@@ -644,6 +677,10 @@ def oracle_sql() -> dict[str, str]:
         "q5_submission_samples": (f"SELECT title, objectid, CAST(substr(submission_date, 1, 10) AS DATE) AS submission_date, "
                                   f"{osql.q(fx.ITEM_URL_PREFIX)} || objectid AS url FROM ({_doc_postings_sql()}) k "
                                   f"WHERE word = {osql.q(Q5_WORD)} AND year_month = {osql.q(Q5_PERIOD)} ORDER BY md5(objectid) LIMIT 5"),
+        "q1_keyword_listing": (f"SELECT w AS value, upper(w) AS display_name, length(w) > 3 AS include_hiring, "
+                               f"w || '.svg' AS image_path FROM ({_PART_WORDS_SQL}) pw WHERE length(w) > 3"),
+        "t6_effective_vocabulary": (f"SELECT w AS keyword, w AS canonical, length(w) > 3 AS include_hiring "
+                                    f"FROM ({_PART_WORDS_SQL}) pw WHERE length(w) > 3"),
         "i2_load_stories": (_stories_where(f"submission_date < {osql.q(LOAD_EXISTING_BEFORE)}") + " UNION ALL "
                             + _stories_where(f"created_at_i > (SELECT max(created_at_i) FROM ({osql.STORIES}) e "
                                              f"WHERE submission_date < {osql.q(LOAD_EXISTING_BEFORE)})")),

@@ -111,7 +111,9 @@ def effective_vocabulary(keyword_list: DataFrame, synonyms: DataFrame) -> DataFr
     the dictionary knows.  A keyword goes through the dictionary like a query
     term does; one absent from it matches nothing."""
     kws = keyword_list.where(F.col("keyword").isNotNull()).dropDuplicates(["keyword"])
-    return (kws.join(F.broadcast(synonyms), F.lower(kws["keyword"]) == synonyms["token"], "inner")
+    # no broadcast hint: the synonym table's size is not known here; the
+    # planner broadcasts it only under its size threshold
+    return (kws.join(synonyms, F.lower(kws["keyword"]) == synonyms["token"], "inner")
             .select("keyword", "canonical", "include_hiring"))
 
 
