@@ -33,7 +33,8 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str] | None = None)
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
-               order: list[str] | None = None, prune_on: str | None = None) -> DataFrame:
+               order: list[str] | None = None, prune_on: str | None = None,
+               deduplicate: bool = True) -> DataFrame:
     """The rows of ``incoming`` to append to ``existing``.
 
     The conflict check runs first: a row whose key exists is dropped whatever
@@ -46,6 +47,9 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
     ``MAX_PRUNE_VALUES`` — become a partition filter on ``existing``, so the
     conflict check reads only the partitions the batch touches instead of
     every key ever stored.  Over the bound, no filter is applied (full check).
+
+    ``deduplicate=False`` skips the first-per-key step for an input already
+    unique by key (a stream de-duplicated by its state store).
     """
     if prune_on is None:
         fresh = incoming.join(existing.select(*key), key, "left_anti")
@@ -60,4 +64,4 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: list[str],
                 pred = pred | F.col(prune_on).isNull()
             existing = existing.where(pred)
         fresh = incoming.join(existing.select(*cols), cols, "left_anti")
-    return first_per_key(fresh, key, order)
+    return first_per_key(fresh, key, order) if deduplicate else fresh

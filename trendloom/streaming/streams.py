@@ -78,7 +78,10 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
             if rows.isEmpty():   # e.g. the no-data batch a watermark advance triggers
                 return
             existing = batch.sparkSession.read.schema(sink_schema).parquet(sink)
-            fresh = append_new(existing, rows, key, order, prune_on=partition_col)
+            # keys are unique in a batch already (first arrival kept by the
+            # state store), so only the conflict check with the sink remains
+            fresh = append_new(existing, rows, key, order, prune_on=partition_col,
+                               deduplicate=False)
             if partition_col:
                 fresh = fresh.hint("rebalance", partition_col)
                 fresh.write.mode("append").partitionBy(partition_col).parquet(sink)
