@@ -462,6 +462,20 @@ def r3_stream_window_counts(spark, sf_dir):
                       "word", "n")
 
 
+def r3_monthly_rollup(spark, sf_dir):
+    """R3 + batch roll-up: the streamed daily counts summed per calendar month
+    (equals A3's monthly counts of the comment postings)."""
+    from ..session import scratch_path
+    from ..streaming.streams import latest_counts, monthly_rollup, stream_table, windowed_counts_stream
+    root = scratch_path(spark, "r3m")
+    comments = fx.hiring_comments_of(stream_table(spark, sf_dir, "conversations"))
+    facts = matching.postings(comments, "comment_text", ("objectid", "created_date"),
+                              fx.doc_dictionary(), hiring_only=True)
+    facts = facts.withColumn("event_time", F.to_timestamp("created_date"))
+    _run(windowed_counts_stream(facts, "event_time", f"{root}/sink", f"{root}/checkpoint"))
+    return monthly_rollup(latest_counts(spark, f"{root}/sink"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "q4_submission_trend": q4_submission_trend,
@@ -514,6 +528,7 @@ def queries() -> dict[str, Query]:
         "r1_stream_ingest": r1_stream_ingest,
         "r2_stream_postings": r2_stream_postings,
         "r3_stream_window_counts": r3_stream_window_counts,
+        "r3_monthly_rollup": r3_monthly_rollup,
     }
 
 
@@ -697,4 +712,6 @@ def oracle_sql() -> dict[str, str]:
             + osql.postings_sql(osql.HIRING_COMMENTS, ["objectid"], "comment_text", fx.doc_dictionary(),
                                 hiring_only=True, extra=["created_date"])
             + ") k GROUP BY 1, 2"),
+        "r3_monthly_rollup": (f"SELECT year_month, word, count(*) AS num_occurences FROM ({_comment_postings_sql()}) k "
+                              f"GROUP BY year_month, word"),
     }

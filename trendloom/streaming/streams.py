@@ -138,3 +138,14 @@ def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
     versions = spark.read.parquet(sink)
     return (versions.groupBy("window_start_s", "window_end_s", "word")
             .agg(F.max_by("n", "batch_id").alias("n")))
+
+
+def monthly_rollup(daily: DataFrame) -> DataFrame:
+    """R3 batch side: daily (window, word) counts rolled up to calendar months.
+
+    ``daily`` is :func:`latest_counts` output; the month of a window is taken
+    from its UTC start day, so the result does not depend on the session zone.
+    """
+    day = F.date_from_unix_date(F.floor(F.col("window_start_s") / 86400).cast("int"))
+    return (daily.groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), "word")
+            .agg(F.sum("n").alias("num_occurences")))
