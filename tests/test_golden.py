@@ -89,3 +89,14 @@ def test_hits_envelope_two_hits(spark, tmp_dir):
         fh.write(json.dumps(body, indent=2))
     hits = read_hits(spark, tmp_dir, multiline=True)
     assert sorted(r.objectID for r in hits.collect()) == ["1", "2"]
+
+
+def test_select_new_first_run_takes_everything(spark):
+    incoming = _ints(spark, [5, 1, 3])
+    empty = incoming.limit(0)
+    for mode in ("latest", "earliest"):
+        assert sorted(r[0] for r in ingest.select_new(incoming, empty, mode).collect()) == [1, 3, 5]
+    existing = _ints(spark, [2, 3])
+    assert sorted(r[0] for r in ingest.select_new(incoming, existing, "latest").collect()) == [5]
+    assert sorted(r[0] for r in ingest.select_new(incoming, existing, "earliest").collect()) == [1]
+    assert sorted(r[0] for r in ingest.select_new(incoming, existing, "latest", inclusive=True).collect()) == [3, 5]
