@@ -170,6 +170,9 @@ def test_stream_ingest_restart_reads_nothing(spark):
     out = spark.read.parquet(f"{root}/sink")
     assert out.count() == fx.read(spark, SF_SMALL, "events").count()
     assert out.select("event_id").distinct().count() == out.count()
+    # the batch is written rebalanced by day (AQE on), not one file per task and day
+    days = out.select("event_day").distinct().count()
+    assert len(out.inputFiles()) <= 2 * days
 
 
 def test_loaders_are_rerunnable(spark, tmp_dir):

@@ -70,25 +70,29 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
     sink_schema = deduped.select(*out_cols).schema
     _ensure_sink(spark, sink, sink_schema)
 
+    staging = f"{checkpoint.rstrip('/')}/staging"
+
     def _append(batch: DataFrame, batch_id: int) -> None:
-        # the batch feeds two joins: keep it for the callback instead of
-        # re-running the source read and the stateful de-duplication
-        rows = batch.select(*out_cols).persist()
-        try:
-            if rows.isEmpty():   # e.g. the no-data batch a watermark advance triggers
-                return
-            existing = batch.sparkSession.read.schema(sink_schema).parquet(sink)
-            # keys are unique in a batch already (first arrival kept by the
-            # state store), so only the conflict check with the sink remains
-            fresh = append_new(existing, rows, key, order, prune_on=partition_col,
-                               deduplicate=False)
-            if partition_col:
-                fresh = fresh.hint("rebalance", partition_col)
-                fresh.write.mode("append").partitionBy(partition_col).parquet(sink)
-            else:
-                fresh.write.mode("append").parquet(sink)
-        finally:
-            rows.unpersist()
+        # A micro-batch runs in the stream's own session, where AQE is off (so
+        # a REBALANCE would be dropped and every task would write a file per
+        # day).  Stage the batch once in the shared checkpoint folder and do
+        # the conflict check and the write in the caller's session: the
+        # stateful de-duplication runs once, and a rerun of the batch simply
+        # overwrites the staging copy.
+        batch.select(*out_cols).write.mode("overwrite").parquet(staging)
+        rows = spark.read.schema(sink_schema).parquet(staging)
+        if rows.isEmpty():   # e.g. the no-data batch a watermark advance triggers
+            return
+        existing = spark.read.schema(sink_schema).parquet(sink)
+        # keys are unique in a batch already (first arrival kept by the state
+        # store), so only the conflict check with the sink remains
+        fresh = append_new(existing, rows, key, order, prune_on=partition_col,
+                           deduplicate=False)
+        if partition_col:
+            fresh = fresh.hint("rebalance", partition_col)
+            fresh.write.mode("append").partitionBy(partition_col).parquet(sink)
+        else:
+            fresh.write.mode("append").parquet(sink)
 
     writer = deduped.writeStream.foreachBatch(_append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -120,8 +124,7 @@ def windowed_counts_stream(facts: DataFrame, event_time: str, sink: str, checkpo
               .agg(F.count(F.lit(1)).alias("n")))
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        # one action per batch: the stateful aggregation must not run twice
         (batch.select(F.unix_seconds(F.col("w.start")).alias("window_start_s"),
                       F.unix_seconds(F.col("w.end")).alias("window_end_s"),
                       "word", "n", F.lit(batch_id).cast("long").alias("batch_id"))
