@@ -148,6 +148,22 @@ def s6_refresh(spark, sf_dir):
     return read_table(spark, paths["keywords"], "keywords")
 
 
+INCREMENTAL_FIRST_BEFORE = "2021-01-01"
+
+
+def u3_refresh_incremental(spark, sf_dir):
+    """U3 incremental: a full refresh of the older documents, then an
+    incremental one over all of them (only the newer are tokenised)."""
+    from ..session import scratch_path
+    from ..sources.tables import read_table
+    root = scratch_path(spark, "facts-inc")
+    docs, comments, d = fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir), fx.doc_dictionary()
+    api.refresh_incremental(docs.where(F.col("submission_date") < INCREMENTAL_FIRST_BEFORE),
+                            comments.where(F.col("created_date") < INCREMENTAL_FIRST_BEFORE), d, root)
+    paths = api.refresh_incremental(docs, comments, d, root)
+    return read_table(spark, paths["keywords"], "keywords")
+
+
 def s6_refresh_hiring(spark, sf_dir):
     """S6 + U3: the comment facts of the same refresh, read back."""
     from ..session import scratch_path
@@ -492,6 +508,7 @@ def queries() -> dict[str, Query]:
         "s5_append_new": s5_append_new,
         "s6_refresh": s6_refresh,
         "s6_refresh_hiring": s6_refresh_hiring,
+        "u3_refresh_incremental": u3_refresh_incremental,
         "s7_mark_processed": s7_mark_processed,
         "s8_records": s8_records,
         "i1_cursor_bounds": i1_cursor_bounds,
@@ -656,6 +673,7 @@ def oracle_sql() -> dict[str, str]:
         "s5_append_new": _lineitem_append_sql(),
         "s6_refresh": _doc_postings_sql(),
         "s6_refresh_hiring": _comment_postings_sql(),
+        "u3_refresh_incremental": _doc_postings_sql(),
         "s7_mark_processed": f"SELECT objectid, TRUE AS stamped FROM ({_unprocessed_threads_sql()}) u",
         "s8_records": f"SELECT to_json(struct_pack(year_month := year_month, num_comments := num_comments)) AS record FROM ({_comment_history_sql(True)}) h",
         "i1_cursor_bounds": f"SELECT min(created_at_i) AS min_ts, max(created_at_i) AS max_ts FROM ({osql.STORIES}) s",

@@ -92,6 +92,13 @@ class Dictionary:
                           {k: v for k, v in self.keywords.items()
                            if v[0] in targets and (not hiring_only or v[1] is True)})
 
+    def fingerprint(self) -> str:
+        """A digest of the dictionary: facts matched with another one are stale."""
+        import hashlib
+        text = repr((sorted(self.synonyms.items()),
+                     sorted((k, c or "", bool(inc)) for k, (c, inc) in self.keywords.items())))
+        return hashlib.sha256(text.encode()).hexdigest()
+
     @staticmethod
     def of(synonyms: dict[str, str], keywords: dict[str, bool | None] | None = None) -> "Dictionary":
         syn = {t.lower(): c.lower() for t, c in synonyms.items()}
