@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -18,9 +17,9 @@ def spark():
     from pyspark.sql import SparkSession
     if SparkSession.getActiveSession() is None:
         conf["spark.driver.memory"] = "8g"
+    # build_session keeps a configured spark.checkpoint.dir and sets a local
+    # folder only where none is configured
     s = build_session("local[*]", app_name="trendloom-tests", shuffle_partitions=8, conf=conf)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trendloom-test-ckpt-"))
     yield s
     s.stop()
 

@@ -47,16 +47,16 @@ def build_session(master: str | None = None, app_name: str = "trendloom",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a local one only when it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder; set a local one only when none is set.
+
+    ``spark.checkpoint.dir`` (or a folder already given to the context) wins.
+    Otherwise — local runs and tests only — a temporary folder becomes the
+    context's checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trendloom-ckpt-"))
         base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        # Local runs / tests only: a cluster names a shared folder itself.
-        base = tempfile.mkdtemp(prefix="trendloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
