@@ -113,3 +113,21 @@ def test_postings_unique_per_word_and_document(spark):
 def test_default_vocabulary_frames(spark):
     assert default_keyword_list(spark).count() == 40
     assert default_synonyms(spark).count() == 50
+
+
+def test_path_selection_by_dictionary_size(spark, monkeypatch):
+    from trendloom.sources import dictionary as dmod
+    docs = spark.createDataFrame([("1", "python and k8s"), ("2", "nothing")], "objectid string, title string")
+    kw = spark.createDataFrame([("python", True), ("kubernetes", True)], "keyword string, include_hiring boolean")
+    syn = spark.createDataFrame([("python", "python"), ("k8s", "kubernetes"), ("kubernetes", "kubernetes")],
+                                "token string, canonical string")
+    want = [("kubernetes", "1"), ("python", "1")]
+    used = []
+    real_join = matching.postings_by_join
+    monkeypatch.setattr(matching, "postings_by_join",
+                        lambda *a, **k: used.append("join") or real_join(*a, **k))
+    small = matching.postings_for(docs, "title", ("objectid",), kw, syn)
+    assert sorted(tuple(r) for r in small.collect()) == want and used == []
+    monkeypatch.setattr(dmod, "MAP_LIMIT", 2)     # 3 synonym rows: over the bound
+    big = matching.postings_for(docs, "title", ("objectid",), kw, syn)
+    assert sorted(tuple(r) for r in big.collect()) == want and used == ["join"]

@@ -87,6 +87,19 @@ def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
     return facts.join(docs.select(*keep), key).select("word", *keep)
 
 
+def postings_for(docs: DataFrame, text_col: str, keep: tuple[str, ...],
+                 keyword_list: DataFrame, synonyms: DataFrame,
+                 hiring_only: bool = False) -> DataFrame:
+    """Pick the matching path by dictionary size: the map literal up to
+    ``MAP_LIMIT`` tokens (checked with a bounded read), the join path beyond."""
+    from ..sources.dictionary import DictionaryTooLarge, load_dictionary
+    try:
+        dictionary = load_dictionary(keyword_list, synonyms)
+    except DictionaryTooLarge:
+        return postings_by_join(docs, text_col, keep, keyword_list, synonyms, hiring_only)
+    return postings(docs, text_col, keep, dictionary, hiring_only)
+
+
 def story_postings(stories: DataFrame, dictionary: Dictionary) -> DataFrame:
     """(word, objectid, submission_date, title, year_month) for all keywords."""
     return postings(stories, "title", STORY_POSTING_COLUMNS, dictionary)
