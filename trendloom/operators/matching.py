@@ -63,26 +63,34 @@ def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
     """Same result as :func:`postings` for a dictionary too large to fold into a
     column expression.
 
-    Only ``(id, chunk)`` pairs are exploded (``keep[0]`` is the document id;
-    the text is not carried along), joined to the synonym table and, for
-    compound parts, to the canonical words; the distinct (id, canonical)
-    matches are joined to the vocabulary and then back to the documents for
-    the ``keep`` columns.  Join strategies are left to the planner (broadcast
-    only under Spark's size threshold, AQE re-planning on measured sizes).
+    Each document is tokenised once; its distinct chunks become candidates
+    ``(value, kind)`` — the chunk itself (``whole``) and, for a compound, each
+    part (``part``) — exploded with the document id only (the text is not
+    carried along).  One equi join against a lookup of ``(token, kind)`` —
+    the synonym table for whole chunks, the canonical words for parts — gives
+    the canonical words; the distinct (id, canonical) pairs are joined to the
+    vocabulary and back to the documents for the ``keep`` columns.  Join
+    strategies are left to the planner (broadcast only under its size
+    threshold, AQE re-planning on measured sizes).
     """
     key = keep[0]
     vocab = effective_vocabulary(keyword_list, synonyms)
     if hiring_only:
         vocab = vocab.where(F.col("include_hiring"))
     vocab = vocab.select(F.col("keyword").alias("word"), "canonical")
-    tokens = docs.select(key, F.explode(F.array_distinct(plain_chunks(text_col))).alias("chunk"))
-    whole = (tokens.join(synonyms, tokens["chunk"] == synonyms["token"])
-             .select(key, "canonical"))
-    canon = synonyms.select("canonical").distinct()
-    parts = (tokens.where(F.col("chunk").contains("-"))
-             .select(key, F.explode(F.split("chunk", PART_SEPARATOR)).alias("canonical"))
-             .join(canon, "canonical", "left_semi"))
-    matched = whole.unionByName(parts.select(key, "canonical")).distinct()
+    lookup = synonyms.select("token", "canonical", F.lit("whole").alias("kind")).unionByName(
+        synonyms.select(F.col("canonical").alias("token"), "canonical", F.lit("part").alias("kind"))
+        .distinct())
+    chunks = F.array_distinct(plain_chunks(text_col))
+    candidates = F.flatten(F.transform(chunks, lambda c: F.concat(
+        F.array(F.struct(c.alias("value"), F.lit("whole").alias("kind"))),
+        F.transform(F.when(c.contains("-"), F.split(c, PART_SEPARATOR))
+                    .otherwise(F.array().cast("array<string>")),
+                    lambda p: F.struct(p.alias("value"), F.lit("part").alias("kind"))))))
+    src = docs if docs.isStreaming else spread(docs, key)
+    cand = src.select(key, F.explode(candidates).alias("c")).select(key, "c.value", "c.kind")
+    matched = (cand.join(lookup, (cand["value"] == lookup["token"]) & (cand["kind"] == lookup["kind"]))
+               .select(key, "canonical").distinct())
     facts = matched.join(vocab, "canonical").select("word", key)
     return facts.join(docs.select(*keep), key).select("word", *keep)
 

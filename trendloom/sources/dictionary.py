@@ -18,9 +18,9 @@ from .. import schema, vocab
 
 # Largest dictionary folded into a column expression (map literal).  Larger
 # dictionaries are matched with the join path instead.  Measured on the 10,000
-# sf0.1 documents (local[8]): map literal 4.2 s / 7.6 s / 52 s for 50 / 1,000 /
-# 10,000 tokens (array_intersect hashes the literal per row), join path
-# 26-29 s at every size; the crossover is near 4,500 tokens.
+# sf0.1 documents (local[8]): map literal 4.2 s / 7.6 s / 45-52 s for 50 /
+# 1,000 / 10,000 tokens (array_intersect hashes the literal per row), join
+# path 16-18 s at every size; the crossover is near 2,900 tokens.
 MAP_LIMIT = 2_000
 
 
