@@ -4,7 +4,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from trendloom import schema
 from trendloom.functions.predicates import bound, range_filter
