@@ -25,12 +25,13 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                           conf={"spark.driver.memory": "16g"})
+    from trendloom.operators.partitioning import spread
     docs = fx.read(spark, sf_dir, "documents")
     out = {}
     for k in (1, 4, 16):
         rep = (docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_copy"))
                .withColumn("doc_id", F.col("doc_id") * k + F.col("_copy")).drop("_copy"))
-        stories = fx.doc_stories_of(rep)
+        stories = fx.doc_stories_of(spread(rep, "doc_id"))
         facts = story_postings(stories, fx.doc_dictionary())
         facts.write.format("noop").mode("overwrite").save()  # warm
         t0 = time.perf_counter()

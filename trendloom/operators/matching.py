@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PART_SEPARATOR, match_from_chunks, plain_chunks
 from ..sources.dictionary import Dictionary, effective_vocabulary
-from .partitioning import spread
 
 STORY_POSTING_COLUMNS = ("objectid", "submission_date", "title", "year_month")
 COMMENT_POSTING_COLUMNS = ("objectid", "year_month")
@@ -35,20 +34,16 @@ def vocabulary_frame(spark, dictionary: Dictionary, hiring_only: bool = False) -
 def _chunked(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """(*keep, _chunks): the plain chunks of each document, computed once.
 
-    Inputs with fewer partitions than cores are spread on their id (the first
-    ``keep`` column) first; tokenising is the CPU-heavy step.
+    Tokenising is the CPU-heavy step and runs one task per input partition; an
+    under-partitioned corpus should be spread where it is read
+    (``operators.partitioning.spread``).
     """
-    if not docs.isStreaming:
-        docs = spread(docs, keep[0])
     return docs.select(*keep, plain_chunks(text_col).alias("_chunks"))
 
 
 def postings(docs: DataFrame, text_col: str, keep: tuple[str, ...],
              dictionary: Dictionary, hiring_only: bool = False) -> DataFrame:
-    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``.
-
-    ``keep[0]`` should identify the document (it is the spreading key).
-    """
+    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``."""
     d = dictionary.restricted(hiring_only)
     vocab = vocabulary_frame(docs.sparkSession, d, hiring_only)
     matched = _chunked(docs, text_col, keep).select(
@@ -87,8 +82,7 @@ def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
         F.transform(F.when(c.contains("-"), F.split(c, PART_SEPARATOR))
                     .otherwise(F.array().cast("array<string>")),
                     lambda p: F.struct(p.alias("value"), F.lit("part").alias("kind"))))))
-    src = docs if docs.isStreaming else spread(docs, key)
-    cand = src.select(key, F.explode(candidates).alias("c")).select(key, "c.value", "c.kind")
+    cand = docs.select(key, F.explode(candidates).alias("c")).select(key, "c.value", "c.kind")
     matched = (cand.join(lookup, (cand["value"] == lookup["token"]) & (cand["kind"] == lookup["kind"]))
                .select(key, "canonical").distinct())
     facts = matched.join(vocab, "canonical").select("word", key)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_seconds, iso_utc, period
+from ..operators.partitioning import spread
 from ..session import table_path
 from ..sources.dictionary import Dictionary
 
@@ -78,7 +79,8 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_stories_of(read(spark, sf_dir, "documents"))
+    # the text corpus is spread at the scan when it has fewer splits than cores
+    return doc_stories_of(spread(read(spark, sf_dir, "documents"), "doc_id"))
 
 
 def doc_stories_of(d: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def _thread_day(turn_offset=None) -> F.Column:
 
 def hiring_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments: the comment's own day is the thread's day + its turn."""
-    return hiring_comments_of(read(spark, sf_dir, "conversations"))
+    return hiring_comments_of(spread(read(spark, sf_dir, "conversations")))
 
 
 def hiring_comments_of(conversations: DataFrame) -> DataFrame:
@@ -181,7 +183,8 @@ def story_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trend_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimension side of the large trend input: (p_partkey, title)."""
-    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(
+        "p_partkey", F.col("p_name").alias("title"))
 
 
 def trend_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
