@@ -62,12 +62,18 @@ def trend_matrix(counts: DataFrame, words: Iterable[str], value_col: str,
     The pivot values are explicit, so the schema is known without a job.
     """
     values = sorted(set(w for w in words))
-    if not keep_empty:
-        present = {r[0] for r in counts.select("word").distinct().limit(len(values) + 1).collect()}
-        values = [w for w in values if w in present]
     if not values:
         return counts.select("year_month").distinct().limit(0)
     wide = counts.groupBy("year_month").pivot("word", values).agg(F.sum(value_col))
+    if not keep_empty:
+        # one computation: the (small) wide result is checkpointed to the
+        # shared checkpoint folder, and a word without any row — a column
+        # that is NULL everywhere — is dropped by looking at that copy
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(counts.sparkSession)
+        wide = wide.checkpoint(eager=True)
+        seen = wide.agg(*[F.count(F.col(f"`{w}`")).alias(w) for w in values]).first()
+        values = [w for w in values if seen[w] > 0]
     return wide.na.fill(0, subset=values).select(
         "year_month", *[F.col(f"`{w}`").cast("bigint").alias(w) for w in values]
     ).orderBy("year_month")

@@ -39,7 +39,8 @@ def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.part_dictionary()
     words = matching.postings(parts, "title", ("p_partkey", "title"), d)
     # at most one posting per (part, keyword): bounded by the part table's rows
-    words = broadcast_if_bounded(words, parts.select("p_partkey"), per_row=len(d.keywords))
+    words = broadcast_if_bounded(words, fx.read(spark, sf_dir, "part").select("p_partkey"),
+                                 per_row=len(d.keywords))
     li = fx.trend_periods(spark, sf_dir)
     return (li.join(words, li["l_partkey"] == words["p_partkey"])
             .select("word", "year_month", "title"))
