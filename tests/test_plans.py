@@ -76,3 +76,14 @@ def test_samples_are_top_k_not_a_global_sort(spark):
 def test_dictionary_is_folded_into_the_projection(spark):
     o = optimized(registry.t5_match_set(spark, SF_SMALL))
     assert "array_intersect" in o and "Join" not in o
+
+
+def test_spread_is_a_no_op_on_multi_split_input(spark, tmp_dir):
+    from trendloom.operators.partitioning import spread
+    one_split = fx.read(spark, SF_SMALL, "documents")
+    assert "Exchange" in plan(spread(one_split, "doc_id"))
+    cores = spark.sparkContext.defaultParallelism
+    one_split.repartition(cores * 2).write.parquet(f"{tmp_dir}/docs")
+    many = spark.read.parquet(f"{tmp_dir}/docs")
+    assert many.rdd.getNumPartitions() >= cores
+    assert spread(many, "doc_id") is many
