@@ -6,7 +6,8 @@ R1  idempotent ingest: new hit files -> drop repeats within the watermark
     too.  The checkpoint records which files were read: a restart re-reads
     nothing and an interrupted batch is redone whole.
 R2  continuous postings: the matching expressions (T7/T8) on a streaming
-    DataFrame; stateless, append to a Parquet sink (exactly-once file sink).
+    DataFrame; stateless, append to a Parquet sink partitioned by word
+    (exactly-once file sink).
 R3  windowed trend with late data: counts per (day window, word) with a
     watermark of the settling age; ``update`` mode into a versioned sink whose
     latest version per key is the answer.  Calendar months are not a window
@@ -105,7 +106,9 @@ def postings_stream(comments: DataFrame, dictionary: Dictionary, sink: str, chec
                     available_now: bool = True) -> StreamingQuery:
     """R2: stateless postings of a comment stream, appended to a Parquet sink."""
     facts = postings(comments, text_col, keep, dictionary, hiring_only)
-    writer = (facts.writeStream.format("parquet").option("path", sink)
+    # same layout as the batch fact tables: one folder per word, so a word
+    # lookup prunes to it; the file sink's log keeps the output exactly-once
+    writer = (facts.writeStream.format("parquet").option("path", sink).partitionBy("word")
               .option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
