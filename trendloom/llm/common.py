@@ -64,6 +64,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def in_slices(batch: pa.RecordBatch, column: str = "text", characters: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts of a batch, a few million characters at a time, so that only
+    those are Python objects at once; null counts as empty."""
+    some, size = [], 0
+    for t in batch.column(column):
+        t = t.as_py() or ""
+        some.append(t)
+        size += len(t)
+        if size >= characters:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One list per part, without going through Python objects."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)

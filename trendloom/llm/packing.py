@@ -25,7 +25,13 @@ pieces and a rest.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +39,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts_of
+from .common import Scratch, in_slices
 
 CAPACITY = 4096
 CLOSING_ID = 1
-_CACHED_CHUNKS = 300_000
+_CACHED_WORDS = 1_000_000
+_TOGETHER = 256                  # words encoded as one text, full stops between them
+_LONGEST_CACHED = 48
+#: Between a letter or digit and a mark after it.
+_BEFORE_MARK = re.compile(r"(?<=[^\W_])(?=[.,;:!?*&%$#])")
 
 
-class ChunkTokens(dict):
-    """Chunk between blanks -> its ids as little-endian 32-bit bytes.
+class WordTokens(dict):
+    """Word -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer never joins characters across white space, so a text's ids
-    are those of its chunks in turn; a chunk met before is not encoded again.
+    The tokenizer never joins characters across white space, nor a letter or
+    digit with a mark after it, and ignores case: a text's ids are those of its
+    words and marks in turn, and what was met before is not encoded again.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")      # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-        value = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= 48:
-            if len(self) > _CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = value
-        return value
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids[0]
+        self[""] = b""
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Parts that can be encoded apart; in lower case where that is safe."""
+        if "<|" not in text and (text.isascii() or max(text) < "\u0100"):
+            text = text.lower()
+        return _BEFORE_MARK.sub(" ", text).replace("\n", " ").split(" ")
+
+    def __missing__(self, word: str) -> bytes:
+        """A word too long to keep."""
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the new words of some texts in one call."""
+        if len(self) > _CACHED_WORDS:
+            self.clear()
+            self[""] = b""
+        new = [w for w in words.difference(self) if len(w) <= _LONGEST_CACHED]
+        plain = [w for w in new if w.isalnum()]                       # none holds a full stop
+        groups = [plain[i:i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([" . ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(ids == self.stop).tolist() + [len(ids)]
+            if len(ends) == len(group):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(group, ends):
+                    self[word] = data[at:4 * end]
+                    at = 4 * end + 4
+        rest = [w for w in new if w not in self]
+        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self[word] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        parts = [self.split(t) for t in texts]
+        self.learn(set().union(*parts))
+        for words in parts:
+            yield b"".join(map(self.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> WordTokens:
+    """One per worker process, kept from task to task."""
+    return WordTokens(path)
 
 
 _CLOSING = np.array([CLOSING_ID], dtype="<u4").tobytes()
@@ -73,13 +119,13 @@ _CLOSING = np.array([CLOSING_ID], dtype="<u4").tobytes()
 def _pieces(path: str, capacity: int):
     """Cut and digest the documents of a task, ranking equal lengths in it."""
     def run(batches):
-        tokens = ChunkTokens(path)
+        tokens = _tokens(path)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
             out = {n: [] for n in ("row", "piece", "start", "length", "crc", "rank")}
-            for i, text in enumerate(texts_of(batch)):
-                ids = tokens.encode(text) + _CLOSING
+            for i, ids in enumerate(chain.from_iterable(map(tokens.encode, in_slices(batch)))):
+                ids += _CLOSING
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     length = len(part) // 4
