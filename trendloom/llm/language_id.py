@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, list_array, texts_of
+from .common import fold, list_array, smallest, texts_of
 
 SLOTS = 4096
 MAX_TRAIN = 6000
@@ -85,9 +85,8 @@ def _spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.nda
 def fit(train: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang",
         max_train: int = MAX_TRAIN, centroids: int = CENTROIDS, reject_share: float = 0.005) -> CentroidModel:
     """Fit on at most ``max_train`` labelled rows."""
-    rows = (train.where(F.col(label).isNotNull())
-            .select(F.xxhash64(key).alias("h"), F.col(label).alias("lang"), F.col(text).alias("text"))
-            .orderBy("h").limit(max_train))
+    rows = smallest(train.where(F.col(label).isNotNull()).select(
+        F.xxhash64(key).alias("h"), F.col(label).alias("lang"), F.col(text).alias("text")), "h", max_train)
 
     def sparse(batches):
         for batch in batches:
