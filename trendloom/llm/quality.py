@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
              .groupBy(F.col(key).alias("id")).agg(F.min(label).alias("y"))
              .orderBy(F.xxhash64("id")).limit(max_train))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(known, "id")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(
+        F.broadcast(known), "id")                                 # max_train rows
 
     def run(batches):
         for batch in batches:

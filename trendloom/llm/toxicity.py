@@ -253,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
             for y, n in ((1, max_toxic), (0, max_clean))]
     train = (docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-             .join(pick[0].union(pick[1]), "id").select("text", F.col("y").cast("int").alias("y")))
+             .join(F.broadcast(pick[0].union(pick[1])), "id")        # max_toxic + max_clean rows
+             .select("text", F.col("y").cast("int").alias("y")))
 
     def counted(batches):
         for batch in batches:
