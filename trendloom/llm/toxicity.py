@@ -4,8 +4,9 @@ The kernel of two words sums over the letter subsequences of length 3 that they
 share; a subsequence weighs 0.6 for every letter of the stretch it spans, so gaps
 and inserted characters cost but do not hide a match.  It is normalised, and
 counted from ``FLOOR`` up only.  Words are runs between blanks without what is no
-letter or digit; neighbouring single characters ("s t u p i d") form one word;
-words of over 24 characters are read in overlapping windows.
+letter or digit; three or more single characters with blanks between ("s t u p i d")
+form one word; words of over 24 characters are read in overlapping windows; a word
+with digits is read without them as well.
 
 *Landmarks* are words found far more often in toxic than in clean training texts,
 each unlike the ones before it.  A sentence's features are, per landmark, the
@@ -33,49 +34,47 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, list_array, texts_of
+from .common import fold, in_slices, list_array, texts_of
 
 LENGTH, DECAY = 3, 0.6           # of the subsequences; per letter spanned
-FLOOR = 0.3                      # lower kernel values count as 0
+FLOOR = 0.4                      # lower kernel values count as 0
+SCREEN = 0.6                     # letter pairs needed, per letter of the landmark
 WINDOW = 24                      # letters of a word read together
 LANDMARKS = 80
 APART = 0.6                      # landmarks are less alike than this
 MAX_TOXIC, MAX_CLEAN = 6_000, 10_000
 PREDICT_FROM = 0.7
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 800_000
 _STRIP = re.compile(r"[\W_]+")
+_DIGITS = re.compile(r"\d+")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, in lower case."""
-    out, single = [], []
-    for raw in text.lower().split():
-        w = raw if raw.isalnum() else _STRIP.sub("", raw)
-        if len(w) == 1:
-            single.append(w)
-            continue
-        if single:
-            if len(single) >= LENGTH:
-                out.append("".join(single))
-            single = []
-        if len(w) >= LENGTH:
-            out.append(w)
-    if len(single) >= LENGTH:
-        out.append("".join(single))
-    return out
+def word_of(raw: str) -> str:
+    """A run between blanks (in lower case) without what is no letter or digit."""
+    return raw if raw.isalnum() else _STRIP.sub("", raw)
+
+
+def spaced(text: str) -> list[str]:
+    """Words written as three or more single characters with blanks between."""
+    return [m[0] for m in _SPACED.finditer(text)]
 
 
 def windows(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[i:i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    """What is compared of a word: all of it in windows, and, as digits are
+    often put between letters, its letters alone."""
+    kinds = [word] if word.isalpha() else [word, _DIGITS.sub("", word)]
+    return [w[i:i + WINDOW] for w in kinds for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)
+            if len(w) >= LENGTH]
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -119,70 +118,100 @@ def normalised(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(size > 0, kernel(s, t) / np.maximum(size, 1e-12), 0).astype(np.float32)
 
 
-class LandmarkKernel(dict):
-    """word -> its kernel values with the landmarks, or None if all are 0."""
+class LandmarkKernel:
+    """Kernel values of words with the landmarks, kept for the words met so far.
+
+    ``values`` holds, by run between blanks, those with a value that is not 0.
+    """
 
-    def __init__(self, landmarks: list[str]):
-        super().__init__()
-        self.landmarks = landmarks
-        self.codes = codes(landmarks)
-        self.pairs = np.zeros((64 * 64, len(landmarks)), dtype=np.uint8)
-        self.needed = np.zeros(len(landmarks), dtype=np.int32)
+    def __init__(self, landmarks: tuple[str, ...]):
+        self.codes = codes(list(landmarks))
+        self.size = len(landmarks)
+        self.own = kernel(self.codes, self.codes) if landmarks else np.zeros(0, np.float32)
+        self.pairs = np.zeros((64 * 64, self.size), dtype=np.uint8)
+        self.needed = np.zeros(self.size, dtype=np.int32)
         for j, row in enumerate(self.codes):
             c = row[row > 0] & 63
-            self.needed[j] = max(2, len(c) // 2)
+            self.needed[j] = max(2, round(SCREEN * len(c)))
             for gap in (1, 2):
                 self.pairs[c[:-gap] * 64 + c[gap:], j] = 1
-
-    def learn(self, words: list[str]) -> None:
-        """Put the values of words not met yet into the cache."""
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > _CACHED_WORDS:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 4096):
-            self._learn(new[at:at + 4096])
+        self.seen: set[str] = set()
+        self.singles: set[str] = set()                       # runs of one character
+        self.values: dict[str, np.ndarray] = {}
+        self.words: dict[str, np.ndarray | None] = {}
+
+    def learn(self, runs: set[str]) -> None:
+        """Find the values of runs not met yet."""
+        if len(self.seen) > _CACHED_WORDS:
+            self.seen, self.values, self.words = set(), {}, {}
+            runs = set(runs)
+        new = runs - self.seen
+        self.seen |= new
+        self.singles.update(r for r in new if len(r) == 1)
+        by_run = {r: w for r in new if len(w := word_of(r)) >= LENGTH}
+        words = sorted((w for w in set(by_run.values()) if w not in self.words), key=len)
+        for at in range(0, len(words), 4096):
+            self._learn(words[at:at + 4096])
+        for r, w in by_run.items():
+            if (v := self.words[w]) is not None:
+                self.values[r] = v
 
     def _learn(self, words: list[str]) -> None:
-        self.update(dict.fromkeys(words))
-        if not self.landmarks:
+        self.words.update(dict.fromkeys(words))
+        if not self.size:
             return
         parts = [(w, p) for w in words for p in windows(w)]
         c = codes([p for _, p in parts])
         low = (c & 63).astype(np.int64)
-        shared = np.zeros((len(parts), len(self.landmarks)), dtype=np.uint8)
+        shared = np.zeros((len(parts), self.size), dtype=np.uint8)
         for gap in (1, 2, 3):
             for a in range(c.shape[1] - gap):
                 there = np.flatnonzero(c[:, a + gap])
                 if len(there):
                     shared[there] += self.pairs[low[there, a] * 64 + low[there, a + gap]]
         i, j = np.nonzero(shared >= self.needed[None, :])
+        if not len(i):
+            return
+        used, at = np.unique(i, return_inverse=True)
+        long = int((c[used] > 0).sum(axis=1).max())
+        own = kernel(c[used, :long], c[used, :long])[at] * self.own[j]
         for lo in range(0, len(i), 8192):
             ii, jj = i[lo:lo + 8192], j[lo:lo + 8192]
             width = int((c[ii] > 0).sum(axis=1).max())
-            value = normalised(c[ii, :width], self.codes[jj])
-            for a, b, v in zip(ii[value >= FLOOR], jj[value >= FLOOR], value[value >= FLOOR]):
+            value = kernel(c[ii, :width], self.codes[jj]) / np.sqrt(own[lo:lo + 8192])
+            high = value >= FLOOR
+            for a, b, v in zip(ii[high], jj[high], value[high]):
                 word = parts[a][0]
-                if self[word] is None:
-                    self[word] = np.zeros(len(self.landmarks), dtype=np.float32)
-                self[word][b] = max(self[word][b], v)
-
-    def sentences(self, text: str, words: list[str]) -> np.ndarray:
-        """Features of the sentences with a match, one row each; ``words``:
-        those of the whole text, learned before."""
-        get = self.get
-        if not any(get(w) is not None for w in set(words)):
-            return np.zeros((0, len(self.landmarks)), dtype=np.float32)
+                if self.words[word] is None:
+                    self.words[word] = np.zeros(self.size, dtype=np.float32)
+                self.words[word][b] = max(self.words[word][b], v)
+
+    def sentences(self, text: str) -> np.ndarray:
+        """Features of the sentences with a match, one row each; ``text`` is in
+        lower case and its runs have been learned."""
+        runs = set(text.split())
+        apart = [] if self.singles.isdisjoint(runs) else spaced(text)
+        if apart:
+            self.learn(set(apart))
+        values = self.values
+        hits = values.keys() & runs
+        found = [values[r] for r in hits] + [values[w] for w in apart if w in values]
+        if not found:
+            return np.zeros((0, self.size), dtype=np.float32)
         rows = []
         for sentence in _SENTENCE.split(text):
-            own = words_of(sentence)
-            self.learn(own)
-            hits = [h for w in own if (h := get(w)) is not None]
-            if hits:
-                rows.append(np.max(hits, axis=0))
-        if not rows:                                         # single characters across sentence ends
-            rows = [np.max([h for w in words if (h := get(w)) is not None], axis=0)]
-        return np.array(rows, dtype=np.float32)
+            own = [values[r] for r in hits.intersection(sentence.split())]
+            if apart:
+                own += [values[w] for w in spaced(sentence) if w in values]
+            if own:
+                rows.append(np.max(own, axis=0))
+        return np.array(rows or [np.max(found, axis=0)], dtype=np.float32)
+
+
+@lru_cache(maxsize=1)
+def _kernel(landmarks: tuple[str, ...]) -> LandmarkKernel:
+    """One per worker process, kept from task to task."""
+    return LandmarkKernel(landmarks)
 
 
 @dataclass
@@ -261,8 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             found: dict[str, list[int]] = {}
             y = batch.column("y").to_pylist()
             for t, c in zip(texts_of(batch), y):
-                for w in set(words_of(t)):
-                    found.setdefault(w, [0, 0])[c] += 1
+                t = t.lower()
+                for w in set(map(word_of, t.split() + spaced(t))):
+                    if len(w) >= LENGTH:
+                        found.setdefault(w, [0, 0])[c] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()),
                  pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
@@ -278,16 +309,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     landmarks = choose_landmarks(ranked)
     if not landmarks:
         return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(sizes[1] / sizes[0])))
-    shared = spark.sparkContext.broadcast(landmarks)
+    shared = spark.sparkContext.broadcast(tuple(landmarks))
 
     def featured(batches):
-        values = LandmarkKernel(shared.value)
+        values = _kernel(shared.value)
         for batch in batches:
             out = []
             for t in texts_of(batch):
-                words = words_of(t)
-                values.learn(words)
-                f = values.sentences(t, words)
+                t = t.lower()
+                values.learn(set(t.split()))
+                f = values.sentences(t)
                 best = np.argsort(-f.max(axis=1, initial=0), kind="stable")[:8]   # of a training text
                 out.append(f[best].ravel().astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("y"), list_array(out, pa.float64())], names=["y", "f"])
@@ -328,15 +359,14 @@ def score(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text", k
 
     def run(batches):
         m = shared.value
-        values = LandmarkKernel(m.landmarks if m else [])
+        values = _kernel(tuple(m.landmarks)) if m else None
         for batch in batches:
             out = []
-            texts = texts_of(batch)
-            for at in range(0, len(texts), 64):                   # words are learned together
-                some = [(t, words_of(t)) for t in texts[at:at + 64]]
-                values.learn([w for _, ws in some for w in ws])
-                for t, ws in some:
-                    out.append(m.score(values.sentences(t, ws)) if m else 0.0)
+            for texts in in_slices(batch):                        # words are learned together
+                texts = [t.lower() for t in texts]
+                if m:
+                    values.learn(set().union(*map(str.split, texts)))
+                out += [m.score(values.sentences(t)) if m else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in keep), pa.array(out, pa.float64()),
                  pa.array([int(s >= predict_from) for s in out], pa.int32())],
