@@ -1,13 +1,20 @@
 """Connected components of candidate buckets, without all pairs of a bucket.
 
 ``link_components`` gets buckets (key, node): nodes that share a key may be
-linked, and ``verify`` decides on pairs.  All pairs of a large bucket are never
-made.  Each round tests every node against one *pivot* of its bucket (linear in
-the bucket's rows), merges what is linked, and forgets the buckets that lie
-within one component, where nothing is left to decide.  When the pairs left
-between different components of the same bucket are few (or the rounds no
-longer shrink them), exactly those are tested.  So every pair of a bucket is
-either tested or already connected: the components are those of all pairs.
+linked, ``verify`` decides on pairs.  All pairs of a large bucket are never made:
+
+1. Every node is tested against one *pivot* of its bucket, the node that shares
+   most buckets with most others (linear in the buckets' rows).  What is linked
+   is merged; a bucket within one component has nothing left to decide.
+2. If many pairs are left, between different components of the same bucket, the
+   nodes are bounded: a node's overlap with any node of another component is at
+   most the number of its set's elements that such nodes hold at all.  Nodes that
+   cannot reach the similarity with anyone, and pairs that cannot, are dropped.
+3. Further rounds of pivots follow while they help; then exactly the pairs that
+   are left are tested.
+
+Every pair of a bucket is tested, or connected, or proven not to be linked: the
+components are those of all pairs.  The similarity is Jaccard's, at least 4/5.
 """
 
 from __future__ import annotations
@@ -19,87 +26,135 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Pairs tested for each row of the open buckets before bounds are worked out.
+FEW = 4
+
+
+def _largest_first(edges: DataFrame) -> DataFrame:
+    return (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .where("u <> v").distinct())
 
-def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+
+def _star_step(edges: DataFrame) -> DataFrame:
+    """Large-star, then small-star: each a partial minimum per node and a join."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    stars = _largest_first(large)
+    lowest = stars.groupBy("u").agg(F.min("v").alias("m"))
+    small = (stars.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+             .union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b"))))
+    return _largest_first(small)
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str, steps: int | None = None) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b); comp is the smallest node.
 
-    Union-find over tables: large-star and small-star steps in turn, each a
-    partial minimum per node and a join, until the edges are stars.
+    Union-find over tables, step by step until the edges are stars; with
+    ``steps`` only so many, where a component may still be in several parts.
     """
-    def largest_first(df):
-        return (df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                .where("u <> v").distinct())
-
-    current = scratch.save(largest_first(edges), f"{name}-0")
+    current = scratch.save(_largest_first(edges), f"{name}-0")
     state, step = None, 0
-    while True:
-        marks = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (marks["n"], marks["h"]) == state or not marks["n"]:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
-                current.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        state = (marks["n"], marks["h"])
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(least, "u")
-                 .select(F.col("v").alias("a"), F.col("m").alias("b")))
-        stars = largest_first(large)
-        lowest = stars.groupBy("u").agg(F.min("v").alias("m"))
-        small = (stars.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                 .union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b"))))
+    while step != steps:
+        if steps is None:
+            marks = current.agg(F.count("*").alias("n"),
+                                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+            if (marks["n"], marks["h"]) == state or not marks["n"]:
+                break
+            state = (marks["n"], marks["h"])
         step += 1
-        current = scratch.save(largest_first(small), f"{name}-{step}")
+        current = scratch.save(_star_step(current), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
+    return (current.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            .union(current.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+            .groupBy("node").agg(F.min("comp").alias("comp")))
+
+
+def _pivots(shared: DataFrame) -> DataFrame:
+    """(key, pivot): of each bucket, the node with the most neighbours in all."""
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
+    weight = sized.groupBy("node").agg(F.sum("n").alias("w"))
+    return (shared.join(weight, "node").groupBy("key")
+            .agg(F.max(F.struct("w", "node")).alias("p")).select("key", F.col("p.node").alias("pivot")))
+
+
+def _bounded(nodes: DataFrame, elements: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, n, s): size of a node's set, and how many of its elements nodes of
+    other labels hold; only nodes that can reach the similarity."""
+    held = elements(nodes.select("node")).join(nodes, "node")
+    common = (held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+              .where("lo < hi").select("g", F.lit(1).alias("common")))
+    return (held.join(common, "g", "left").groupBy("node")
+            .agg(F.count("*").alias("n"), F.count("common").alias("s")).where("5 * s >= 4 * n"))
 
 
 def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                    prepare: Callable[[DataFrame], None], *, rounds: int = 5, few: int = 4) -> DataFrame:
+                    prepare: Callable[[DataFrame], None], elements: Callable[[DataFrame], DataFrame],
+                    *, rounds: int = 4) -> DataFrame:
     """(node, comp) of all nodes with a link; buckets: (key, node), repeats allowed.
 
     ``prepare`` gets the nodes that share a bucket, once; ``verify`` maps pairs
-    (a, b), a < b, to those linked.
+    (a, b), a < b, to those linked; ``elements`` maps nodes to (node, g), their
+    sets' elements.
     """
-    ends = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    ends = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     shared = scratch.save(
-        buckets.join(ends.where("pivot < last").select("key", "pivot"), "key").distinct(), "shared")
+        buckets.join(ends.where("first < last").select("key"), "key").distinct(), "shared")
     prepare(shared.select("node"))
 
-    def tested_pairs(df, name):
-        pairs = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        return scratch.save(pairs, f"pairs-{name}")
+    def ordered(pairs):
+        return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                .where("a <> b").distinct())
 
-    tested = tested_pairs(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "0")
+    tested = scratch.save(ordered(shared.join(_pivots(shared), "key")
+                                  .select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs-0")
     links = scratch.save(verify(tested), "links-0")
-    comp = components(scratch, links, "comp-0")
-    last_cross = None
-    for r in range(1, rounds + 2):
-        labelled = shared.select("key", "node").join(comp, "node", "left").select(
+    rest, before = shared, None
+    for r in range(1, rounds + 1):
+        comp = components(scratch, links, f"parts-{r}", steps=2)
+        labelled = rest.select("key", "node").join(comp, "node", "left").select(
             "key", "node", F.coalesce("comp", "node").alias("label"))
-        per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("node").alias("rep"))
-        open_keys = scratch.save(
-            per.groupBy("key").agg(
-                F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"),
-                F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("pivot")).where("k > 1"), f"open-{r}")
-        left = open_keys.agg(F.sum("n").alias("rows"),
-                             F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("cross")).first()
+        rest = scratch.save(_open(labelled), f"open-{r}")
+        left = _left(rest)
         if not left["rows"]:
             break
-        rest = labelled.join(open_keys.select("key", "pivot"), "key")
-        all_pairs = (left["cross"] <= few * left["rows"] or r > rounds
-                     or (last_cross is not None and left["cross"] > 0.9 * last_cross))
-        last_cross = left["cross"]
-        if all_pairs:
-            one = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            two = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            new = one.join(two, "key").where("la < lb").select("a", "b")
+        limits = None
+        if left["cross"] > FEW * left["rows"]:
+            limits = scratch.save(_bounded(rest.select("node", "label").distinct(), elements), f"limits-{r}")
+            rest = scratch.save(_open(rest.join(limits, "node").select("key", "node", "label")), f"bounded-{r}")
+            left = _left(rest)
+        last = (left["cross"] <= FEW * left["rows"] or r == rounds
+                or (before is not None and left["cross"] > 0.9 * before))
+        before = left["cross"]
+        if last:
+            one = rest if limits is None else rest.join(limits, "node")
+            columns = one.columns
+            two = one.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
+            pairs = one.join(two, "key").where("label < label2")
+            if limits is not None:
+                pairs = pairs.where("9 * least(s, s2) >= 4 * (n + n2)")
+            new = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
         else:
-            new = rest.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        fresh = scratch.save(new.join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
-        found = scratch.save(verify(fresh), f"links-{r}")
-        if not all_pairs:
-            tested = tested.union(fresh)
-        links = links.union(found)
-        comp = components(scratch, links, f"comp-{r}")
-        if all_pairs:
+            new = rest.join(_pivots(rest.select("key", "node")), "key").select(
+                F.col("pivot").alias("a"), F.col("node").alias("b"))
+        fresh = scratch.save(ordered(new).join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
+        links = links.union(scratch.save(verify(fresh), f"links-{r}"))
+        if last:
             break
-    return scratch.save(comp, "components")
+        tested = tested.union(fresh)
+    return scratch.save(components(scratch, links, "components"), "linked")
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of buckets with several labels."""
+    several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+               .where("lo < hi").select("key"))
+    return labelled.join(several, "key", "left_semi")
+
+
+def _left(rest: DataFrame):
+    """Rows of open buckets, and pairs of different labels in them."""
+    per = rest.groupBy("key", "label").agg(F.count("*").alias("c"))
+    return (per.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                 F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0)).alias("cross")).first())

@@ -15,13 +15,15 @@ Lines are addressed by (id, hash of the text, line number).
 Edge cases: a null text stays null, an empty one empty; rows with a null id take
 part and come first; rows that repeat both id and text get the same result; an
 empty table gives an empty result; all other columns pass through unchanged,
-whatever their names.  Node keys are 64-bit hashes: two different lines are
-taken for equal with a probability of about 2**-64.
+whatever their names.  Nodes and 10-grams are compared by 64-bit hashes: two
+different ones are taken for equal with a probability of about 2**-64.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array
 from .hashing import MULTIPLIERS, mix, signed, tag
+from .repeats import repeat_bitmaps
 
 MIN_CHARS = 20
 GRAM = 10
@@ -44,10 +47,23 @@ _A = (MULTIPLIERS[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32
 _G = [(m >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for m in MULTIPLIERS[50:55]]
 
 
+#: White space other than a blank and the line end, and runs of blanks.
+_UNEVEN = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)) + ("  ",)
+
+
 def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def gram_set(line: str) -> np.ndarray:
+    """Distinct 64-bit hashes of a line's 10-grams, ascending."""
+    c = np.frombuffer(line.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    two = c[:-1] * MULTIPLIERS[50] + c[1:]
+    four = two[:-2] * MULTIPLIERS[51] + two[2:]
+    eight = four[:-4] * MULTIPLIERS[52] + four[4:]
+    return np.unique(mix((eight[:-2] * MULTIPLIERS[53]) ^ two[8:]))
+
+
 def gram_hashes(c: np.ndarray) -> np.ndarray:
     """uint32 hashes of the 10-grams of a code point array, by doubling."""
     two = c[:-1] * _G[0] + c[1:]
@@ -93,26 +109,39 @@ def _block_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def jaccard_at_least(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Exact test on the distinct character 10-grams."""
-    x = {a[i:i + GRAM] for i in range(len(a) - GRAM + 1)}
-    y = {b[i:i + GRAM] for i in range(len(b) - GRAM + 1)}
-    if min(len(x), len(y)) < least * max(len(x), len(y)):
+@lru_cache(maxsize=20_000)
+def _kept_set(line: str) -> np.ndarray:
+    return gram_set(line)
+
+
+def linked(a: str, b: str) -> bool:
+    """Whether the distinct 10-grams of two lines have a Jaccard similarity of
+    at least SIMILARITY."""
+    x, y = _kept_set(a), _kept_set(b)
+    least = SIMILARITY * (len(x) + len(y)) / (1 + SIMILARITY)        # of their overlap
+    if min(len(x), len(y)) < least - 1e-9:
         return False
-    both = len(x & y)
-    return both >= least * (len(x) + len(y) - both)
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum()) >= least - 1e-9
+
+
+def fixed_lists(rows: np.ndarray) -> pa.ListArray:
+    """A list per row of a matrix."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
 def _node(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _eligible(text: str, min_chars: int):
+def _eligible(text: str, min_chars: int) -> list[tuple[int, str]]:
     """(line number, normalised line) of the lines that take part."""
-    for i, line in enumerate(text.split("\n")):
-        n = normalise(line)
-        if len(n) >= min_chars:
-            yield i, n
+    if any(x in text for x in _UNEVEN):
+        lines = map(normalise, text.split("\n"))
+    else:                                                    # the same, as only the ends need care
+        lines = (x.strip(" ") for x in text.lower().split("\n"))
+    return [(i, n) for i, n in enumerate(lines) if len(n) >= min_chars]
 
 
 def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -127,23 +156,42 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def signatures(batches):
         for batch in batches:
-            row, pos, nodes, lines = [], [], [], []
-            for i, t in enumerate(texts_of(batch)):
-                for p, n in _eligible(t, min_chars):
-                    row.append(i)
-                    pos.append(p)
-                    nodes.append(_node(n))
-                    lines.append(n)
+            row, pos, nodes, keys = [], [], [], [np.empty((0, BANDS), np.int64)]
+            i = 0
+            for texts in in_slices(batch):
+                lines = []
+                for t in texts:
+                    for p, n in _eligible(t, min_chars):
+                        row.append(i)
+                        pos.append(p)
+                        nodes.append(_node(n))
+                        lines.append(n)
+                    i += 1
+                keys.append(band_keys(lines))
             take = pa.array(row, pa.int64())
-            keys = band_keys(lines)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
-                 pa.array(nodes, pa.int64()), list_array(list(keys), pa.int64())],
+                 pa.array(nodes, pa.int64()), fixed_lists(np.concatenate(keys))],
                 names=["k", "h", "pos", "node", "bands"])
 
     lines = scratch.save(rows.mapInArrow(
         signatures, f"k {kind}, h long, pos int, node long, bands array<long>"), "lines")
-    buckets = lines.select(F.explode("bands").alias("key"), "node")
+    def band_hashes(batch):
+        yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+
+    repeated = spark.sparkContext.broadcast(                          # 16 MB
+        repeat_bitmaps(lines.select("bands"), band_hashes, (2,))[2][0])
+
+    def screened(batches):
+        bits = repeated.value
+        for batch in batches:
+            bands = batch.column("bands").flatten().to_numpy()
+            at = np.flatnonzero(in_bitmap(bits, bands.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bands[at]), batch.column("node").take(pa.array(at // BANDS))], names=["key", "node"])
+
+    # a band of one line alone needs no bucket
+    buckets = lines.select("bands", "node").mapInArrow(screened, "key long, node long")
     candidates: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
@@ -154,7 +202,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             bits = wanted.value
             for batch in batches:
                 found: dict[int, str] = {}
-                for t in texts_of(batch):
+                for t in chain.from_iterable(in_slices(batch)):
                     found.update((_node(n), n) for _, n in _eligible(t, min_chars))
                 nodes = np.fromiter(found, dtype=np.int64, count=len(found))
                 keep = in_bitmap(bits, nodes.view(np.uint64))
@@ -169,7 +217,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
-                keep = [jaccard_at_least(x, y) for x, y in
+                keep = [linked(x, y) for x, y in
                         zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["a", "b"])
@@ -178,8 +226,18 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         b = candidates["lines"].select(F.col("node").alias("b"), F.col("line").alias("lb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
-    linked = clusters.link_components(scratch, buckets, verify, prepare)
-    places = lines.select("k", "h", "pos", "node").join(linked, "node", "left").select(
+    def elements(nodes: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                sets = [signed(gram_set(x)) for x in batch.column("line").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(sets, pa.int64())],
+                                                 names=["node", "g"])
+
+        return (candidates["lines"].join(nodes.distinct(), "node").mapInArrow(run, "node long, g array<long>")
+                .select("node", F.explode("g").alias("g")))
+
+    groups = clusters.link_components(scratch, buckets, verify, prepare, elements)
+    places = lines.select("k", "h", "pos", "node").join(groups, "node", "left").select(
         F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label"))
     firsts = (places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))
               .where("n > 1").select("label", "first"))

@@ -12,15 +12,17 @@ integers.  Equal sets are one *node*, so that copies are never paired.
 * **Heavy** sets are found by inverted lists of shingles.  Lists are scanned only
   for the rarest shingles of a set: as an overlap of 80 % leaves at most a fifth
   of either set out, linked sets share one of their first ``n - ceil(0.8 n) + 1``
-  in any common order.  The order puts the shingles of long lists last.
+  in any common order.  The order puts the shingles that no other document has
+  first (they need no list, and a set with more than a fifth of them links with
+  nothing), those of long lists last.
 
 The boundary ``x`` is chosen by cost: subsets emitted against lists scanned, from
 the measured number of sets of each size.  Light sets close enough to the
 boundary to link with a heavy one are entered in the lists as well.
 
-The long lists are counted over all documents (sorted blocks of hashes per hash
-range, merged per range) and kept as a fixed bitmap.  A chance hit there changes
-the order for all documents alike, so nothing is lost.  Pairs come from
+Which shingles occur twice, and which have long lists, is counted over all
+documents and kept as fixed bitmaps (``repeats``).  A chance hit there changes the
+order for all documents alike, so nothing is lost.  Pairs come from
 ``clusters.link_components``, which never makes all pairs of a list, and are
 verified on the full sets.
 
@@ -35,7 +37,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -45,14 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array
 from .hashing import MULTIPLIERS, WordHashes, mix, shingles, signed, tag
+from .repeats import repeat_bitmaps
 
 WIDTH = 5
-LONG_LIST = 64                   # a list of at least this many documents is long
+LONG_LISTS = (64, 512, 4096)     # a list of so many documents is long; the first that marks few enough
 LARGEST_LIGHT = 12               # the boundary is sought up to here
-_BLOCK = 1 << 21                 # hashes counted together in a task
-_MAX_HOT = 1 << 21               # marked long lists: an eighth of the bitmap
+_MAX_LONG = 1 << 23              # marked long lists: a sixteenth of the bitmap
 
 
 def needed_overlap(n: int, m: int) -> int:
@@ -78,13 +80,13 @@ def choose_boundary(sizes: dict[int, tuple[int, int]]) -> int:
     """Cheapest boundary; sizes: n -> (sets, entries they make in long lists).
 
     A heavy set pays for its prefix and for scanning its lists (a long one
-    counts as LONG_LIST rows); a light set pays for its subsets, and for its
+    counts as LONG_LISTS[0] rows); a light set pays for its subsets, and for its
     prefix too if it can link with a heavy set.
     """
     def cost(x):
         total = 0
         for n, (sets, long_entries) in sizes.items():
-            lists = sets * prefix_length(n) + LONG_LIST * long_entries
+            lists = sets * prefix_length(n) + LONG_LISTS[0] * long_entries
             if n > x:
                 total += lists
             else:
@@ -101,72 +103,41 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _long_lists(docs: DataFrame, ranges_log2: int) -> DataFrame:
-    """(h, n): the top bits of shingles in at least LONG_LIST documents.
+def _order_bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the shingles of at least two documents, and of long lists."""
+    words = WordHashes()
 
-    A task sorts blocks of hashes and cuts them into ranges; a range's blocks
-    meet in one group.  The number of ranges follows the number of shuffle
-    partitions, so that a group stays small.
-    """
-    rest = np.uint64(64 - ranges_log2)
-
-    def emit(parts):
-        h = np.sort(np.concatenate(parts))
-        cells = ((h << np.uint64(ranges_log2)) >> np.uint64(32)).astype(np.uint32)
-        cuts = np.searchsorted(h >> rest, np.arange((1 << ranges_log2) + 1, dtype=np.uint64))
-        kept = [(r, cells[cuts[r]:cuts[r + 1]].tobytes()) for r in range(1 << ranges_log2) if cuts[r] < cuts[r + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int32()),
-                                           pa.array([b for _, b in kept], pa.binary())], names=["r", "cells"])
-
-    def blocks(batches):
-        words, parts, size = WordHashes(), [], 0
-        for batch in batches:
-            for text in texts_of(batch):
-                parts.append(text_set(words, text))
-                size += len(parts[-1])
-                if size >= _BLOCK:
-                    yield emit(parts)
-                    parts, size = [], 0
-        if size:
-            yield emit(parts)
-
-    def count(key, table):
-        cells = np.sort(np.concatenate([np.frombuffer(b.as_py(), dtype=np.uint32) for b in table.column("cells")]))
-        at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        n = np.diff(np.append(at, len(cells)))
-        many = n >= LONG_LIST
-        h = (np.uint64(key[0].as_py()) << rest) | (cells[at[many]].astype(np.uint64) << (rest - np.uint64(32)))
-        return pa.table({"h": pa.array(signed(h)), "n": pa.array(n[many], pa.int64())})
-
-    return (docs.select("text").mapInArrow(blocks, "r int, cells binary")
-            .groupBy("r").applyInArrow(count, "h long, n long"))
-
-
-def _order_bitmap(scratch: Scratch, docs: DataFrame) -> np.ndarray:
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = scratch.save(_long_lists(docs, min(20, max(6, (4 * partitions - 1).bit_length()))), "long")
-    steps = {r["e"]: r["n"] for r in lists.groupBy(F.floor(F.log2("n")).alias("e"))
-             .agg(F.count("*").alias("n")).collect()}             # at most 64 rows
-    least = next((e for e in range(64) if sum(n for k, n in steps.items() if k >= e) <= _MAX_HOT), 0)
-    return fixed_bitmap(lists.where(F.log2("n") >= least), "h")
-
-
-def _signatures(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)      # 2 MB
+    def sets(batch):
+        for texts in in_slices(batch):
+            for t in texts:
+                yield text_set(words, t)
+
+    found = repeat_bitmaps(docs.select("text"), sets, (2, *LONG_LISTS))
+    long = next((k for k in LONG_LISTS if found[k][1] <= _MAX_LONG), LONG_LISTS[-1])
+    return found[2][0], found[long][0]
+
+
+def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per document: node, n, entries in long lists, the prefix's shingles that
+    occur elsewhere (none if too few of the set's do), and all of a small set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        words, bits = WordHashes(), shared.value
+        words, (repeated, long) = WordHashes(), shared.value
         for batch in batches:
             nodes, sizes, long_entries, prefixes, small = [], [], [], [], []
-            for text in texts_of(batch):
+            for text in chain.from_iterable(in_slices(batch)):
                 s = text_set(words, text)
                 n, p = len(s), prefix_length(len(s))
-                hot = in_bitmap(bits, s) if n else np.zeros(0, bool)
-                order = np.concatenate((s[~hot], s[hot]))[:p]
+                elsewhere = s[in_bitmap(repeated, s)] if n else s
+                hot = in_bitmap(long, elsewhere)
+                # rarest first: those of this set alone, then short lists, then long ones
+                order = np.concatenate((elsewhere[~hot], elsewhere[hot]))
+                order = order[:max(0, p - (n - len(elsewhere)))] if 5 * len(elsewhere) >= 4 * n else s[:0]
                 nodes.append(_node(s) if n else None)
                 sizes.append(n)
-                long_entries.append(max(0, p - int((~hot).sum())))
+                long_entries.append(max(0, len(order) - int((~hot).sum())))
                 prefixes.append(signed(order))
                 small.append(signed(s) if n <= LARGEST_LIGHT else signed(s[:0]))
             yield pa.RecordBatch.from_arrays(
@@ -204,7 +175,7 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = scratch.save(_signatures(docs, _order_bitmap(scratch, docs)), "sets")
+    sets = scratch.save(_signatures(docs, _order_bitmaps(docs)), "sets")
     sizes = {r["n"]: (r["sets"], r["long"]) for r in
              sets.where((F.col("n") > 0) & (F.col("n") <= LARGEST_LIGHT)).groupBy("n")
              .agg(F.count("*").alias("sets"), F.sum("long_entries").alias("long")).collect()}
@@ -218,16 +189,16 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         wanted = spark.sparkContext.broadcast(fixed_bitmap(nodes, "node"))
 
         def run(batches):
-            words, bits = WordHashes(), wanted.value
+            words, bits, met = WordHashes(), wanted.value, set()
             for batch in batches:
                 found, members = [], []
-                for t in texts_of(batch):
+                for t in chain.from_iterable(in_slices(batch)):
                     s = text_set(words, t)
-                    if len(s):
-                        node = _node(s)
-                        if in_bitmap(bits, np.array([node]).view(np.uint64))[0]:
-                            found.append(node)
-                            members.append(signed(s))
+                    node = _node(s)
+                    if len(s) and node not in met and in_bitmap(bits, np.array([node]).view(np.uint64))[0]:
+                        met.add(node)                            # copies within a task once
+                        found.append(node)
+                        members.append(signed(s))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), list_array(members, pa.int64())],
                                                  names=["node", "members"])
 
@@ -243,7 +214,10 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 .where((5 * F.size("ma") >= 4 * F.size("mb")) & (5 * F.size("mb") >= 4 * F.size("ma")))
                 .where(180 * both >= 80 * (F.size("ma") + F.size("mb"))).select("a", "b"))
 
-    linked = clusters.link_components(scratch, buckets, verify, prepare)
+    def elements(nodes: DataFrame) -> DataFrame:
+        return full["sets"].join(nodes.distinct(), "node").select("node", F.explode("members").alias("g"))
+
+    linked = clusters.link_components(scratch, buckets, verify, prepare, elements)
     rows = sets.select("doc_id", "n", "node").join(linked, "node", "left").select(
         "doc_id", "n", F.coalesce("comp", "node").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
