@@ -1,17 +1,18 @@
 """Connected components of candidate buckets, without all pairs of a bucket.
 
-``link_components`` gets buckets (key, node): nodes that share a key may be
-linked, ``verify`` decides on pairs.  All pairs of a large bucket are never made:
+``link_components`` gets buckets (key, node, short): two nodes may be linked only
+if they share a key that is *short* for the smaller of them.  ``verify`` decides
+on pairs.  All pairs of a large bucket are never made:
 
 1. Every node is tested against one *pivot* of its bucket, the node that shares
    most buckets with most others (linear in the buckets' rows).  What is linked
    is merged; a bucket within one component has nothing left to decide.
-2. If many pairs are left, between different components of the same bucket, the
-   nodes are bounded: a node's overlap with any node of another component is at
-   most the number of its set's elements that such nodes hold at all.  Nodes that
-   cannot reach the similarity with anyone, and pairs that cannot, are dropped.
+2. Sets are bounded: of a node's n elements only s occur in any other node's set,
+   and only ``rest`` of these are no keys.  So a pair overlaps in at most
+   min(s, s') elements, and in at most as many as the keys it shares and the larger
+   rest.  Nodes and pairs that cannot reach the similarity are dropped.
 3. Further rounds of pivots follow while they help; then exactly the pairs that
-   are left are tested.
+   are left are tested, each at the first key that it shares.
 
 Every pair of a bucket is tested, or connected, or proven not to be linked: the
 components are those of all pairs.  The similarity is Jaccard's, at least 4/5.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Pairs tested for each row of the open buckets before bounds are worked out.
-FEW = 4
+#: Pairs for each row of the open buckets up to which they are all made, and up
+#: to which they are left to the bounds; beyond, another round of pivots comes first.
+FEW, MANY = 4, 256
 
 
 def _largest_first(edges: DataFrame) -> DataFrame:
@@ -78,66 +80,48 @@ def _pivots(shared: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("w", "node")).alias("p")).select("key", F.col("p.node").alias("pivot")))
 
 
-def _bounded(nodes: DataFrame, elements: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, n, s): size of a node's set, and how many of its elements nodes of
-    other labels hold; only nodes that can reach the similarity."""
-    held = elements(nodes.select("node")).join(nodes, "node")
-    common = (held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-              .where("lo < hi").select("g", F.lit(1).alias("common")))
-    return (held.join(common, "g", "left").groupBy("node")
-            .agg(F.count("*").alias("n"), F.count("common").alias("s")).where("5 * s >= 4 * n"))
-
-
 def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                    prepare: Callable[[DataFrame], None], elements: Callable[[DataFrame], DataFrame],
-                    *, rounds: int = 4) -> DataFrame:
-    """(node, comp) of all nodes with a link; buckets: (key, node), repeats allowed.
+                    prepare: Callable[[DataFrame], None], limits: Callable[[DataFrame], DataFrame],
+                    *, limits_known: bool, rounds: int = 3) -> DataFrame:
+    """(node, comp) of all nodes with a link; buckets: (key, node, short), repeats
+    allowed.
 
     ``prepare`` gets the nodes that share a bucket, once; ``verify`` maps pairs
-    (a, b), a < b, to those linked; ``elements`` maps nodes to (node, g), their
-    sets' elements.
+    (a, b), a < b, to those linked; ``limits`` maps nodes to (node, n, s, rest):
+    used at once if ``limits_known``, else when many pairs are left.
     """
-    ends = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    shared = scratch.save(
-        buckets.join(ends.where("first < last").select("key"), "key").distinct(), "shared")
+    ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+            .where("lo < hi").select("key"))
+    shared = scratch.save(buckets.join(ends, "key").groupBy("key", "node").agg(F.bool_or("short").alias("short")),
+                          "shared")
     prepare(shared.select("node"))
-
-    def ordered(pairs):
-        return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                .where("a <> b").distinct())
-
-    tested = scratch.save(ordered(shared.join(_pivots(shared), "key")
-                                  .select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs-0")
+    tested = scratch.save(_ordered(shared.join(_pivots(shared), "key")
+                                   .select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs-0")
     links = scratch.save(verify(tested), "links-0")
-    rest, before = shared, None
+    rest, bounds, before = shared, None, None
+    if limits_known:
+        bounds = scratch.save(limits(shared.select("node").distinct()).where("5 * s >= 4 * n"), "limits")
+        rest = rest.join(bounds.select("node"), "node", "left_semi")
     for r in range(1, rounds + 1):
         comp = components(scratch, links, f"parts-{r}", steps=2)
-        labelled = rest.select("key", "node").join(comp, "node", "left").select(
-            "key", "node", F.coalesce("comp", "node").alias("label"))
+        labelled = rest.select("key", "node", "short").join(comp, "node", "left").select(
+            "key", "node", "short", F.coalesce("comp", "node").alias("label"))
         rest = scratch.save(_open(labelled), f"open-{r}")
         left = _left(rest)
         if not left["rows"]:
             break
-        limits = None
-        if left["cross"] > FEW * left["rows"]:
-            limits = scratch.save(_bounded(rest.select("node", "label").distinct(), elements), f"limits-{r}")
-            rest = scratch.save(_open(rest.join(limits, "node").select("key", "node", "label")), f"bounded-{r}")
-            left = _left(rest)
-        last = (left["cross"] <= FEW * left["rows"] or r == rounds
+        many = left["cross"] > FEW * left["rows"]
+        if many and bounds is None:
+            bounds = scratch.save(limits(rest.select("node").distinct()).where("5 * s >= 4 * n"), "limits")
+            rest = scratch.save(_open(rest.join(bounds.select("node"), "node", "left_semi")), f"bounded-{r}")
+        last = (left["cross"] <= MANY * left["rows"] or r == rounds
                 or (before is not None and left["cross"] > 0.9 * before))
         before = left["cross"]
-        if last:
-            one = rest if limits is None else rest.join(limits, "node")
-            columns = one.columns
-            two = one.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
-            pairs = one.join(two, "key").where("label < label2")
-            if limits is not None:
-                pairs = pairs.where("9 * least(s, s2) >= 4 * (n + n2)")
-            new = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+        if not last:
+            new = rest.join(_pivots(rest), "key").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            new = rest.join(_pivots(rest.select("key", "node")), "key").select(
-                F.col("pivot").alias("a"), F.col("node").alias("b"))
-        fresh = scratch.save(ordered(new).join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
+            new = _pairs_left(rest, bounds, many)
+        fresh = scratch.save(_ordered(new).join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
         links = links.union(scratch.save(verify(fresh), f"links-{r}"))
         if last:
             break
@@ -145,8 +129,38 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
     return scratch.save(components(scratch, links, "components"), "linked")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .where("a <> b").distinct())
+
+
+def _pairs_left(rest: DataFrame, bounds: DataFrame | None, many: bool) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket that the bounds leave."""
+    if bounds is None:
+        one = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"))
+        two = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("short").alias("sb"))
+        return one.join(two, "key").where("la < lb and (sa or sb)").select("a", "b")
+    full = rest.join(bounds, "node")
+    columns = ["key", "node", "label", "n", "s", "rest"]
+    needed = "9 * least(s, s2) >= 4 * (n + n2)"
+    if many:                                                 # each pair at its first key, if it shares enough
+        keys = rest.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        full, columns = full.join(keys, "node"), [*columns, "keys"]
+        needed += (" and key = array_intersect(keys, keys2)[0] "
+                   "and 9 * (size(array_intersect(keys, keys2)) + greatest(rest, rest2)) >= 4 * (n + n2)")
+        one = full.select(*columns)
+        order = "node < node2"
+    else:
+        one = full.where("short").select(*columns)
+        order = "(n < n2 or n = n2 and node <> node2)"
+    two = full.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
+    return (one.join(two, "key").where(f"{order} and label <> label2 and {needed}")
+            .select(F.col("node").alias("a"), F.col("node2").alias("b")))
+
+
 def _open(labelled: DataFrame) -> DataFrame:
-    """The rows (key, node, label) of buckets with several labels."""
+    """The rows of buckets with several labels.  Nodes of different labels have
+    only such keys in common."""
     several = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                .where("lo < hi").select("key"))
     return labelled.join(several, "key", "left_semi")

@@ -191,7 +191,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 [pa.array(bands[at]), batch.column("node").take(pa.array(at // BANDS))], names=["key", "node"])
 
     # a band of one line alone needs no bucket
-    buckets = lines.select("bands", "node").mapInArrow(screened, "key long, node long")
+    buckets = lines.select("bands", "node").mapInArrow(screened, "key long, node long").withColumn("short", F.lit(True))
     candidates: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
@@ -226,17 +226,29 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         b = candidates["lines"].select(F.col("node").alias("b"), F.col("line").alias("lb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
-    def elements(nodes: DataFrame) -> DataFrame:
+    def limits(nodes: DataFrame) -> DataFrame:
+        """Sizes of the lines' sets, and how many of their 10-grams several of
+        these lines hold; bands say nothing about the rest."""
+        chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
+
+        def gram_sets(batch):
+            for line in batch.column("line").to_pylist():
+                yield gram_set(line)
+
+        common = spark.sparkContext.broadcast(                        # 16 MB
+            repeat_bitmaps(chosen.select("line"), gram_sets, (2,))[2][0])
+
         def run(batches):
+            bits = common.value
             for batch in batches:
-                sets = [signed(gram_set(x)) for x in batch.column("line").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(sets, pa.int64())],
-                                                 names=["node", "g"])
+                sets = list(gram_sets(batch))
+                n = pa.array([len(x) for x in sets], pa.int64())
+                s = pa.array([int(in_bitmap(bits, x).sum()) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), n, s, s], names=["node", "n", "s", "rest"])
 
-        return (candidates["lines"].join(nodes.distinct(), "node").mapInArrow(run, "node long, g array<long>")
-                .select("node", F.explode("g").alias("g")))
+        return chosen.mapInArrow(run, "node long, n long, s long, rest long")
 
-    groups = clusters.link_components(scratch, buckets, verify, prepare, elements)
+    groups = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=False)
     places = lines.select("k", "h", "pos", "node").join(groups, "node", "left").select(
         F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label"))
     firsts = (places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))

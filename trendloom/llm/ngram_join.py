@@ -118,15 +118,19 @@ def _order_bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per document: node, n, entries in long lists, the prefix's shingles that
-    occur elsewhere (none if too few of the set's do), and all of a small set."""
+    """Per document: node, n, s (shingles that occur elsewhere), short, entries in
+    long lists, the prefix's shingles of these (none if too few), all of a small set.
+
+    A set links with no smaller number of shingles than 8/9 of its own only if
+    the first ``short`` ones hold a common one; with a smaller set, the prefix.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         words, (repeated, long) = WordHashes(), shared.value
         for batch in batches:
-            nodes, sizes, long_entries, prefixes, small = [], [], [], [], []
+            nodes, sizes, elsewhere_n, short, long_entries, prefixes, small = [], [], [], [], [], [], []
             for text in chain.from_iterable(in_slices(batch)):
                 s = text_set(words, text)
                 n, p = len(s), prefix_length(len(s))
@@ -135,6 +139,8 @@ def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> Data
                 # rarest first: those of this set alone, then short lists, then long ones
                 order = np.concatenate((elsewhere[~hot], elsewhere[hot]))
                 order = order[:max(0, p - (n - len(elsewhere)))] if 5 * len(elsewhere) >= 4 * n else s[:0]
+                elsewhere_n.append(len(elsewhere))
+                short.append(max(0, len(elsewhere) + 1 + (-8 * n // 9)))
                 nodes.append(_node(s) if n else None)
                 sizes.append(n)
                 long_entries.append(max(0, len(order) - int((~hot).sum())))
@@ -142,11 +148,12 @@ def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> Data
                 small.append(signed(s) if n <= LARGEST_LIGHT else signed(s[:0]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(elsewhere_n, pa.int64()), pa.array(short, pa.int64()),
                  pa.array(long_entries, pa.int64()), list_array(prefixes, pa.int64()),
                  list_array(small, pa.int64())],
-                names=["doc_id", "node", "n", "long_entries", "prefix", "small"])
+                names=["doc_id", "node", "n", "s", "short", "long_entries", "prefix", "small"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, n long, long_entries long, "
+    return docs.mapInArrow(run, f"doc_id {kind}, node long, n long, s long, short long, long_entries long, "
                                 "prefix array<long>, small array<long>")
 
 
@@ -167,7 +174,7 @@ def _light_buckets(sets: DataFrame, boundary: int) -> DataFrame:
                  pa.array(np.concatenate(nodes) if nodes else np.empty(0, np.int64))], names=["key", "node"])
 
     return sets.where((F.col("n") > 0) & (F.col("n") <= boundary)).select("node", "small").mapInArrow(
-        run, "key long, node long")
+        run, "key long, node long").withColumn("short", F.lit(True))
 
 
 def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +187,8 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
              sets.where((F.col("n") > 0) & (F.col("n") <= LARGEST_LIGHT)).groupBy("n")
              .agg(F.count("*").alias("sets"), F.sum("long_entries").alias("long")).collect()}
     boundary = choose_boundary(sizes)                              # at most LARGEST_LIGHT rows
-    lists = sets.where(5 * F.col("n") >= 4 * (boundary + 1)).select(F.explode("prefix").alias("key"), "node")
+    lists = sets.where(5 * F.col("n") >= 4 * (boundary + 1)).select(
+        F.posexplode("prefix").alias("at", "key"), "node", "short").select("key", "node", (F.col("at") < F.col("short")).alias("short"))
     buckets = lists.union(_light_buckets(sets, boundary))
     full: dict[str, DataFrame] = {}
 
@@ -214,10 +222,14 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
                 .where((5 * F.size("ma") >= 4 * F.size("mb")) & (5 * F.size("mb") >= 4 * F.size("ma")))
                 .where(180 * both >= 80 * (F.size("ma") + F.size("mb"))).select("a", "b"))
 
-    def elements(nodes: DataFrame) -> DataFrame:
-        return full["sets"].join(nodes.distinct(), "node").select("node", F.explode("members").alias("g"))
+    def limits(nodes: DataFrame) -> DataFrame:
+        """Light sets may share subsets instead of list entries: no bound on their rest."""
+        known = sets.join(nodes, "node").groupBy("node").agg(
+            F.first("n").alias("n"), F.first("s").alias("s"), F.first(F.size("prefix")).alias("p"))
+        rest = F.when(F.col("n") <= boundary, F.col("s")).otherwise(F.col("s") - F.col("p"))
+        return known.select("node", "n", "s", rest.alias("rest"))
 
-    linked = clusters.link_components(scratch, buckets, verify, prepare, elements)
+    linked = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=True)
     rows = sets.select("doc_id", "n", "node").join(linked, "node", "left").select(
         "doc_id", "n", F.coalesce("comp", "node").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
