@@ -23,6 +23,7 @@ an empty table on either side gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fixed_bitmap, in_bitmap, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
 from .hashing import MULTIPLIERS, WordHashes, mix, signed, tag
 
 #: Masks of weight 6: 1 looks at a word, 0 ignores it.
@@ -139,15 +140,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     items, distinct, bench_seeds = _items(scratch, benchmark, item, item_text)
     short = sorted(r["n"] for r in distinct.where(F.size("words") < _SHORTEST)
                    .select(F.size("words").alias("n")).distinct().collect())      # fewer than six rows
-    wanted = spark.sparkContext.broadcast(fixed_bitmap(bench_seeds, "h"))
+    wanted = spark.sparkContext.broadcast((                      # two probes of different bits: 4 MB
+        fixed_bitmap(bench_seeds, "h"), fixed_bitmap(bench_seeds.select(F.shiftleft("h", 24).alias("h")), "h")))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def regions(batches):
-        words, bits = WordHashes(), wanted.value
+        words, (first, second) = WordHashes(), wanted.value
         for batch in batches:
             row, begins, kept, hit_pos, hit_hash = [], [], [], [], []
-            for i, t in enumerate(texts_of(batch)):
+            for i, t in enumerate(chain.from_iterable(in_slices(batch))):
                 w = word_hashes(words, t)
                 starts, spans, h = seeds(w)
                 for n in short:
@@ -155,7 +157,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                     starts = np.concatenate((starts, np.arange(len(more), dtype=np.int32)))
                     spans = np.concatenate((spans, np.full(len(more), n, np.int32)))
                     h = np.concatenate((h, more))
-                found = np.flatnonzero(in_bitmap(bits, h))
+                found = np.flatnonzero(in_bitmap(first, h))
+                found = found[in_bitmap(second, h[found] << np.uint64(24))]
                 if not len(found):
                     continue
                 found = found[np.argsort(starts[found], kind="stable")]
