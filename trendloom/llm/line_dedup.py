@@ -2,10 +2,10 @@
 
 Lines are normalised (lower case, single blanks, trimmed); those of at least
 ``min_chars`` characters take part, shorter ones stay where they are.  Equal
-normalised lines are one node.  A node's signature holds the minima of 40 hash
-functions over its character 10-grams; 10 bands of 4 minima are the buckets
-(a pair of Jaccard similarity 0.8 shares one with a probability of 0.995, of 0.9
-with 0.9999).  ``clusters.link_components`` takes pairs from the buckets, the
+normalised lines are one node.  A node's signature holds the minima of 96 hash
+functions over its character 10-grams; 16 bands of 6 minima are the buckets
+(a pair of Jaccard similarity 0.8 shares one with a probability of 0.992, of 0.85
+with 0.9997).  ``clusters.link_components`` takes pairs from the buckets, the
 exact Jaccard similarity of the distinct 10-grams (at least 0.8) decides, and
 the linked nodes' components keep one line each: the first by id, then by line
 number.
@@ -39,11 +39,12 @@ from .repeats import repeat_bitmaps
 
 MIN_CHARS = 20
 GRAM = 10
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 16, 6
+MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
 
-_A = (MULTIPLIERS[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
 _G = [(m >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for m in MULTIPLIERS[50:55]]
 
 
@@ -176,11 +177,12 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     lines = scratch.save(rows.mapInArrow(
         signatures, f"k {kind}, h long, pos int, node long, bands array<long>"), "lines")
-    def band_hashes(batch):
+    def hashes(batch):
         yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+        yield batch.column("node").to_numpy().view(np.uint64)
 
-    repeated = spark.sparkContext.broadcast(                          # 16 MB
-        repeat_bitmaps(lines.select("bands"), band_hashes, (2,))[2][0])
+    repeated = spark.sparkContext.broadcast(                          # 8 MB: bands and nodes met twice
+        repeat_bitmaps(lines.select("bands", "node"), hashes, (2,))[2][0])
 
     def screened(batches):
         bits = repeated.value
@@ -235,7 +237,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             for line in batch.column("line").to_pylist():
                 yield gram_set(line)
 
-        common = spark.sparkContext.broadcast(                        # 16 MB
+        common = spark.sparkContext.broadcast(                        # 8 MB
             repeat_bitmaps(chosen.select("line"), gram_sets, (2,))[2][0])
 
         def run(batches):
@@ -249,7 +251,17 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return chosen.mapInArrow(run, "node long, n long, s long, rest long")
 
     groups = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=False)
-    places = lines.select("k", "h", "pos", "node").join(groups, "node", "left").select(
+    in_groups = spark.sparkContext.broadcast(fixed_bitmap(groups, "node"))
+
+    def met_again(batches):
+        bits, members = repeated.value, in_groups.value
+        for batch in batches:
+            node = batch.column("node").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_bitmap(bits, node) | in_bitmap(members, node)))
+
+    # a line that occurs once and is in no group stays
+    places = lines.select("k", "h", "pos", "node")
+    places = places.mapInArrow(met_again, places.schema).join(groups, "node", "left").select(
         F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label"))
     firsts = (places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))
               .where("n > 1").select("label", "first"))
@@ -267,7 +279,11 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     drops = line_drops(docs, key=key, text=text, min_chars=min_chars)
     tag = uuid.uuid4().hex[:8]                                   # names that cannot clash
     k, h, d = f"k_{tag}", f"h_{tag}", f"d_{tag}"
-    drops = drops.select(F.col("k").alias(k), F.col("h").alias(h), F.col("drops").alias(d))
+    drops = Scratch(docs.sparkSession, "drops").save(
+        drops.select(F.col("k").alias(k), F.col("h").alias(h), F.col("drops").alias(d)), "drops")
+    size = drops.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(d)), F.lit(0)).alias("lines")).first()
+    if size["n"] <= MAX_BROADCAST[0] and size["lines"] <= MAX_BROADCAST[1]:
+        drops = F.broadcast(drops)
     hashed = docs.withColumn(f"t_{tag}", F.xxhash64(F.col(text)))
     joined = hashed.join(drops, hashed[key].eqNullSafe(drops[k]) & (hashed[f"t_{tag}"] == drops[h]), "left")
     columns = docs.columns

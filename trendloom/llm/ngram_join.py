@@ -54,7 +54,7 @@ from .repeats import repeat_bitmaps
 WIDTH = 5
 LONG_LISTS = (64, 512, 4096)     # a list of so many documents is long; the first that marks few enough
 LARGEST_LIGHT = 12               # the boundary is sought up to here
-_MAX_LONG = 1 << 23              # marked long lists: a sixteenth of the bitmap
+_MAX_LONG = 1 << 23              # marked long lists: an eighth of the bitmap
 
 
 def needed_overlap(n: int, m: int) -> int:
@@ -124,7 +124,7 @@ def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> Data
     A set links with no smaller number of shingles than 8/9 of its own only if
     the first ``short`` ones hold a common one; with a smaller set, the prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 16 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 8 MB
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):

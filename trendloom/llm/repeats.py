@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the bits of a map: 16 MB, whatever the input's size.
-BITS_LOG2 = 27
+#: log2 of the bits of a map: 8 MB, whatever the input's size.
+BITS_LOG2 = 26
 _BLOCK = 1 << 21
 
 
