@@ -5,6 +5,7 @@ batch plumbing for ``mapInArrow``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +69,12 @@ def per_batch(rows: Callable[[pa.RecordBatch], dict], schema: pa.Schema
     return run
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[str]:
     """The texts of a batch; null counts as empty."""
-    return [t or "" for t in batch.column(column).to_pylist()]
+    return chain.from_iterable(in_slices(batch, column))
 
 
-def in_slices(batch: pa.RecordBatch, column: str = "text", characters: int = 2_000_000) -> Iterator[list[str]]:
+def in_slices(batch: pa.RecordBatch, column: str | int = "text", characters: int = 1_000_000) -> Iterator[list[str]]:
     """The texts of a batch, a few million characters at a time, so that only
     those are Python objects at once; null counts as empty."""
     some, size = [], 0
@@ -86,6 +87,7 @@ def in_slices(batch: pa.RecordBatch, column: str = "text", characters: int = 2_0
             some, size = [], 0
     if some:
         yield some
+    pa.default_memory_pool().release_unused()                # workers live on
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

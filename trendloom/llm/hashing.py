@@ -9,7 +9,7 @@ import xxhash
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(i), seed=7) | 1 for i in range(64)],
                        dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 250_000
 
 
 class WordHashes(dict):

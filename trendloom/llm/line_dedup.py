@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import uuid
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
 from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
@@ -110,7 +109,7 @@ def _block_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=4_000)
 def _kept_set(line: str) -> np.ndarray:
     return gram_set(line)
 
@@ -204,7 +203,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             bits = wanted.value
             for batch in batches:
                 found: dict[int, str] = {}
-                for t in chain.from_iterable(in_slices(batch)):
+                for t in texts_of(batch):
                     found.update((_node(n), n) for _, n in _eligible(t, min_chars))
                 nodes = np.fromiter(found, dtype=np.int64, count=len(found))
                 keep = in_bitmap(bits, nodes.view(np.uint64))

@@ -43,7 +43,7 @@ from .common import Scratch, in_slices
 
 CAPACITY = 4096
 CLOSING_ID = 1
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 600_000
 _TOGETHER = 256                  # words encoded as one text, full stops between them
 _LONGEST_CACHED = 48
 #: Between a letter or digit and a mark after it.

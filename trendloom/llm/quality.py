@@ -165,7 +165,7 @@ def _with_evidence(docs: DataFrame, model: Evidence | None, names: _Columns, tex
     def run(batches):
         m = shared.value
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([statistics(t) for t in texts_of(batch, at)]).reshape(-1, len(FEATURES))
             odds = m.log_odds(x) if m else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(odds - (m.prior if m else 0.0)), pa.array(1 / (1 + np.exp(-odds)))],

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits of a map: 8 MB, whatever the input's size.
 BITS_LOG2 = 26
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 def _planes(cells: np.ndarray) -> bytes:
