@@ -4,7 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from trendloom.streaming.streams import latest_counts, monthly_rollup, windowed_counts_stream
+from trendloom.sources.tables import to_records
+from trendloom.streaming.streams import (ingest_stream, latest_counts, monthly_rollup, stream_table,
+                                         windowed_counts_stream)
 
 
 def test_rows_later_than_the_watermark_are_dropped(spark, tmp_dir):
@@ -30,3 +32,34 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_dir):
     months = {(r.year_month, r.word, r.num_occurences)
               for r in monthly_rollup(latest_counts(spark, f"{tmp_dir}/sink")).collect()}
     assert months == {("2024-01", "a", 3)}
+
+
+def _ingest(spark, src, root):
+    rows = (spark.readStream.schema("id string, ts timestamp").option("recursiveFileLookup", True).parquet(src))
+    q = ingest_stream(rows.withColumn("at", F.col("ts")), f"{root}/sink", f"{root}/ck", ["id"], "at")
+    q.awaitTermination()
+    return sorted(r.id for r in spark.read.parquet(f"{root}/sink").collect())
+
+
+def test_ingest_keeps_new_keys_however_late(spark, tmp_dir):
+    def write(name, *rows):
+        (spark.createDataFrame(list(rows), "id string, s string").select("id", F.to_timestamp("s").alias("ts"))
+         .coalesce(1).write.parquet(f"{tmp_dir}/src/{name}"))
+
+    write("b0", ("a", "2024-01-20 10:00:00"), ("a", "2024-01-20 10:00:00"))
+    assert _ingest(spark, f"{tmp_dir}/src", tmp_dir) == ["a"]
+    write("b1", ("new", "2024-01-21 00:00:00"), ("old", "2024-01-01 00:00:00"), ("a", "2024-01-20 10:00:00"))
+    assert _ingest(spark, f"{tmp_dir}/src", tmp_dir) == ["a", "new", "old"]
+
+
+def test_stream_reads_a_table_stored_as_a_folder(spark, tmp_dir):
+    spark.range(100).repartition(4).write.parquet(f"{tmp_dir}/t.parquet")
+    q = (stream_table(spark, tmp_dir, "t").writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 100
+
+
+def test_records_keep_null_fields(spark):
+    df = spark.createDataFrame([("2019-01", None)], "ym string, title string")
+    assert to_records(df).first().record == '{"ym":"2019-01","title":null}'

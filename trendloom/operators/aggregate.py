@@ -114,7 +114,7 @@ def audit(df: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
     """
     dups = duplicate_keys(df, keys).select(
         F.lit("duplicate_key").alias("violation"),
-        F.to_json(F.struct(*keys)).alias("key"),
+        F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key"),
         F.col("n"))
     if not required:
         return dups

@@ -175,15 +175,17 @@ def refresh_incremental(stories: DataFrame, comments: DataFrame, dictionary, roo
         seen, pending = f"{root}/_seen_{kind}", f"{root}/_pending_{kind}"
         left_over = read_or_none(pending)
         recovering = left_over is not None and not left_over.isEmpty()
-        if not recovering:
-            fresh_ids = docs.select("objectid").join(spark.read.parquet(seen), "objectid", "left_anti")
-            fresh_ids.write.mode("overwrite").parquet(pending)
-        ids = spark.read.parquet(pending)
-        facts = match(docs.join(ids, "objectid", "left_semi"), dictionary)
-        if recovering:   # some of these facts may be stored already
-            stored = read_table(spark, paths[table], table).join(ids, "objectid", "left_semi")
-            facts = append_new(stored, facts, ["word", "objectid"])
-        write_table(facts, paths[table], table, mode="append")
-        ids.write.mode("append").parquet(seen)
-        spark.createDataFrame([], "objectid string").write.mode("overwrite").parquet(pending)
+        # what an interrupted run left over first, then the documents not seen yet
+        for left_from_before in ([True, False] if recovering else [False]):
+            if not left_from_before:
+                fresh_ids = docs.select("objectid").join(spark.read.parquet(seen), "objectid", "left_anti")
+                fresh_ids.write.mode("overwrite").parquet(pending)
+            ids = spark.read.parquet(pending)
+            facts = match(docs.join(ids, "objectid", "left_semi"), dictionary)
+            if left_from_before:   # some of these facts may be stored already
+                stored = read_table(spark, paths[table], table).join(ids, "objectid", "left_semi")
+                facts = append_new(stored, facts, ["word", "objectid"])
+            write_table(facts, paths[table], table, mode="append")
+            ids.write.mode("append").parquet(seen)
+            spark.createDataFrame([], "objectid string").write.mode("overwrite").parquet(pending)
     return paths

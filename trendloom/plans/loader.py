@@ -21,6 +21,7 @@ from ..operators.append import append_new
 from ..operators.ingest import of_kind, pending_comments, select_new, to_comments, to_stories
 from ..sources.hits import read_hits
 from ..sources.tables import mark_processed, read_table, write_table
+from ..session import scratch_path
 from . import api
 
 
@@ -47,7 +48,10 @@ def process_all_comments(spark: SparkSession, hits_path: str, stories: DataFrame
                          as_of: str | _dt.date | None = None, **hiring_params) -> DataFrame:
     """Comments of all unprocessed hiring threads appended, then the threads logged."""
     log = _table_or_empty(spark, log_path, "hiring_posts_log")
-    threads = api.unprocessed_hiring_stories(stories, log, as_of, **hiring_params)
+    # the list is written once: both steps below must see the same threads
+    chosen = scratch_path(spark, "threads")
+    api.unprocessed_hiring_stories(stories, log, as_of, **hiring_params).write.parquet(chosen)
+    threads = spark.read.parquet(chosen)
     comments = to_comments(of_kind(read_hits(spark, hits_path), "comment"))
     todo = pending_comments(comments, threads)
     existing = _table_or_empty(spark, comments_path, "hiring_comments")

@@ -434,13 +434,8 @@ def process_comments_run(spark, sf_dir):
 
 # ---- streaming -------------------------------------------------------------------
 
-STREAM_TIMEOUT_S = 1800
-
-
 def _run(query) -> None:
-    query.awaitTermination(STREAM_TIMEOUT_S)
-    if query.exception() is not None:
-        raise query.exception()
+    query.awaitTermination()      # to the end of the available input; raises if the query failed
 
 
 def r1_stream_ingest(spark, sf_dir):

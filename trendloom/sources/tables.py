@@ -60,5 +60,6 @@ def mark_processed(ids: DataFrame, path: str) -> None:
 
 
 def to_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row (the API's list-of-records payload)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
+    """One JSON object per row (the API's list-of-records payload); a NULL
+    field is kept as ``null``."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))

@@ -1,10 +1,10 @@
 """Structured Streaming.
 
-R1  idempotent ingest: new hit files -> drop repeats within the watermark
-    (state) -> ``foreachBatch`` append-new (S5) against the sink, so repeats
-    older than the watermark and a re-run batch after a failure are absorbed
-    too.  The checkpoint records which files were read: a restart re-reads
-    nothing and an interrupted batch is redone whole.
+R1  idempotent ingest: new files -> ``foreachBatch`` append-new (S5): repeats
+    within a batch and against the sink are dropped, every new key is kept
+    however late it comes (no watermark, no state).  The checkpoint records
+    which files were read: a restart re-reads nothing and an interrupted batch
+    is redone whole.
 R2  continuous postings: the matching expressions (T7/T8) on a streaming
     DataFrame; stateless, append to a Parquet sink partitioned by word
     (exactly-once file sink).
@@ -31,15 +31,22 @@ from ..session import table_path
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over the ``<name>.parquet`` files of a folder.
+    """A file stream over a table: ``<name>.parquet``, a file or a folder of files.
 
     The schema is taken from the existing table once (never inferred per file).
     """
-    sch = spark.read.parquet(table_path(sf_dir, name)).schema
-    reader = spark.readStream.schema(sch).option("pathGlobFilter", f"{name}.parquet")
+    path = table_path(sf_dir, name)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def _ensure_sink(spark: SparkSession, path: str, schema) -> None:
@@ -51,8 +58,7 @@ def _ensure_sink(spark: SparkSession, path: str, schema) -> None:
 
 
 def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
-                  event_time: str, watermark: str = "5 days",
-                  order: list[str] | None = None, available_now: bool = True,
+                  event_time: str, order: list[str] | None = None, available_now: bool = True,
                   partition_col: str | None = "event_day") -> StreamingQuery:
     """Append each new key once; ``event_time`` must be a TIMESTAMP column.
 
@@ -62,13 +68,12 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
     """
     spark = stream.sparkSession
     out_cols = [c for c in stream.columns if c != event_time]
-    deduped = (stream.withWatermark(event_time, watermark)
-               .dropDuplicatesWithinWatermark(key))
+    rows_in = stream
     if partition_col:
         day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col(event_time)) / 86400).cast("int"))
-        deduped = deduped.withColumn(partition_col, day)
+        rows_in = rows_in.withColumn(partition_col, day)
         out_cols = out_cols + [partition_col]
-    sink_schema = deduped.select(*out_cols).schema
+    sink_schema = rows_in.select(*out_cols).schema
     _ensure_sink(spark, sink, sink_schema)
 
     staging = f"{checkpoint.rstrip('/')}/staging"
@@ -77,25 +82,21 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
         # A micro-batch runs in the stream's own session, where AQE is off (so
         # a REBALANCE would be dropped and every task would write a file per
         # day).  Stage the batch once in the shared checkpoint folder and do
-        # the conflict check and the write in the caller's session: the
-        # stateful de-duplication runs once, and a rerun of the batch simply
-        # overwrites the staging copy.
+        # the conflict check and the write in the caller's session; a rerun of
+        # the batch simply overwrites the staging copy.
         batch.select(*out_cols).write.mode("overwrite").parquet(staging)
         rows = spark.read.schema(sink_schema).parquet(staging)
-        if rows.isEmpty():   # e.g. the no-data batch a watermark advance triggers
+        if rows.isEmpty():
             return
         existing = spark.read.schema(sink_schema).parquet(sink)
-        # keys are unique in a batch already (first arrival kept by the state
-        # store), so only the conflict check with the sink remains
-        fresh = append_new(existing, rows, key, order, prune_on=partition_col,
-                           deduplicate=False)
+        fresh = append_new(existing, rows, key, order, prune_on=partition_col)
         if partition_col:
             fresh = fresh.hint("rebalance", partition_col)
             fresh.write.mode("append").partitionBy(partition_col).parquet(sink)
         else:
             fresh.write.mode("append").parquet(sink)
 
-    writer = deduped.writeStream.foreachBatch(_append).option("checkpointLocation", checkpoint)
+    writer = rows_in.writeStream.foreachBatch(_append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
