@@ -53,8 +53,9 @@ from .repeats import repeat_bitmaps
 
 WIDTH = 5
 LONG_LISTS = (64, 512, 4096)     # a list of so many documents is long; the first that marks few enough
+BITS_LOG2 = 27                   # of the bitmaps of shingles: 16 MB each
 LARGEST_LIGHT = 12               # the boundary is sought up to here
-_MAX_LONG = 1 << 23              # marked long lists: an eighth of the bitmap
+_MAX_LONG = 1 << 23              # marked long lists: a sixteenth of the bitmap
 
 
 def needed_overlap(n: int, m: int) -> int:
@@ -112,7 +113,7 @@ def _order_bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t in texts:
                 yield text_set(words, t)
 
-    found = repeat_bitmaps(docs.select("text"), sets, (2, *LONG_LISTS))
+    found = repeat_bitmaps(docs.select("text"), sets, (2, *LONG_LISTS), BITS_LOG2)
     long = next((k for k in LONG_LISTS if found[k][1] <= _MAX_LONG), LONG_LISTS[-1])
     return found[2][0], found[long][0]
 
@@ -124,7 +125,7 @@ def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> Data
     A set links with no smaller number of shingles than 8/9 of its own only if
     the first ``short`` ones hold a common one; with a smaller set, the prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)     # 2 x 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the bits of a map: 8 MB, whatever the input's size.
+#: log2 of the bits of a map unless told otherwise: 8 MB, whatever the input's size.
 BITS_LOG2 = 26
 _BLOCK = 1 << 20
 
@@ -36,7 +36,7 @@ def _cells(planes: bytes) -> np.ndarray:
 
 
 def repeat_bitmaps(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
-                   levels: tuple[int, ...]) -> dict[int, tuple[np.ndarray, int]]:
+                   levels: tuple[int, ...], bits_log2: int = BITS_LOG2) -> dict[int, tuple[np.ndarray, int]]:
     """level -> (bitmap, marks) of the hashes that occur at least ``level`` times.
 
     ``hashes`` yields the uint64 hashes of a batch, part by part.
@@ -71,7 +71,7 @@ def repeat_bitmaps(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[
         cells = np.sort(np.concatenate([_cells(b.as_py()) for b in table.column("cells")]))
         at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         n = np.diff(np.append(at, len(cells)))
-        spot = ((np.uint64(key[0].as_py()) << np.uint64(24)) | cells[at]) >> np.uint64(ranges + 24 - BITS_LOG2)
+        spot = ((np.uint64(key[0].as_py()) << np.uint64(24)) | cells[at]) >> np.uint64(ranges + 24 - bits_log2)
         out = []
         for level in levels:
             marked = spot[n >= level]
@@ -87,8 +87,8 @@ def repeat_bitmaps(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[
              .groupBy("level", "w").agg(F.bit_or("b").alias("b"), F.sum("n").alias("n"))).toArrow()
     found = {}
     level, w, b, n = (words.column(c).to_numpy() for c in ("level", "w", "b", "n"))
-    for k in levels:                                         # at most 2**(BITS_LOG2 - 6) words each
-        bits = np.zeros(1 << (BITS_LOG2 - 6), dtype=np.uint64)
+    for k in levels:                                         # at most 2**(bits_log2 - 6) words each
+        bits = np.zeros(1 << (bits_log2 - 6), dtype=np.uint64)
         bits[w[level == k]] = b[level == k].view(np.uint64)
         found[k] = bits, int(n[level == k].sum())
     return found
