@@ -176,12 +176,29 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     lines = scratch.save(rows.mapInArrow(
         signatures, f"k {kind}, h long, pos int, node long, bands array<long>"), "lines")
-    def hashes(batch):
-        yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+    def node_hashes(batch):
         yield batch.column("node").to_numpy().view(np.uint64)
 
-    repeated = spark.sparkContext.broadcast(                          # 8 MB: bands and nodes met twice
-        repeat_bitmaps(lines.select("bands", "node"), hashes, (2,))[2][0])
+    def band_hashes(batch):
+        yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+
+    again = spark.sparkContext.broadcast(                             # 8 MB: nodes met twice
+        repeat_bitmaps(lines.select("node"), node_hashes, (2,))[2][0])
+
+    def met(twice: bool) -> DataFrame:
+        def run(batches):
+            bits = again.value
+            for batch in batches:
+                node = batch.column("node").to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(in_bitmap(bits, node) == twice))
+
+        found = lines.select("node", "bands")
+        return found.mapInArrow(run, found.schema)
+
+    # equal lines are one node, whose bands count once
+    nodes = met(False).union(scratch.save(met(True).groupBy("node").agg(F.first("bands").alias("bands")), "equal"))
+    repeated = spark.sparkContext.broadcast(                          # 8 MB: bands of several nodes
+        repeat_bitmaps(nodes.select("bands"), band_hashes, (2,))[2][0])
 
     def screened(batches):
         bits = repeated.value
@@ -191,8 +208,9 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bands[at]), batch.column("node").take(pa.array(at // BANDS))], names=["key", "node"])
 
-    # a band of one line alone needs no bucket
-    buckets = lines.select("bands", "node").mapInArrow(screened, "key long, node long").withColumn("short", F.lit(True))
+    # a band of one node alone needs no bucket
+    buckets = scratch.save(nodes.mapInArrow(screened, "key long, node long"), "buckets").withColumn(
+        "short", F.lit(True))
     candidates: dict[str, DataFrame] = {}
 
     def prepare(nodes: DataFrame) -> None:
@@ -253,7 +271,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     in_groups = spark.sparkContext.broadcast(fixed_bitmap(groups, "node"))
 
     def met_again(batches):
-        bits, members = repeated.value, in_groups.value
+        bits, members = again.value, in_groups.value
         for batch in batches:
             node = batch.column("node").to_numpy().view(np.uint64)
             yield batch.filter(pa.array(in_bitmap(bits, node) | in_bitmap(members, node)))
