@@ -22,7 +22,6 @@ different ones are taken for equal with a probability of about 2**-64.
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, texts_of
 from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
@@ -55,13 +54,23 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def gram_set(line: str) -> np.ndarray:
-    """Distinct 64-bit hashes of a line's 10-grams, ascending."""
-    c = np.frombuffer(line.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+def gram_sets(lines: list[str]) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of each line's 10-grams, ascending."""
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     two = c[:-1] * MULTIPLIERS[50] + c[1:]
     four = two[:-2] * MULTIPLIERS[51] + two[2:]
     eight = four[:-4] * MULTIPLIERS[52] + four[4:]
-    return np.unique(mix((eight[:-2] * MULTIPLIERS[53]) ^ two[8:]))
+    grams = mix((eight[:-2] * MULTIPLIERS[53]) ^ two[8:])
+    sets, begin = [], 0
+    for line in lines:
+        g = np.sort(grams[begin:begin + len(line) - GRAM + 1])
+        sets.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
+        begin += len(line)
+    return sets
+
+
+def gram_set(line: str) -> np.ndarray:
+    return gram_sets([line])[0]
 
 
 def gram_hashes(c: np.ndarray) -> np.ndarray:
@@ -109,15 +118,8 @@ def _block_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-@lru_cache(maxsize=4_000)
-def _kept_set(line: str) -> np.ndarray:
-    return gram_set(line)
-
-
-def linked(a: str, b: str) -> bool:
-    """Whether the distinct 10-grams of two lines have a Jaccard similarity of
-    at least SIMILARITY."""
-    x, y = _kept_set(a), _kept_set(b)
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of 10-grams have a Jaccard similarity of at least SIMILARITY."""
     least = SIMILARITY * (len(x) + len(y)) / (1 + SIMILARITY)        # of their overlap
     if min(len(x), len(y)) < least - 1e-9:
         return False
@@ -125,10 +127,37 @@ def linked(a: str, b: str) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least - 1e-9
 
 
-def fixed_lists(rows: np.ndarray) -> pa.ListArray:
-    """A list per row of a matrix."""
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+def linked(a: list[str], b: list[str]) -> list[bool]:
+    """Which lines of ``a`` are similar to the line of ``b`` at the same place."""
+    out: list[bool] = []
+    while len(out) < len(a):
+        places: dict[str, int] = {}                          # a block's lines, each taken apart once
+        begin = end = len(out)
+        size = 0
+        while end < len(a) and (size == 0 or size + len(a[end]) + len(b[end]) <= 4 * _BLOCK):
+            for line in (a[end], b[end]):
+                if line not in places:
+                    places[line] = len(places)
+                    size += len(line)
+            end += 1
+        sets = gram_sets(list(places))
+        out += [similar(sets[places[x]], sets[places[y]]) for x, y in zip(a[begin:end], b[begin:end])]
+    return out
+
+
+def packed(rows: np.ndarray) -> pa.BinaryArray:
+    """The rows of a matrix of 64-bit values as one binary value each."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def unpacked(column: pa.BinaryArray) -> np.ndarray:
+    """The 64-bit values of packed rows, one after the other."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.empty(0, np.int64)
+    at = np.frombuffer(offsets, dtype=np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, dtype=np.uint8)[at[0]:at[1]].view(np.int64)
 
 
 def _node(line: str) -> int:
@@ -171,16 +200,16 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
-                 pa.array(nodes, pa.int64()), fixed_lists(np.concatenate(keys))],
+                 pa.array(nodes, pa.int64()), packed(np.concatenate(keys))],
                 names=["k", "h", "pos", "node", "bands"])
 
     lines = scratch.save(rows.mapInArrow(
-        signatures, f"k {kind}, h long, pos int, node long, bands array<long>"), "lines")
+        signatures, f"k {kind}, h long, pos int, node long, bands binary"), "lines")
     def node_hashes(batch):
         yield batch.column("node").to_numpy().view(np.uint64)
 
     def band_hashes(batch):
-        yield batch.column("bands").flatten().to_numpy().view(np.uint64)
+        yield unpacked(batch.column("bands")).view(np.uint64)
 
     again = spark.sparkContext.broadcast(                             # 8 MB: nodes met twice
         repeat_bitmaps(lines.select("node"), node_hashes, (2,))[2][0])
@@ -203,7 +232,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def screened(batches):
         bits = repeated.value
         for batch in batches:
-            bands = batch.column("bands").flatten().to_numpy()
+            bands = unpacked(batch.column("bands"))
             at = np.flatnonzero(in_bitmap(bits, bands.view(np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bands[at]), batch.column("node").take(pa.array(at // BANDS))], names=["key", "node"])
@@ -236,8 +265,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
-                keep = [linked(x, y) for x, y in
-                        zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
+                keep = linked(batch.column("la").to_pylist(), batch.column("lb").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["a", "b"])
 
@@ -250,17 +278,17 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         these lines hold; bands say nothing about the rest."""
         chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
 
-        def gram_sets(batch):
+        def sets_of(batch):
             for line in batch.column("line").to_pylist():
                 yield gram_set(line)
 
         common = spark.sparkContext.broadcast(                        # 8 MB
-            repeat_bitmaps(chosen.select("line"), gram_sets, (2,))[2][0])
+            repeat_bitmaps(chosen.select("line"), sets_of, (2,))[2][0])
 
         def run(batches):
             bits = common.value
             for batch in batches:
-                sets = list(gram_sets(batch))
+                sets = list(sets_of(batch))
                 n = pa.array([len(x) for x in sets], pa.int64())
                 s = pa.array([int(in_bitmap(bits, x).sum()) for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("node"), n, s, s], names=["node", "n", "s", "rest"])
@@ -278,7 +306,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # a line that occurs once and is in no group stays
     places = lines.select("k", "h", "pos", "node")
-    places = places.mapInArrow(met_again, places.schema).join(groups, "node", "left").select(
+    places = scratch.save(places.mapInArrow(met_again, places.schema), "places").join(groups, "node", "left").select(
         F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label"))
     firsts = (places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))
               .where("n > 1").select("label", "first"))
