@@ -208,30 +208,36 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def node_hashes(batch):
         yield batch.column("node").to_numpy().view(np.uint64)
 
-    def band_hashes(batch):
-        yield unpacked(batch.column("bands")).view(np.uint64)
-
     again = spark.sparkContext.broadcast(                             # 8 MB: nodes met twice
         repeat_bitmaps(lines.select("node"), node_hashes, (2,))[2][0])
 
-    def met(twice: bool) -> DataFrame:
-        def run(batches):
-            bits = again.value
-            for batch in batches:
-                node = batch.column("node").to_numpy().view(np.uint64)
-                yield batch.filter(pa.array(in_bitmap(bits, node) == twice))
+    def met_twice(batch):
+        return in_bitmap(again.value, batch.column("node").to_numpy().view(np.uint64))
 
-        found = lines.select("node", "bands")
-        return found.mapInArrow(run, found.schema)
+    def equal_lines(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(met_twice(batch)))
 
     # equal lines are one node, whose bands count once
-    nodes = met(False).union(scratch.save(met(True).groupBy("node").agg(F.first("bands").alias("bands")), "equal"))
+    signed_nodes = lines.select("node", "bands")
+    merged = scratch.save(signed_nodes.mapInArrow(equal_lines, signed_nodes.schema)
+                          .groupBy("node").agg(F.first("bands").alias("bands")), "merged")
+    nodes = (signed_nodes.withColumn("merged", F.lit(False))
+             .union(merged.withColumn("merged", F.lit(True))))
+
+    def each_once(batch):
+        """The batch's nodes, those met twice from the merged rows only."""
+        return batch.filter(pa.array(batch.column("merged").to_numpy(zero_copy_only=False) | ~met_twice(batch)))
+
+    def band_hashes(batch):
+        yield unpacked(each_once(batch).column("bands")).view(np.uint64)
+
     repeated = spark.sparkContext.broadcast(                          # 8 MB: bands of several nodes
-        repeat_bitmaps(nodes.select("bands"), band_hashes, (2,))[2][0])
+        repeat_bitmaps(nodes, band_hashes, (2,))[2][0])
 
     def screened(batches):
         bits = repeated.value
-        for batch in batches:
+        for batch in map(each_once, batches):
             bands = unpacked(batch.column("bands"))
             at = np.flatnonzero(in_bitmap(bits, bands.view(np.uint64)))
             yield pa.RecordBatch.from_arrays(
