@@ -100,8 +100,8 @@ def test_subsets_find_every_pair_of_light_sets():
                     assert both >= c and c in ngram_join.subset_sizes(n, 12) and c in ngram_join.subset_sizes(m, 12)
 
 
-@pytest.mark.parametrize("few,many", [(4, 256), (0, 0), (0, 10 ** 9)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, few, many):
+@pytest.mark.parametrize("few,many,sketches", [(4, 256, False), (0, 0, False), (0, 10 ** 9, False), (0, 10 ** 9, True)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, few, many, sketches):
     """Random sets, all elements as keys: every path of the pairs left over."""
     monkeypatch.setattr(clusters, "FEW", few)
     monkeypatch.setattr(clusters, "MANY", many)
@@ -112,7 +112,9 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, few, many):
                                  "key long, node long, short boolean")
     linked = {(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
     links = spark.createDataFrame(list(linked) or [(0, 0)], "a long, b long")
-    sizes = spark.createDataFrame([(n, len(s), len(s), 0) for n, s in sets.items()], "node long, n long, s long, rest long")
+    sizes = spark.createDataFrame([(n, len(s), len(s), 0, [sum(1 << int(g) for g in s if g < 60), sum(1 << int(g) - 100 for g in s if g >= 100)])
+                                   for n, s in sets.items()], "node long, n long, s long, rest long, sketch array<long>")
+    sizes = sizes if sketches else sizes.drop("sketch")
     got = clusters.link_components(common.Scratch(spark, "t"), held, lambda p: p.join(links, ["a", "b"]),
                                    lambda nodes: None, lambda nodes: sizes, limits_known=True)
     want = {n: c for n, c in jaccard_classes(sets).items()}
@@ -145,6 +147,32 @@ def test_lines_keep_one_of_each_group(spark, texts):
     assert all(got[i].n == len(texts[i].split("\n")) for i in texts)
 
 
+def test_lines_near_but_not_near_enough(spark, monkeypatch):
+    """A group whose pairs are mostly below the similarity, by sketches and by
+    every pair."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}{k * 7 % 13}" for k in range(400)]
+    start = [words[int(k)] for k in rng.integers(0, 400, 30)]
+    lines = []
+    for _ in range(150):
+        line = list(start)
+        for k in rng.choice(30, int(rng.integers(1, 5)), replace=False):
+            line[k] = words[int(rng.integers(400))]
+        lines.append(" ".join(line))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = []
+    for few in (0, 10 ** 9):
+        monkeypatch.setattr(clusters, "FEW", few)
+        kept.append({r.doc_id for r in line_dedup.dedup_lines(df).where("text <> ''").collect()})
+    assert kept[0] == kept[1] and 1 < len(kept[0]) < 150
+    sets = [line_dedup.gram_set(x) for x in lines]
+    marks = [line_dedup.sketch(x).view(np.uint64) for x in sets]
+    for a in range(40):
+        for b in range(a):
+            differ = sum(int(x).bit_count() for x in marks[a] ^ marks[b])
+            assert differ <= len(np.setxor1d(sets[a], sets[b]))
+
+
 def test_pieces_and_sequences(spark, texts):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(TOKENIZER)

@@ -10,7 +10,9 @@ on pairs.  All pairs of a large bucket are never made:
 2. Sets are bounded: of a node's n elements only s occur in any other node's set,
    and only ``rest`` of these are no keys.  So a pair overlaps in at most
    min(s, s') elements, and in at most as many as the keys it shares and the larger
-   rest.  Nodes and pairs that cannot reach the similarity are dropped.
+   rest.  Where nodes have sketches (a bit set per element), the bits in which two
+   differ are at most as many as the elements only one of them holds.  Nodes and
+   pairs that cannot reach the similarity are dropped.
 3. Further rounds of pivots follow while they help; then exactly the pairs that
    are left are tested, each at the first key that it shares.
 
@@ -87,8 +89,9 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
     allowed.
 
     ``prepare`` gets the nodes that share a bucket, once; ``verify`` maps pairs
-    (a, b), a < b, to those linked; ``limits`` maps nodes to (node, n, s, rest):
-    used at once if ``limits_known``, else when many pairs are left.
+    (a, b), a < b, to those linked; ``limits`` maps nodes to (node, n, s, rest)
+    and, where it has them, sketch (array of long): used at once if
+    ``limits_known``, else when many pairs are left.
     """
     ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
             .where("lo < hi").select("key"))
@@ -140,21 +143,25 @@ def _pairs_left(rest: DataFrame, bounds: DataFrame | None, many: bool) -> DataFr
         one = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"))
         two = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("short").alias("sb"))
         return one.join(two, "key").where("la < lb and (sa or sb)").select("a", "b")
-    full = rest.join(bounds, "node")
+    one = full = rest.join(bounds, "node")
     columns = ["key", "node", "label", "n", "s", "rest"]
     needed = "9 * least(s, s2) >= 4 * (n + n2)"
     if many:                                                 # each pair at its first key, if it shares enough
         keys = rest.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        full, columns = full.join(keys, "node"), [*columns, "keys"]
+        one = full = full.join(keys, "node")
+        columns = [*columns, "keys"]
         needed += (" and key = array_intersect(keys, keys2)[0] "
                    "and 9 * (size(array_intersect(keys, keys2)) + greatest(rest, rest2)) >= 4 * (n + n2)")
-        one = full.select(*columns)
         order = "node < node2"
     else:
-        one = full.where("short").select(*columns)
+        one = full.where("short")
         order = "(n < n2 or n = n2 and node <> node2)"
+    if "sketch" in bounds.columns:                           # elements not in common: a ninth of both at most
+        columns = [*columns, "sketch"]
+        needed += (" and 9 * aggregate(zip_with(sketch, sketch2, (x, y) -> bit_count(x ^ y)), 0, (t, d) -> t + d)"
+                   " <= n + n2")
     two = full.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
-    return (one.join(two, "key").where(f"{order} and label <> label2 and {needed}")
+    return (one.select(*columns).join(two, "key").where(f"{order} and label <> label2 and {needed}")
             .select(F.col("node").alias("a"), F.col("node2").alias("b")))
 
 

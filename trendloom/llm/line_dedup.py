@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
 from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
@@ -40,6 +40,7 @@ GRAM = 10
 BANDS, ROWS = 16, 6
 MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
+SKETCH = 1024                    # bits that stand for a line's set in bounds on pairs
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
@@ -118,6 +119,15 @@ def _block_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """int64[SKETCH // 64], a bit for each 10-gram's cell.  A bit that only one
+    of two sketches has set stands for a 10-gram that only one of the sets holds."""
+    cells = grams >> np.uint64(65 - SKETCH.bit_length())
+    words = np.zeros(SKETCH // 64, dtype=np.uint64)
+    np.bitwise_or.at(words, cells >> np.uint64(6), np.uint64(1) << (cells & np.uint64(63)))
+    return signed(words)
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets of 10-grams have a Jaccard similarity of at least SIMILARITY."""
     least = SIMILARITY * (len(x) + len(y)) / (1 + SIMILARITY)        # of their overlap
@@ -280,8 +290,8 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
     def limits(nodes: DataFrame) -> DataFrame:
-        """Sizes of the lines' sets, and how many of their 10-grams several of
-        these lines hold; bands say nothing about the rest."""
+        """Sizes of the lines' sets, how many of their 10-grams several of these
+        lines hold (bands say nothing about the rest), and their sketches."""
         chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
 
         def sets_of(batch):
@@ -297,9 +307,11 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 sets = list(sets_of(batch))
                 n = pa.array([len(x) for x in sets], pa.int64())
                 s = pa.array([int(in_bitmap(bits, x).sum()) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("node"), n, s, s], names=["node", "n", "s", "rest"])
+                marks = list_array([sketch(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), n, s, s, marks],
+                                                 names=["node", "n", "s", "rest", "sketch"])
 
-        return chosen.mapInArrow(run, "node long, n long, s long, rest long")
+        return chosen.mapInArrow(run, "node long, n long, s long, rest long, sketch array<long>")
 
     groups = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=False)
     in_groups = spark.sparkContext.broadcast(fixed_bitmap(groups, "node"))
