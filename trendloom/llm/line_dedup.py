@@ -40,7 +40,7 @@ GRAM = 10
 BANDS, ROWS = 16, 6
 MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
-SKETCH = 1024                    # bits that stand for a line's set in bounds on pairs
+SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each 10-gram
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
