@@ -99,3 +99,22 @@ def test_select_new_first_run_takes_everything(spark):
     assert sorted(r[0] for r in ingest.select_new(incoming, existing, "latest").collect()) == [5]
     assert sorted(r[0] for r in ingest.select_new(incoming, existing, "earliest").collect()) == [1]
     assert sorted(r[0] for r in ingest.select_new(incoming, existing, "latest", inclusive=True).collect()) == [3, 5]
+
+
+def test_unescape_is_one_pass_over_every_reference(spark):
+    rows = {"&#38;amp;": "&amp;", "&amp;lt;": "&lt;", "&notit;": "&notit;", "&eacute;&euro;": "\u00e9\u20ac",
+            "&#8217;&#x1F600;": "\u2019\U0001F600", "&#128;&#xD800;": "\u20ac\ufffd", "a & b; &": "a & b; &",
+            "": "", "x\n&lt;b&gt;": "x\n<b>"}
+    df = spark.createDataFrame([(k,) for k in rows], "s string")
+    got = {r.s: (r.native, r.full) for r in df.select(
+        "s", unescape_html("s").alias("native"), unescape_html_full("s").alias("full")).collect()}
+    assert {k: v[0] for k, v in got.items()} == rows
+    assert all(got[k][1] == v for k, v in rows.items() if k != "&notit;")
+
+
+def test_matrix_columns_are_words_only(spark):
+    from trendloom.operators.aggregate import wide_counts
+    facts = spark.createDataFrame([("rust", "2024-01", 1)], "word string, year_month string, n int")
+    assert wide_counts(facts, ["rust", ""], "n").columns == ["year_month", "rust"]
+    with pytest.raises(ValueError, match="differ in case"):
+        wide_counts(facts, ["rust", "Rust"], "n")

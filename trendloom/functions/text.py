@@ -22,6 +22,8 @@ the dictionary is folded in as a literal map, so matching is a map-only stage.
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 import re
 
 import pandas as pd
@@ -125,32 +127,48 @@ def contains_word(text: Column | str, word: str, synonyms: dict[str, str]) -> Co
 
 # ---- HTML entities (P3) ------------------------------------------------------
 
-# The named/numeric references decoded natively, each with its
-# character.  ``&amp;`` / ``&#38;`` come last so that one pass is made
-# (``&amp;lt;`` -> ``&lt;``).
-NATIVE_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), ("&#x2F;", "/"), ("&#47;", "/"),
-    ("&#60;", "<"), ("&#62;", ">"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&#38;", "&"), ("&amp;", "&"),
-)
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named_references() -> dict[str, str]:
+    """``&name;`` -> characters, from the standard library's HTML5 table."""
+    return {f"&{name}": chars for name, chars in html.entities.html5.items() if name.endswith(";")}
+
+
+def _numbered(piece: Column) -> Column:
+    """The character of a numeric reference; NULL for another piece.
+
+    As HTML asks, 128-159 are read as windows-1252, and numbers that are no
+    character become U+FFFD.
+    """
+    digits = F.regexp_extract(piece, "^&#([0-9]+);$", 1).try_cast("long")
+    sixteen = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1)
+    number = F.coalesce(digits, F.conv(F.nullif(sixteen, F.lit("")), 16, 10).try_cast("long"))
+    windows = {str(i): html.unescape(f"&#{i};") for i in range(128, 160)}
+    known = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")
+    bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return (F.when(number.isNull(), F.lit(None).cast("string")).when(bad, F.lit("\ufffd"))
+            .when(number.between(128, 159), F.element_at(known, number.cast("string")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
 
 
 def unescape_html(text: Column | str) -> Column:
-    """P3 (native): decode the common entity set in one pass; NULL -> ''.
+    """Decode every ``;``-terminated named or numeric reference in one
+    pass, JVM-side; NULL -> ''.
 
-    Tags stay in the text.  See :func:`unescape_html_full` for every named
-    and numeric reference.
+    The text is cut into references and what lies between; each reference is
+    looked up once, so what it stands for is not read again (``&amp;lt;`` ->
+    ``&lt;``).  Unknown references and tags stay in the text.
     """
-    out = _col(text)
-    for search, repl in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(search), F.lit(repl))
-    return F.coalesce(out, F.lit(""))
+    named = F.from_json(F.lit(json.dumps(_named_references())), "map<string,string>")
+    pieces = F.regexp_extract_all(_col(text), F.lit(_REFERENCE + "|[^&]+|&"), 0)
+    decoded = F.transform(pieces, lambda p: F.when(
+        p.startswith("&") & p.endswith(";"), F.coalesce(F.element_at(named, p), _numbered(p), p)).otherwise(p))
+    whole = F.when(_col(text).contains("&"), F.array_join(decoded, "")).otherwise(_col(text))
+    return F.coalesce(whole, F.lit(""))
 
 
-_ENTITY_RE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_ENTITY_RE = re.compile(_REFERENCE)
 
 
 def _unescape_one(value: str | None) -> str:

@@ -52,6 +52,15 @@ def story_word_counts(keywords: DataFrame, words: Iterable[str],
             .orderBy("year_month", "word"))
 
 
+def _word_columns(words: Iterable[str]) -> list[str]:
+    """The words that become columns: sorted, without the empty one; words that
+    differ in case alone are refused, as Spark could not tell their columns apart."""
+    values = sorted({w for w in words if w})
+    if len({w.lower() for w in values}) < len(values):
+        raise ValueError(f"words that differ in case alone cannot be columns of one matrix: {values}")
+    return values
+
+
 def trend_matrix(counts: DataFrame, words: Iterable[str], value_col: str,
                  keep_empty: bool = True) -> DataFrame:
     """A6 (+P11): long (word, year_month, n) -> wide, one bigint column per word.
@@ -61,7 +70,7 @@ def trend_matrix(counts: DataFrame, words: Iterable[str], value_col: str,
     drops the columns of words without any row (the product's behaviour).
     The pivot values are explicit, so the schema is known without a job.
     """
-    values = sorted(set(w for w in words))
+    values = _word_columns(words)
     if not values:
         return counts.select("year_month").distinct().limit(0)
     wide = counts.groupBy("year_month").pivot("word", values).agg(F.sum(value_col))
@@ -89,7 +98,7 @@ def wide_counts(facts: DataFrame, words: Iterable[str], count_col: str,
     ``trend_matrix(long_counts(...))``: a period appears when a chosen word has
     a fact in it; a word without facts is a 0 column.
     """
-    values = sorted(set(words))
+    values = _word_columns(words)
     pred = F.col("word").isin(values)
     if where is not None:
         pred = pred & where

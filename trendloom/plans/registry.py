@@ -618,10 +618,21 @@ def _comment_history_sql(toplevel_only: bool) -> str:
             f"GROUP BY year_month")
 
 
+# Fixed values of the P3 oracle: the references that the pages hold, and their like;
+# ``&amp;`` comes last, so that a chain of replacements makes one pass.
+ORACLE_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), ("&#x2F;", "/"), ("&#47;", "/"),
+    ("&#60;", "<"), ("&#62;", ">"), ("&nbsp;", " "), ("&copy;", "©"),
+    ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
+    ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&#38;", "&"), ("&amp;", "&"),
+)
+
+
 def _unescape_sql(expr: str) -> str:
-    from ..functions.text import NATIVE_ENTITIES
     out = expr
-    for search, repl in NATIVE_ENTITIES:
+    for search, repl in ORACLE_ENTITIES:
         out = f"replace({out}, {osql.q(search)}, {osql.q(repl)})"
     return f"coalesce({out}, '')"
 
