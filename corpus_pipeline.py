@@ -25,7 +25,7 @@ def good_documents(spark, docs, sf_dir):
 def distinct_lines(spark, docs, sf_dir):
     """Documents without lines that an earlier document has; one that keeps no
     line of its own goes."""
-    return line_dedup.dedup_lines(docs, drop_emptied=True)
+    return line_dedup.dedup_lines(docs, gram=line_dedup.SHORT_GRAM, drop_emptied=True)
 
 
 def one_per_group(spark, docs, sf_dir):

@@ -2,20 +2,26 @@
 
 Lines are normalised (lower case, single blanks, trimmed); those of at least
 ``min_chars`` characters take part, shorter ones stay where they are.  Equal
-normalised lines are one node.  A node's signature holds the minima of 96 hash
-functions over its character 10-grams; 16 bands of 6 minima are the buckets
-(a pair of Jaccard similarity 0.8 shares one with a probability of 0.992, of 0.85
-with 0.9997).  ``clusters.link_components`` takes pairs from the buckets, the
-exact Jaccard similarity of the distinct 10-grams (at least 0.8) decides, and
-the linked nodes' components keep one line each: the first by id, then by line
-number.
+normalised lines are one node.  A node's signature holds the minima of 161 hash
+functions over its character n-grams (``gram`` characters each); 23 bands of 7
+minima are the buckets (a pair of Jaccard similarity 0.8 shares one with a
+probability of 0.9956, of 0.85 with 0.9998).  ``clusters.link_components`` takes
+pairs from the buckets, the exact Jaccard similarity of the distinct n-grams (at
+least 0.8) decides, and the linked nodes' components keep one line each: the
+first by id, then by line number.
+
+What 0.8 means depends on ``gram``: n replaced characters in the middle of a line
+of L cost n + gram - 1 of its L - gram + 1 n-grams.  With ``SHORT_GRAM`` (the
+registered query and the pipeline) one replaced character is linked from 49
+characters up, a word of six letters from 94; with ``GRAM``, the default, from
+99 and 144.  Nearer to an end it costs less.
 
 Lines are addressed by (id, hash of the text, line number).
 
 Edge cases: a null text stays null, an empty one empty; rows with a null id take
 part and come first; rows that repeat both id and text get the same result; an
 empty table gives an empty result; all other columns pass through unchanged,
-whatever their names.  Nodes and 10-grams are compared by 64-bit hashes: two
+whatever their names.  Nodes and n-grams are compared by 64-bit hashes: two
 different ones are taken for equal with a probability of about 2**-64.
 """
 
@@ -36,11 +42,11 @@ from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
 MIN_CHARS = 20
-GRAM = 10
-BANDS, ROWS = 16, 6
+GRAM, SHORT_GRAM = 10, 5
+BANDS, ROWS = 23, 7              # 7: unrelated lines share some 5-grams, with 6 ten times as many would meet
 MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
-SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each 10-gram
+SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each n-gram
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
@@ -55,39 +61,41 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def gram_sets(lines: list[str]) -> list[np.ndarray]:
-    """Distinct 64-bit hashes of each line's 10-grams, ascending."""
+def _grams(c: np.ndarray, gram: int, factors: list) -> np.ndarray:
+    """Hashes of the n-grams of a code point array, by doubling; not mixed yet."""
+    h, size, i = c, 1, 0
+    while 2 * size <= gram:
+        h, size, i = h[:-size] * factors[i] + h[size:], 2 * size, i + 1
+    return h if size == gram else (h[:size - gram] * factors[i]) ^ h[gram - size:]
+
+
+def gram_sets(lines: list[str], gram: int = GRAM) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of each line's n-grams, ascending."""
     c = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    two = c[:-1] * MULTIPLIERS[50] + c[1:]
-    four = two[:-2] * MULTIPLIERS[51] + two[2:]
-    eight = four[:-4] * MULTIPLIERS[52] + four[4:]
-    grams = mix((eight[:-2] * MULTIPLIERS[53]) ^ two[8:])
+    grams = mix(_grams(c, gram, MULTIPLIERS[50:]))
     sets, begin = [], 0
     for line in lines:
-        g = np.sort(grams[begin:begin + len(line) - GRAM + 1])
+        g = np.sort(grams[begin:begin + len(line) - gram + 1])
         sets.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
         begin += len(line)
     return sets
 
 
-def gram_set(line: str) -> np.ndarray:
-    return gram_sets([line])[0]
+def gram_set(line: str, gram: int = GRAM) -> np.ndarray:
+    return gram_sets([line], gram)[0]
 
 
-def gram_hashes(c: np.ndarray) -> np.ndarray:
-    """uint32 hashes of the 10-grams of a code point array, by doubling."""
-    two = c[:-1] * _G[0] + c[1:]
-    four = two[:-2] * _G[1] + two[2:]
-    eight = four[:-4] * _G[2] + four[4:]
-    ten = (eight[:-2] * _G[3]) ^ two[8:]
-    ten ^= ten >> np.uint32(15)
-    ten *= _G[4]
-    ten ^= ten >> np.uint32(13)
-    return ten
+def gram_hashes(c: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """uint32 hashes of the n-grams of a code point array."""
+    h = _grams(c, gram, _G)
+    h ^= h >> np.uint32(15)
+    h *= _G[4]
+    h ^= h >> np.uint32(13)
+    return h
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """int64[line, band] of normalised lines of at least GRAM characters."""
+def band_keys(lines: list[str], gram: int = GRAM) -> np.ndarray:
+    """int64[line, band] of normalised lines of at least ``gram`` characters."""
     out = np.empty((len(lines), BANDS), dtype=np.int64)
     at = 0
     while at < len(lines):
@@ -95,18 +103,18 @@ def band_keys(lines: list[str]) -> np.ndarray:
         while end < len(lines) and (size == 0 or size + len(lines[end]) <= _BLOCK):
             size += len(lines[end])
             end += 1
-        out[at:end] = _block_keys(lines[at:end])
+        out[at:end] = _block_keys(lines[at:end], gram)
         at = end
     return out
 
 
-def _block_keys(lines: list[str]) -> np.ndarray:
+def _block_keys(lines: list[str], gram: int) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
     c = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32)
-    grams = np.append(gram_hashes(c), np.uint32(0))          # one more, so that every end is an index
+    grams = np.append(gram_hashes(c, gram), np.uint32(0))          # one more, so that every end is an index
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     cuts = np.empty(2 * len(lines), dtype=np.int64)          # grams of a line, then those across its end
-    cuts[0::2], cuts[1::2] = begin, begin + lengths - GRAM + 1
+    cuts[0::2], cuts[1::2] = begin, begin + lengths - gram + 1
     minima = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint64)
     for i, a in enumerate(_A):
         minima[i] = np.minimum.reduceat(grams * a, cuts)[::2]
@@ -120,8 +128,8 @@ def _block_keys(lines: list[str]) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """int64[SKETCH // 64], a bit for each 10-gram's cell.  A bit that only one
-    of two sketches has set stands for a 10-gram that only one of the sets holds."""
+    """int64[SKETCH // 64], a bit for each n-gram's cell.  A bit that only one
+    of two sketches has set stands for an n-gram that only one of the sets holds."""
     cells = grams >> np.uint64(65 - SKETCH.bit_length())
     words = np.zeros(SKETCH // 64, dtype=np.uint64)
     np.bitwise_or.at(words, cells >> np.uint64(6), np.uint64(1) << (cells & np.uint64(63)))
@@ -129,7 +137,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets of 10-grams have a Jaccard similarity of at least SIMILARITY."""
+    """Whether two sets of n-grams have a Jaccard similarity of at least SIMILARITY."""
     least = SIMILARITY * (len(x) + len(y)) / (1 + SIMILARITY)        # of their overlap
     if min(len(x), len(y)) < least - 1e-9:
         return False
@@ -137,7 +145,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least - 1e-9
 
 
-def linked(a: list[str], b: list[str]) -> list[bool]:
+def linked(a: list[str], b: list[str], gram: int = GRAM) -> list[bool]:
     """Which lines of ``a`` are similar to the line of ``b`` at the same place."""
     out: list[bool] = []
     while len(out) < len(a):
@@ -150,7 +158,7 @@ def linked(a: list[str], b: list[str]) -> list[bool]:
                     places[line] = len(places)
                     size += len(line)
             end += 1
-        sets = gram_sets(list(places))
+        sets = gram_sets(list(places), gram)
         out += [similar(sets[places[x]], sets[places[y]]) for x, y in zip(a[begin:end], b[begin:end])]
     return out
 
@@ -184,10 +192,10 @@ def _eligible(text: str, min_chars: int) -> list[tuple[int, str]]:
 
 
 def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
-               min_chars: int = MIN_CHARS) -> DataFrame:
+               min_chars: int = MIN_CHARS, gram: int = GRAM) -> DataFrame:
     """(k, h, drops): id, hash of the text, numbers of the lines to remove."""
-    if min_chars < GRAM:
-        raise ValueError(f"min_chars must be at least {GRAM}")
+    if not 2 <= gram <= min(min_chars, 16):
+        raise ValueError(f"gram must be from 2 to 16 and at most min_chars ({min_chars})")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
@@ -206,7 +214,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         nodes.append(_node(n))
                         lines.append(n)
                     i += 1
-                keys.append(band_keys(lines))
+                keys.append(band_keys(lines, gram))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
@@ -281,7 +289,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
-                keep = linked(batch.column("la").to_pylist(), batch.column("lb").to_pylist())
+                keep = linked(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), gram)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["a", "b"])
 
@@ -290,13 +298,13 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
     def limits(nodes: DataFrame) -> DataFrame:
-        """Sizes of the lines' sets, how many of their 10-grams several of these
+        """Sizes of the lines' sets, how many of their n-grams several of these
         lines hold (bands say nothing about the rest), and their sketches."""
         chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
 
         def sets_of(batch):
             for line in batch.column("line").to_pylist():
-                yield gram_set(line)
+                yield gram_set(line, gram)
 
         common = spark.sparkContext.broadcast(                        # 8 MB
             repeat_bitmaps(chosen.select("line"), sets_of, (2,))[2][0])
@@ -333,13 +341,13 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-                drop_emptied: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
+                gram: int = GRAM, drop_emptied: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
     """The documents, same columns, without repeated lines.
 
     ``drop_emptied`` leaves out documents that lost lines and keep none that
     takes part; ``counts`` names two more columns: lines before, lines removed.
     """
-    drops = line_drops(docs, key=key, text=text, min_chars=min_chars)
+    drops = line_drops(docs, key=key, text=text, min_chars=min_chars, gram=gram)
     tag = uuid.uuid4().hex[:8]                                   # names that cannot clash
     k, h, d = f"k_{tag}", f"h_{tag}", f"d_{tag}"
     drops = Scratch(docs.sparkSession, "drops").save(

@@ -46,7 +46,7 @@ def op7_packing(spark, sf_dir):
 def op8_line_dedup(spark, sf_dir):
     """doc_id, the text without repeated lines, lines before, lines removed."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, counts=("n_lines", "n_removed"))
+    return line_dedup.dedup_lines(docs, gram=line_dedup.SHORT_GRAM, counts=("n_lines", "n_removed"))
 
 
 def op9_ngram_join(spark, sf_dir):
