@@ -23,8 +23,8 @@ def good_documents(spark, docs, sf_dir):
 
 
 def distinct_lines(spark, docs, sf_dir):
-    """Documents without lines that an earlier document has; one that keeps no
-    line of its own goes."""
+    """Documents without lines that an earlier document has; one that lost lines
+    and has no non-blank line left goes."""
     return line_dedup.dedup_lines(docs, gram=line_dedup.SHORT_GRAM, drop_emptied=True)
 
 

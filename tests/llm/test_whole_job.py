@@ -1,5 +1,6 @@
 """Cases that the operators once left out, at the registered parameters."""
 
+import corpus_pipeline
 import numpy as np
 
 from trendloom.llm import line_dedup, queries
@@ -37,3 +38,13 @@ def test_bands_meet_at_the_stated_rate():
     other = ["".join(rng.choice(LETTERS, 33)) + x[33:] for x in base]        # Jaccard 263 / 329
     met = (line_dedup.band_keys(base, 5) == line_dedup.band_keys(other, 5)).any(axis=1)
     assert met.mean() > 0.985
+
+
+def test_documents_keep_their_short_lines(spark):
+    """A repeated line takes no document with it that has short lines left."""
+    licence = "permission is granted to copy this text in any form"
+    rows = [(1, licence), (2, licence + "\nrose is a rose\nis a rose"), (3, licence + "\n \n\t"),
+            (4, "x = 1\n" + licence + "\ny = 2"), (5, licence), (6, "\u65e5\u672c\u8a9e\u306e\u6587\n" + licence), (7, "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.distinct_lines(spark, df, None).collect()}
+    assert got == {1: licence, 2: "rose is a rose\nis a rose", 4: "x = 1\ny = 2", 6: "\u65e5\u672c\u8a9e\u306e\u6587", 7: "\n"}

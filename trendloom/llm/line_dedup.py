@@ -344,8 +344,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
                 gram: int = GRAM, drop_emptied: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
     """The documents, same columns, without repeated lines.
 
-    ``drop_emptied`` leaves out documents that lost lines and keep none that
-    takes part; ``counts`` names two more columns: lines before, lines removed.
+    ``drop_emptied`` leaves out documents that lost lines and have no non-blank
+    line left, short ones included; ``counts`` names two more columns: lines before, lines removed.
     """
     drops = line_drops(docs, key=key, text=text, min_chars=min_chars, gram=gram)
     tag = uuid.uuid4().hex[:8]                                   # names that cannot clash
@@ -372,8 +372,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
                 texts.append(None if t is None else "\n".join(left))
                 total.append(len(lines))
                 removed.append(len(gone))
-                keep.append(not (drop_emptied and gone
-                                 and all(len(normalise(x)) < min_chars for x in left)))
+                keep.append(not (drop_emptied and gone and not any(map(normalise, left))))
             arrays = [batch.column(i) if i != place else pa.array(texts, batch.schema.field(i).type)
                       for i in range(len(columns))]
             arrays += [pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
