@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from trendloom.llm import line_dedup, queries
+from trendloom.llm import decontaminate, line_dedup, queries
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 
@@ -48,3 +48,42 @@ def test_documents_keep_their_short_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.distinct_lines(spark, df, None).collect()}
     assert got == {1: licence, 2: "rose is a rose\nis a rose", 4: "x = 1\ny = 2", 6: "\u65e5\u672c\u8a9e\u306e\u6587", 7: "\n"}
+
+
+def test_items_with_words_replaced_at_their_ends(spark):
+    rng = np.random.default_rng(6)
+    items, docs, want = [], [], set()
+    for n in range(6, 21):
+        for replaced in ([], [n - 1], [0, n - 1], [0, 2, n - 1]):
+            if len(replaced) > n // 5 or n == 6 and replaced:
+                continue
+            i = len(items)
+            words = words_of_six(rng, n)
+            items.append((i, " ".join(words)))
+            part = ["other" if p in replaced else w for p, w in enumerate(words)]
+            docs.append((i, " ".join(words_of_six(rng, 40) + part + words_of_six(rng, 40))))
+            want.add((i, i))
+    long = words_of_six(rng, 60)                                   # half an item, replaced near the passage's ends
+    items.append((1000, " ".join(long)))
+    docs.append((1000, " ".join(words_of_six(rng, 40) + [*long[20:22], "other", *long[23:33], "other", *long[34:36]]
+                                + words_of_six(rng, 40))))
+    want.add((1000, 1000))
+    for k in (1001, 1002):                                         # six equal words, then every second one: no overlap
+        words = words_of_six(rng, 20)
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join([*words[:6], *(w if p % 2 else "other" for p, w in enumerate(words[6:]))])))
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.n_equal >= 0.8 * r.n_words for r in got)
+
+
+def test_longest_run_is_that_of_all_runs():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        equal = rng.random(int(rng.integers(1, 25))) < 0.75
+        runs = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)
+                if equal[a] and equal[b - 1] and 5 * equal[a:b].sum() >= 4 * (b - a)]
+        start, end, same = decontaminate.longest_run(equal)
+        assert end - start == max(runs, default=0) and same == equal[start:end].sum()
+        assert not runs or 5 * same >= 4 * (end - start)

@@ -4,10 +4,10 @@ Texts become word sequences (``\w+``, lower case).  A spaced seed looks at the
 care positions of a fixed mask and ignores the others, so that a passage with
 single words replaced still has seeds without a replaced word.  Seeds of the
 benchmark and of the documents are hashed and equi-joined; each hit gives a
-diagonal, along which document and item are compared word by word.  A maximal
-segment around the hit (matching words count 1, replaced ones -3) of at least
-``min_words`` words, or of 80 % of a shorter item, at least 80 % of them equal,
-is an overlap.
+diagonal, along which document and item are compared word by word.  A segment of
+at least ``min_words`` words, or of 80 % of a shorter item, at least 80 % of them
+equal, is an overlap: the best-scoring one (matching words count 1, replaced ones
+-3), else the whole item, else the longest such run between two equal words.
 
 A fixed bitmap of the benchmark's seed hashes screens the documents' seeds on
 the scan; the stretches of words around what passes are written as *regions*,
@@ -89,6 +89,33 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def longest_run(equal: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal words) of the longest run of a diagonal that starts and
+    ends with an equal word and has at least LEAST_EQUAL of its words equal."""
+    if not equal.any():
+        return 0, 0, 0
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))         # 4 equal words for a replaced one
+    low = np.minimum.accumulate(np.where(equal, total[:-1], len(equal) + 1))
+    ends = np.flatnonzero(equal) + 1
+    starts = np.searchsorted(-low, -total[ends], side="left")                # the first from which it is not less
+    at = int((ends - starts).argmax())
+    start, end = int(starts[at]), int(ends[at])
+    return start, end, int(equal[start:end].sum())
+
+
+def overlap(equal: np.ndarray, item_words: int, min_words: int = MIN_WORDS) -> tuple[int, int, int] | None:
+    """(start, end, equal words) of the overlap on a diagonal, if there is one."""
+    found = best_segment(equal)
+    if is_overlap(found[1] - found[0], found[2], item_words, min_words):
+        return found
+    if len(equal) == item_words:
+        found = 0, item_words, int(equal.sum())
+        if is_overlap(item_words, found[2], item_words, min_words):
+            return found
+    found = longest_run(equal)
+    return found if is_overlap(found[1] - found[0], found[2], item_words, min_words) else None
+
+
 def is_overlap(length: int, equal: int, item_words: int, min_words: int = MIN_WORDS) -> bool:
     needed = min_words if item_words >= min_words else max(1, -(-4 * item_words // 5))
     return length >= needed and equal >= LEAST_EQUAL * length
@@ -192,8 +219,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
             for i, d in enumerate(batch.column("diagonal").to_pylist()):
                 a, b = doc_words[i].values.to_numpy(), item_words[i].values.to_numpy()
                 lo, hi = max(0, d), min(len(a), len(b) + d)
-                start, end, equal = best_segment(a[lo:hi] == b[lo - d:hi - d])
-                if is_overlap(end - start, equal, len(b), min_words):
+                if run := overlap(a[lo:hi] == b[lo - d:hi - d], len(b), min_words):
+                    start, end, equal = run
                     keep.append(i)
                     spots.append((lo + start, lo + start - d, end - start, equal))
             take = pa.array(keep, pa.int64())
