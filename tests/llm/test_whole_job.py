@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from trendloom.llm import decontaminate, line_dedup, queries
+from trendloom.llm import decontaminate, line_dedup, queries, toxicity
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 
@@ -87,3 +88,18 @@ def test_longest_run_is_that_of_all_runs():
         start, end, same = decontaminate.longest_run(equal)
         assert end - start == max(runs, default=0) and same == equal[start:end].sum()
         assert not runs or 5 * same >= 4 * (end - start)
+
+
+def test_letters_inserted_into_short_insults():
+    insults = ("idiot", "trash", "loser", "moron", "stupid")
+    k = toxicity.LandmarkKernel(insults)
+    made = [(w, w[:a] + x + w[a:b] + y + w[b:]) for w in insults for x in ("x", "z") for y in ("", "x", "z")
+            for a in range(len(w) + 1) for b in range(a, len(w) + 1)]
+    made += [("idiot", "idxxiot"), ("stupid", "stuxxpid"), ("idiot", "idxiozt"), ("trash", "trxaszh"), ("loser", "loxsezr")]
+    value = toxicity.normalised(toxicity.codes([m for _, m in made]), toxicity.codes([w for w, _ in made]))
+    k.learn({m for _, m in made})
+    for (w, m), v in zip(made, value):                             # the screen loses nothing above the floor
+        got = k.values[m][insults.index(w)] if m in k.values else 0
+        assert got == (pytest.approx(v, abs=1e-4) if v >= 0.3 else 0) or abs(v - 0.3) < 1e-4, (w, m, v)
+    one = [v for (w, m), v in zip(made, value) if len(m) == len(w) + 1]
+    assert min(one) >= 0.3 and min(value[-5:]) >= 0.3
