@@ -12,9 +12,11 @@ with digits is read without them as well.
 each unlike the ones before it.  A sentence's features are, per landmark, the
 highest kernel value of its words, put through the Nystroem map K^(-1/2).  A
 linear support vector machine (squared hinge) is trained on labelled sentences:
-all sentences of clean texts, and of each toxic text the one that the machine
-itself finds most toxic (two rounds, as labels belong to texts).  A text scores
-by its most toxic sentence, turned into a probability by Platt's scaling.
+those of clean texts, and of each toxic text the one that the machine itself finds
+most toxic (two rounds, as labels belong to texts).  A training text, toxic or
+clean, gives at most ``SENTENCES`` sentences, those with the highest kernel value.
+A text to score is read whole and scores by its most toxic sentence, turned into a
+probability by Platt's scaling.
 
 Pairs of a word and a landmark are screened before the kernel: they need some
 ordered letter pairs (at distances 1 to 3) in common, else the value is 0, in
@@ -50,6 +52,7 @@ WINDOW = 24                      # letters of a word read together
 LANDMARKS = 80
 APART = 0.6                      # landmarks are less alike than this
 MAX_TOXIC, MAX_CLEAN = 6_000, 10_000
+SENTENCES = 8                    # of a training text, toxic or clean
 PREDICT_FROM = 0.7
 _CACHED_WORDS = 800_000
 _STRIP = re.compile(r"[\W_]+")
@@ -318,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 t = t.lower()
                 values.learn(set(t.split()))
                 f = values.sentences(t)
-                best = np.argsort(-f.max(axis=1, initial=0), kind="stable")[:8]   # of a training text
+                best = np.argsort(-f.max(axis=1, initial=0), kind="stable")[:SENTENCES]
                 out.append(f[best].ravel().astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("y"), list_array(out, pa.float64())], names=["y", "f"])
 
