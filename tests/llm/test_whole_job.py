@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from trendloom.llm import decontaminate, line_dedup, queries, toxicity
+from trendloom.llm import decontaminate, language_id, line_dedup, queries, toxicity
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 
@@ -103,3 +103,12 @@ def test_letters_inserted_into_short_insults():
         assert got == (pytest.approx(v, abs=1e-4) if v >= 0.3 else 0) or abs(v - 0.3) < 1e-4, (w, m, v)
     one = [v for (w, m), v in zip(made, value) if len(m) == len(w) + 1]
     assert min(one) >= 0.3 and min(value[-5:]) >= 0.3
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the house and the river are near", "en") for i in range(400)] + [(1000, "ztrq wxyv qqzk", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_train=20)
+    assert set(model.languages) == {"en", "xx"}
+    sample = language_id._sample(df.selectExpr("xxhash64(doc_id) h", "lang", "text"), 20).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in sample} == {"en": 10, "xx": 1}

@@ -8,8 +8,9 @@ cosine.  A text farther from every centroid than nearly all training texts are
 from theirs is marked ``rejected``; its nearest language is still given.
 
 The vectors of all texts are made on the executors from whole texts; fitting
-reads at most ``max_train`` training rows (those with the smallest hash of
-their id) and sends their sparse vectors to the driver.
+reads at most ``max_train`` training rows, the same number of every language
+(those with the smallest hash of their id; one of each if there are more
+languages), and sends their sparse vectors to the driver.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null label are not learned from; an empty table gives an empty result;
@@ -24,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, list_array, smallest, texts_of
+from .common import fold, list_array, texts_of
 
 SLOTS = 4096
 MAX_TRAIN = 6000
@@ -82,11 +83,25 @@ def _spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.nda
     return centres
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """An equal number of rows of each language, those with the smallest hashes.
+
+    Hashes are screened by the language's count first, so that no task sorts a
+    whole language; about twice the rows wanted are left.
+    """
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, most // max(1, sizes.count()))
+    place = F.col("h") / F.lit(2.0 ** 64) + 0.5              # 0 to 1
+    near = rows.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= 2 * each + 32)     # a row per language
+    return (near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+            .where(F.col("at") <= each))
+
+
 def fit(train: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang",
         max_train: int = MAX_TRAIN, centroids: int = CENTROIDS, reject_share: float = 0.005) -> CentroidModel:
     """Fit on at most ``max_train`` labelled rows."""
-    rows = smallest(train.where(F.col(label).isNotNull()).select(
-        F.xxhash64(key).alias("h"), F.col(label).alias("lang"), F.col(text).alias("text")), "h", max_train)
+    rows = _sample(train.where(F.col(label).isNotNull()).select(
+        F.xxhash64(key).alias("h"), F.col(label).alias("lang"), F.col(text).alias("text")), max_train)
 
     def sparse(batches):
         for batch in batches:
