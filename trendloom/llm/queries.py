@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import (cover_tree, decontaminate, language_id, line_dedup, ngram_join, packing, quality,
+from . import (cover_tree, decontaminate, language_id, line_dedup, merkle, ngram_join, packing, quality,
                secret_scan, toxicity, url_filter)
-from .common import read
+from .common import fold, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -57,6 +58,13 @@ def op10_secrets(spark, sf_dir):
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """The manifest, and what its proofs say once every second row (by the crc32
+    of its id) has lost its line ends."""
+    altered = F.when(fold("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.check_manifest(read(spark, sf_dir, "documents"), {"text": altered})
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,7 +73,8 @@ def pipeline(spark, sf_dir):
 def queries():
     return {f.__name__: f for f in (
         op1_decontaminate, op2_quality, op3_cover_tree, op4_toxicity, op5_language, op6_url_filter,
-        op7_packing, op8_line_dedup, op9_ngram_join, op10_secrets, pipeline)}
+        op7_packing, op8_line_dedup, op9_ngram_join, op10_secrets,
+        op12_merkle_manifest, pipeline)}
 
 
 def oracle_sql():
@@ -98,4 +107,60 @@ h AS (
 r AS (
   SELECT *, CASE {rules} END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE {verdicts} ELSE 'allow' END AS verdict FROM r""",
+        "op12_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text,
+         CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+                   lambda p: ascii(substr(doc_id::VARCHAR, p, 1))::BIGINT)),
+                 lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                   lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 = 1
+              THEN replace(text, chr(10), '') ELSE text END AS altered
+  FROM documents),
+e AS (
+  SELECT rid, doc_id, source, altered, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d),
+f AS (
+  SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS test FROM e),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS c FROM f),
+up AS (
+  SELECT 0 AS level, g, i, c, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, g, i // 3, (any_value(c) + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM up WHERE c > 1 GROUP BY level, g, i // 3),
+subroots AS (SELECT g, h FROM up WHERE c = 1),
+top AS (
+  SELECT 0 AS level, g AS i, (SELECT count(*) FROM subroots) AS c, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (any_value(c) + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM top WHERE c > 1 GROUP BY level, i // 3),
+sides AS (
+  SELECT n.level, n.g, n.i, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS l,
+         coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS r
+  FROM up n JOIN up s ON n.level = s.level AND n.g = s.g AND n.i // 3 = s.i // 3 WHERE n.c > 1 GROUP BY ALL),
+top_sides AS (
+  SELECT n.level, n.i, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS l,
+         coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS r
+  FROM top n JOIN top s ON n.level = s.level AND n.i // 3 = s.i // 3 WHERE n.c > 1 GROUP BY ALL),
+walk AS (
+  SELECT rid, g, 0 AS level, i, test AS h, '' AS proof, 0 AS part FROM leaves
+  UNION ALL
+  SELECT w.rid, w.g, CASE WHEN s.l IS NOT NULL OR w.part = 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN s.l IS NOT NULL OR w.part = 1 THEN w.i // 3 ELSE w.g END,
+         CASE WHEN s.l IS NOT NULL THEN sha256(s.l || w.h || s.r) WHEN w.part = 1 THEN sha256(t.l || w.h || t.r) ELSE w.h END,
+         w.proof || CASE WHEN s.l IS NOT NULL THEN s.l || s.r WHEN w.part = 1 THEN t.l || t.r ELSE '' END,
+         CASE WHEN s.l IS NOT NULL OR w.part = 1 THEN w.part ELSE 1 END
+  FROM walk w LEFT JOIN sides s ON w.part = 0 AND w.level = s.level AND w.g = s.g AND w.i = s.i
+       LEFT JOIN top_sides t ON w.part = 1 AND w.level = t.level AND w.i = t.i
+  WHERE w.part = 0 OR t.l IS NOT NULL),
+ends AS (
+  SELECT rid, arg_max(h, level) AS folded, sha256(arg_max(proof, level)) AS proof FROM walk WHERE part = 1 GROUP BY rid),
+root AS (SELECT h AS root FROM top WHERE c = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN subroots s USING (g) JOIN ends USING (rid), root""",
     }
