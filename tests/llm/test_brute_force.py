@@ -227,6 +227,17 @@ def test_tokens_of_parts_are_those_of_the_text():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_every_letter_before_a_mark():
+    """Letters that normalising turns into a letter and a combining sign keep
+    that sign with the mark."""
+    from tokenizers import Tokenizer
+    tok, own = Tokenizer.from_file(TOKENIZER), packing.WordTokens(TOKENIZER)
+    letters = [chr(c) for c in (*range(0x80, 0x3000), *range(0xF900, 0xFB50)) if chr(c).isalnum()]
+    texts = [f"A{c}{m}b {c}{m}" for c in letters for m in ".,;:!?*&%$#'"] + ["TAKV\u0130. A\u0130, b", "e\u0301."]
+    for text, ids, want in zip(texts, own.encode(texts), tok.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
+
+
 def test_base_spans_digest(spark, texts):
     kinds = [("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")),
              ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]

@@ -46,15 +46,17 @@ CLOSING_ID = 1
 _CACHED_WORDS = 600_000
 _TOGETHER = 256                  # words encoded as one text, full stops between them
 _LONGEST_CACHED = 48
-#: Between a letter or digit and a mark after it.
-_BEFORE_MARK = re.compile(r"(?<=[^\W_])(?=[.,;:!?*&%$#])")
+#: Between a letter or digit and a mark after it.  Only letters that normalising
+#: leaves one letter: others (a dotted capital I, say) end in a combining sign,
+#: which the tokenizer joins with the mark.
+_BEFORE_MARK = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])(?=[.,;:!?*&%$#])")
 
 
 class WordTokens(dict):
     """Word -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer never joins characters across white space, nor a letter or
-    digit with a mark after it, and ignores case: a text's ids are those of its
+    The tokenizer never joins characters across white space, nor a Latin letter
+    or digit with a mark after it, and ignores case: a text's ids are those of its
     words and marks in turn, and what was met before is not encoded again.
     """
 
