@@ -17,7 +17,8 @@ on pairs.  All pairs of a large bucket are never made:
    are left are tested, each at the first key that it shares.
 
 Every pair of a bucket is tested, or connected, or proven not to be linked: the
-components are those of all pairs.  The similarity is Jaccard's, at least 4/5.
+components are those of all pairs.  Bounds are for Jaccard similarities of at least
+4/5; for others, a caller gives its own ``pairs_left``.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Pairs for each row of the open buckets up to which they are all made, and up
-#: to which they are left to the bounds; beyond, another round of pivots comes first.
+#: Pairs for each row of the open buckets up to which a pair may be made at each key
+#: that it shares, and up to which they are left to the bounds; beyond, another round
+#: of pivots comes first.
 FEW, MANY = 4, 256
 
 
@@ -83,15 +85,18 @@ def _pivots(shared: DataFrame) -> DataFrame:
 
 
 def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                    prepare: Callable[[DataFrame], None], limits: Callable[[DataFrame], DataFrame],
-                    *, limits_known: bool, rounds: int = 3) -> DataFrame:
+                    prepare: Callable[[DataFrame], None], limits: Callable[[DataFrame], DataFrame] | None = None,
+                    *, limits_known: bool = False, rounds: int = 3,
+                    pairs_left: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of all nodes with a link; buckets: (key, node, short), repeats
     allowed.
 
     ``prepare`` gets the nodes that share a bucket, once; ``verify`` maps pairs
     (a, b), a < b, to those linked; ``limits`` maps nodes to (node, n, s, rest)
     and, where it has them, sketch (array of long): used at once if
-    ``limits_known``, else when many pairs are left.
+    ``limits_known``, else when many pairs are left.  ``pairs_left`` maps the rows
+    (key, node, short, label) of open buckets to the pairs still to be tested, in
+    place of the pairs that ``limits`` leave.
     """
     ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
             .where("lo < hi").select("key"))
@@ -114,7 +119,7 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
         if not left["rows"]:
             break
         many = left["cross"] > FEW * left["rows"]
-        if many and bounds is None:
+        if bounds is None and not pairs_left:
             bounds = scratch.save(limits(rest.select("node").distinct()).where("5 * s >= 4 * n"), "limits")
             rest = scratch.save(_open(rest.join(bounds.select("node"), "node", "left_semi")), f"bounded-{r}")
         last = (left["cross"] <= MANY * left["rows"] or r == rounds
@@ -123,7 +128,7 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
         if not last:
             new = rest.join(_pivots(rest), "key").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            new = _pairs_left(rest, bounds, many)
+            new = pairs_left(rest) if pairs_left else _pairs_left(rest, bounds, many)
         fresh = scratch.save(_ordered(new).join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
         links = links.union(scratch.save(verify(fresh), f"links-{r}"))
         if last:
@@ -137,15 +142,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
             .where("a <> b").distinct())
 
 
-def _pairs_left(rest: DataFrame, bounds: DataFrame | None, many: bool) -> DataFrame:
+def _pairs_left(rest: DataFrame, bounds: DataFrame, many: bool) -> DataFrame:
     """Pairs (a, b) of different labels in a bucket that the bounds leave."""
-    if bounds is None:
-        one = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"))
-        two = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("short").alias("sb"))
-        return one.join(two, "key").where("la < lb and (sa or sb)").select("a", "b")
     one = full = rest.join(bounds, "node")
     columns = ["key", "node", "label", "n", "s", "rest"]
     needed = "9 * least(s, s2) >= 4 * (n + n2)"
+    if "sketch" in bounds.columns:                           # elements not in common: a ninth of both at most
+        columns = [*columns, "sketch"]
+        needed += (" and 9 * aggregate(zip_with(sketch, sketch2, (x, y) -> bit_count(x ^ y)), 0, (t, d) -> t + d)"
+                   " <= n + n2")
     if many:                                                 # each pair at its first key, if it shares enough
         keys = rest.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         one = full = full.join(keys, "node")
@@ -156,10 +161,6 @@ def _pairs_left(rest: DataFrame, bounds: DataFrame | None, many: bool) -> DataFr
     else:
         one = full.where("short")
         order = "(n < n2 or n = n2 and node <> node2)"
-    if "sketch" in bounds.columns:                           # elements not in common: a ninth of both at most
-        columns = [*columns, "sketch"]
-        needed += (" and 9 * aggregate(zip_with(sketch, sketch2, (x, y) -> bit_count(x ^ y)), 0, (t, d) -> t + d)"
-                   " <= n + n2")
     two = full.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
     return (one.select(*columns).join(two, "key").where(f"{order} and label <> label2 and {needed}")
             .select(F.col("node").alias("a"), F.col("node2").alias("b")))
