@@ -38,7 +38,6 @@ from .common import Scratch
 
 ARITY = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-_NOTHING = F.lit(b"")
 
 
 def leaf_hash(*values: Column) -> Column:
@@ -81,16 +80,16 @@ def _numbered(scratch: Scratch, rows: DataFrame, groups: list[str], order: list[
 def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     """Nodes (g, i, c, h, ...) with ``l`` and ``r``, the digests of their run left
     and right of them, joined together."""
-    slot = F.col("i") % arity
+    slot, nothing = F.col("i") % arity, F.lit(b"")
     out = nodes
     for k in range(1, arity):
         sibling = F.col("i").bitwiseXOR(F.lit(1)) if arity == 2 else F.col("i") - slot + (slot + k) % arity
         shifted = nodes.select(F.col("g").alias(f"g{k}"), F.col("i").alias(f"i{k}"), F.col("h").alias(f"h{k}"))
         out = out.withColumn(f"s{k}", sibling)
         out = out.join(shifted, (out["g"] == shifted[f"g{k}"]) & (out[f"s{k}"] == shifted[f"i{k}"]), "left")
-    by_offset = F.array(_NOTHING, *(F.coalesce(f"h{k}", _NOTHING) for k in range(1, arity)))
-    left = [F.when(slot > t, F.get(by_offset, t - slot + arity)).otherwise(_NOTHING) for t in range(arity - 1)]
-    right = [F.when(slot < t, F.get(by_offset, t - slot)).otherwise(_NOTHING) for t in range(1, arity)]
+    by_offset = F.array(nothing, *(F.coalesce(f"h{k}", nothing) for k in range(1, arity)))
+    left = [F.when(slot > t, F.get(by_offset, t - slot + arity)).otherwise(nothing) for t in range(arity - 1)]
+    right = [F.when(slot < t, F.get(by_offset, t - slot)).otherwise(nothing) for t in range(1, arity)]
     return out.select(*nodes.columns, F.concat(*left).alias("l"), F.concat(*right).alias("r"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (cover_tree, decontaminate, language_id, line_dedup, merkle, ngram_join, packing, quality,
-               secret_scan, toxicity, url_filter)
+from . import (cover_tree, decontaminate, language_id, line_dedup, merkle, near_dup, ngram_join, packing, quality,
+               ranked_search, secret_scan, toxicity, url_filter)
 from .common import fold, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,9 @@ TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
+#: Fixed value: a term of the ranked search.
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def op1_decontaminate(spark, sf_dir):
     return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -58,6 +61,10 @@ def op10_secrets(spark, sf_dir):
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark, sf_dir):
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """The manifest, and what its proofs say once every second row (by the crc32
     of its id) has lost its line ends."""
@@ -65,6 +72,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.check_manifest(read(spark, sf_dir, "documents"), {"text": altered})
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -74,7 +85,7 @@ def queries():
     return {f.__name__: f for f in (
         op1_decontaminate, op2_quality, op3_cover_tree, op4_toxicity, op5_language, op6_url_filter,
         op7_packing, op8_line_dedup, op9_ngram_join, op10_secrets,
-        op12_merkle_manifest, pipeline)}
+        op11_minhash_dedup, op12_merkle_manifest, op13_ranked_search, pipeline)}
 
 
 def oracle_sql():
@@ -163,4 +174,29 @@ ends AS (
 root AS (SELECT h AS root FROM top WHERE c = 1)
 SELECT doc_id, leaf, s.h AS subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM leaves JOIN subroots s USING (g) JOIN ends USING (rid), root""",
+        "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{terms}') AS ts FROM documents),
+q AS (
+  SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{terms}') AS ts FROM benchmark),
+stats AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+tf AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+m AS (
+  SELECT rid, doc_id, 75 + (25 * len(ts) * docs) // total AS m FROM d, stats WHERE len(ts) > 0),
+s AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(ts) AS term FROM q) GROUP BY ALL)
+       JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid)
+  GROUP BY qid, item_id, rid, doc_id),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""".replace("{terms}", TERMS),
     }
