@@ -8,6 +8,8 @@ of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -29,14 +31,27 @@ def distinct_lines(spark, docs, sf_dir):
 
 
 def one_per_group(spark, docs, sf_dir):
-    """The document with the smallest id of each group of linked ones.
+    """The first row of each group of linked ones, by id, then by the text's hash.
 
-    Rows with a null id, and rows that repeat an id that stays, are kept as they
-    are (an id stands for one document).
+    A row is addressed by (id, hash of its text), so that rows which share an id with
+    another text are judged by their own; of rows that repeat both, one stays.  Rows
+    without a word link with nothing and all stay.
     """
-    groups = ngram_join.ngram_components(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    tag = uuid.uuid4().hex[:8]                                    # names that cannot clash
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    groups = Scratch(spark, "groups").save(
+        ngram_join.ngram_components(docs.select(row.alias("doc_id"), "text")).where("n_shingles > 0"), "groups")
+    places = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    # the few rows that go, or of which one is chosen, are all that is joined
+    marked = places.where("doc_id <> first or n > 1").select(
+        F.col("doc_id.id").alias(f"id_{tag}"), F.col("doc_id.h").alias(f"h_{tag}"),
+        (F.col("doc_id") == F.col("first")).alias(f"first_{tag}"))
+    marked = Scratch(spark, "groups").save(marked, "marked")
+    here = docs["doc_id"].eqNullSafe(F.col(f"id_{tag}")) & (F.xxhash64(docs["text"]) == F.col(f"h_{tag}"))
+    once = docs.join(marked, here, "left_anti")
+    repeated = docs.join(marked.where(f"first_{tag}").select(f"id_{tag}", f"h_{tag}"), here)
+    chosen = repeated.groupBy(f"id_{tag}", f"h_{tag}").agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("r"))
+    return once.unionByName(chosen.select("r.*"))
 
 
 def clean_of_benchmark(spark, docs, sf_dir):
