@@ -7,7 +7,7 @@ import pytest
 
 from trendloom import schema
 from trendloom.functions.predicates import bound, range_filter
-from trendloom.functions.text import unescape_html, unescape_html_full
+from trendloom.functions.text import unescape_html
 from trendloom.operators import ingest
 from trendloom.sources.hits import read_hits
 
@@ -57,12 +57,11 @@ def test_story_projection(spark):
 def test_unescape(spark):
     df = spark.createDataFrame([("&amp;",), ("&lt;",), (None,), ("&amp;lt;",)], "s string")
     assert [r[0] for r in df.select(unescape_html("s")).collect()] == ["&", "<", "", "&lt;"]
-    assert [r[0] for r in df.select(unescape_html_full("s")).collect()] == ["&", "<", "", "&lt;"]
 
 
 def test_unescape_full_is_strict(spark):
     df = spark.createDataFrame([("&eacute;t&eacute; &#233; &#xE9; &amp x &bogus;",)], "s string")
-    assert df.select(unescape_html_full("s")).first()[0] == "été é é &amp x &bogus;"
+    assert df.select(unescape_html("s")).first()[0] == "été é é &amp x &bogus;"
 
 
 def test_comment_projection(spark):
@@ -104,12 +103,11 @@ def test_select_new_first_run_takes_everything(spark):
 def test_unescape_is_one_pass_over_every_reference(spark):
     rows = {"&#38;amp;": "&amp;", "&amp;lt;": "&lt;", "&notit;": "&notit;", "&eacute;&euro;": "\u00e9\u20ac",
             "&#8217;&#x1F600;": "\u2019\U0001F600", "&#128;&#xD800;": "\u20ac\ufffd", "a & b; &": "a & b; &",
-            "": "", "x\n&lt;b&gt;": "x\n<b>"}
+            "": "", "x\n&lt;b&gt;": "x\n<b>", "&#00000000000065;&#x0000000041;": "AA", "&#0;&#x0;": "\ufffd\ufffd",
+            "&#99999999;&#18446744073709551681;&#xFFFFFFFFFFFFFFFFFF;&#1114112;": "\ufffd" * 4, "&#;&#x;": "&#;&#x;",
+            "&#1114111;&#x10FFFF;": "\U0010FFFF" * 2}
     df = spark.createDataFrame([(k,) for k in rows], "s string")
-    got = {r.s: (r.native, r.full) for r in df.select(
-        "s", unescape_html("s").alias("native"), unescape_html_full("s").alias("full")).collect()}
-    assert {k: v[0] for k, v in got.items()} == rows
-    assert all(got[k][1] == v for k, v in rows.items() if k != "&notit;")
+    assert {r.s: r.text for r in df.select("s", unescape_html("s").alias("text")).collect()} == rows
 
 
 def test_matrix_columns_are_words_only(spark):

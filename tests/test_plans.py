@@ -56,13 +56,17 @@ def test_wide_matrix_is_one_aggregation_over_the_facts(spark):
     assert "SortAggregate" not in p
 
 
-def test_fact_table_word_filter_prunes_partitions(spark, tmp_dir):
+def test_fact_table_filters_prune_months_and_words(spark, tmp_dir):
     from trendloom.plans import api
-    from trendloom.sources.tables import read_table
-    paths = api.refresh(fx.doc_stories(spark, SF_SMALL), fx.hiring_comments(spark, SF_SMALL),
+    from trendloom.sources.tables import read_table, write_table
+    store = api.refresh(fx.doc_stories(spark, SF_SMALL), fx.hiring_comments(spark, SF_SMALL),
                         fx.doc_dictionary(), tmp_dir)
-    facts = read_table(spark, paths["keywords"], "keywords")
-    p = plan(facts.where((F.col("word") == "the") & (F.col("year_month") == "2019-03")))
+    point = (F.col("word") == "the") & (F.col("year_month") == "2019-03")
+    p = plan(store.read("keywords").where(point))
+    assert "PartitionFilters: [isnotnull(year_month" in p and "EqualTo(word,the)" in p
+    # a table written by itself has a folder for each word
+    write_table(store.read("keywords"), f"{tmp_dir}/by_word", "keywords")
+    p = plan(read_table(spark, f"{tmp_dir}/by_word", "keywords").where(point))
     assert "PartitionFilters: [isnotnull(word" in p and "EqualTo(year_month,2019-03)" in p
 
 

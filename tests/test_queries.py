@@ -67,10 +67,8 @@ def test_sample_size_and_subset(spark):
 
 def test_refresh_twice_equals_once(spark, tmp_dir):
     stories, comments = fx.doc_stories(spark, SF_SMALL), fx.hiring_comments(spark, SF_SMALL)
-    api.refresh(stories, comments, fx.doc_dictionary(), tmp_dir)
-    once = read_table(spark, f"{tmp_dir}/keywords", "keywords").collect()
-    api.refresh(stories, comments, fx.doc_dictionary(), tmp_dir)
-    twice = read_table(spark, f"{tmp_dir}/keywords", "keywords").collect()
+    once = api.refresh(stories, comments, fx.doc_dictionary(), tmp_dir).read("keywords").collect()
+    twice = api.refresh(stories, comments, fx.doc_dictionary(), tmp_dir).read("keywords").collect()
     assert sorted(once) == sorted(twice) and len(once) > 0
 
 
@@ -201,37 +199,35 @@ def test_incremental_refresh_equals_full_and_detects_dictionary_change(spark, tm
     api.refresh_incremental(docs.where(older), comments.where(F.col("created_date") < "2021-01-01"),
                             d, f"{tmp_dir}/inc")
     api.refresh_incremental(docs, comments, d, f"{tmp_dir}/inc")
-    api.refresh_incremental(docs, comments, d, f"{tmp_dir}/inc")   # nothing new: no change
-    api.refresh(docs, comments, d, f"{tmp_dir}/full")
+    store = api.refresh_incremental(docs, comments, d, f"{tmp_dir}/inc")   # nothing new: no change
+    assert store.versions() == [1, 2]
+    whole = api.refresh(docs, comments, d, f"{tmp_dir}/full")
     for name in ("keywords", "hiring_keywords"):
-        inc = read_table(spark, f"{tmp_dir}/inc/{name}", name)
-        full = read_table(spark, f"{tmp_dir}/full/{name}", name)
+        inc, full = store.read(name), whole.read(name)
         assert inc.exceptAll(full).count() == 0 and full.exceptAll(inc).count() == 0
     # another dictionary: the facts are rebuilt in full with it
     d2 = Dictionary.of({"the": "the"}, {"the": True})
-    api.refresh_incremental(docs, comments, d2, f"{tmp_dir}/inc")
-    words = {r.word for r in read_table(spark, f"{tmp_dir}/inc/keywords", "keywords").select("word").distinct().collect()}
-    assert words == {"the"}
+    store = api.refresh_incremental(docs, comments, d2, f"{tmp_dir}/inc")
+    assert {r.word for r in store.read("keywords").select("word").distinct().collect()} == {"the"}
 
 
-def test_incremental_refresh_recovers_from_an_interrupted_run(spark, tmp_dir):
+def test_incremental_refresh_recovers_from_an_interrupted_run(spark, tmp_dir, monkeypatch):
+    from trendloom.sources import fact_store
     docs, comments = fx.doc_stories(spark, SF_SMALL), fx.hiring_comments(spark, SF_SMALL)
     d = fx.doc_dictionary()
-    root = f"{tmp_dir}/inc"
     older = F.col("submission_date") < "2021-01-01"
-    api.refresh_incremental(docs.where(older), comments.where(F.col("created_date") < "2021-01-01"),
-                            d, root)
-    # simulate a crash after the facts of the new documents were appended but
-    # before they were recorded as seen: pending ids left over, facts present
-    from trendloom.operators.matching import story_postings
-    from trendloom.sources.tables import write_table
-    new_ids = docs.select("objectid").join(spark.read.parquet(f"{root}/_seen_stories"), "objectid", "left_anti")
-    new_ids.write.mode("overwrite").parquet(f"{root}/_pending_stories")
-    write_table(story_postings(docs.join(new_ids, "objectid", "left_semi"), d),
-                f"{root}/keywords", "keywords", mode="append")
-    api.refresh_incremental(docs, comments, d, root)
-    inc = read_table(spark, f"{root}/keywords", "keywords")
-    api.refresh(docs, comments, d, f"{tmp_dir}/full")
-    full = read_table(spark, f"{tmp_dir}/full/keywords", "keywords")
+    store = api.refresh_incremental(docs.where(older), comments.where(F.col("created_date") < "2021-01-01"),
+                                    d, f"{tmp_dir}/inc")
+    before = sorted(store.read("keywords").collect())
+
+    def crash(self, **facts):
+        raise RuntimeError("lost before the commit")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(fact_store.Publication, "commit", crash)
+        api.refresh_incremental(docs, comments, d, f"{tmp_dir}/inc")
+    assert store.versions() == [1] and sorted(store.read("keywords").collect()) == before
+    inc = api.refresh_incremental(docs, comments, d, f"{tmp_dir}/inc").read("keywords")
+    full = api.refresh(docs, comments, d, f"{tmp_dir}/full").read("keywords")
     assert inc.count() == full.count()
     assert inc.exceptAll(full).count() == 0 and full.exceptAll(inc).count() == 0

@@ -24,9 +24,7 @@ from __future__ import annotations
 import html
 import html.entities
 import json
-import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,7 +125,7 @@ def contains_word(text: Column | str, word: str, synonyms: dict[str, str]) -> Co
 
 # ---- HTML entities (P3) ------------------------------------------------------
 
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def _named_references() -> dict[str, str]:
@@ -141,9 +139,11 @@ def _numbered(piece: Column) -> Column:
     As HTML asks, 128-159 are read as windows-1252, and numbers that are no
     character become U+FFFD.
     """
-    digits = F.regexp_extract(piece, "^&#([0-9]+);$", 1).try_cast("long")
-    sixteen = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1)
-    number = F.coalesce(digits, F.conv(F.nullif(sixteen, F.lit("")), 16, 10).try_cast("long"))
+    ten = F.nullif(F.regexp_extract(piece, "^&#0*([0-9]+);$", 1), F.lit(""))
+    sixteen = F.nullif(F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]+);$", 1), F.lit(""))
+    beyond = F.lit(0x110000).cast("long")                     # more digits than any character has
+    number = F.coalesce(F.when(F.length(ten) > 7, beyond).otherwise(ten.try_cast("long")),
+                        F.when(F.length(sixteen) > 6, beyond).otherwise(F.conv(sixteen, 16, 10).try_cast("long")))
     windows = {str(i): html.unescape(f"&#{i};") for i in range(128, 160)}
     known = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")
     bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
@@ -166,26 +166,3 @@ def unescape_html(text: Column | str) -> Column:
         p.startswith("&") & p.endswith(";"), F.coalesce(F.element_at(named, p), _numbered(p), p)).otherwise(p))
     whole = F.when(_col(text).contains("&"), F.array_join(decoded, "")).otherwise(_col(text))
     return F.coalesce(whole, F.lit(""))
-
-
-_ENTITY_RE = re.compile(_REFERENCE)
-
-
-def _unescape_one(value: str | None) -> str:
-    if value is None:
-        return ""
-    return _ENTITY_RE.sub(lambda m: html.unescape(m.group(0)), value)
-
-
-def _unescape_batch(s: pd.Series) -> pd.Series:
-    return s.map(_unescape_one)
-
-
-def unescape_html_full(text: Column | str) -> Column:
-    """P3 (full): every ``;``-terminated named or numeric reference, one pass.
-
-    An Arrow-batched pandas UDF (the HTML5 entity table is not a Spark
-    function); references without ``;`` are left alone (strict mode).
-    NULL -> ''.
-    """
-    return F.pandas_udf(_unescape_batch, "string")(_col(text))

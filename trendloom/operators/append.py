@@ -20,15 +20,18 @@ MAX_PRUNE_VALUES = 10_000
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row per key: the row with the smallest ``order`` (default: all columns)."""
+    """One row per key: the row with the smallest ``order`` (default: all columns);
+    ``-name`` orders by a number descending."""
     others = [c for c in df.columns if c not in key]
     if not others:
         return df.select(*key).distinct()
     # min over one struct (order columns first, then the rest) = the row with
     # the smallest ``order``, ties broken by the remaining columns
     order = [c for c in (order or others) if c not in key]
-    fields = order + [c for c in others if c not in order]
-    picked = df.groupBy(*key).agg(F.min(F.struct(*fields)).alias("_row"))
+    falling = [(-F.col(c[1:])).alias(f"_falling_{i}") for i, c in enumerate(order) if c.startswith("-")]
+    rising = [c for c in order if not c.startswith("-")]
+    lead = [falling.pop(0) if c.startswith("-") else F.col(c) for c in order]
+    picked = df.groupBy(*key).agg(F.min(F.struct(*lead, *(c for c in others if c not in rising))).alias("_row"))
     return picked.select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 

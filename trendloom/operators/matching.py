@@ -7,9 +7,9 @@ canonical word — an equi join, never a cartesian product:
 
     docs --(match_words: map-only)--> (doc, canonical) --BroadcastHashJoin--> (word, doc)
 
-The vocabulary side is a size-checked dictionary (``sources.dictionary``), so
-the broadcast is bounded and the whole refresh is a single map-only stage per
-corpus.  Facts are unique by (word, document) because the match set of a
+A size-checked vocabulary (``sources.dictionary``) makes the broadcast bounded and
+the whole refresh a single map-only stage per corpus; a vocabulary of any other
+size is met by a Bloom filter in that stage and by joins after it.  Facts are unique by (word, document) because the match set of a
 document is distinct (A7).
 """
 
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PART_SEPARATOR, match_from_chunks, plain_chunks
-from ..sources.dictionary import Dictionary, effective_vocabulary
+from ..sources.dictionary import Dictionary, DictionaryTables, any_dictionary
 
 STORY_POSTING_COLUMNS = ("objectid", "submission_date", "title", "year_month")
 COMMENT_POSTING_COLUMNS = ("objectid", "year_month")
+BLOOM_LOG2 = (12, 26)            # log2 of the bits of the token filter: 512 bytes to 8 MB of bits
 
 
 def vocabulary_frame(spark, dictionary: Dictionary, hiring_only: bool = False) -> DataFrame:
@@ -42,8 +43,14 @@ def _chunked(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame
 
 
 def postings(docs: DataFrame, text_col: str, keep: tuple[str, ...],
-             dictionary: Dictionary, hiring_only: bool = False) -> DataFrame:
-    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``."""
+             dictionary: Dictionary | DictionaryTables, hiring_only: bool = False) -> DataFrame:
+    """(word, *keep) for every keyword whose canonical word occurs in ``text_col``.
+
+    The one entry for dictionaries of any size: a bounded one is folded into the
+    projection, a larger one is joined (see :func:`postings_by_lookup`).
+    """
+    if isinstance(dictionary, DictionaryTables):
+        return postings_by_lookup(docs, text_col, keep, dictionary, hiring_only)
     d = dictionary.restricted(hiring_only)
     vocab = vocabulary_frame(docs.sparkSession, d, hiring_only)
     matched = _chunked(docs, text_col, keep).select(
@@ -52,62 +59,85 @@ def postings(docs: DataFrame, text_col: str, keep: tuple[str, ...],
     return matched.join(F.broadcast(vocab), "canonical").select("word", *keep)
 
 
+def token_bitmap(lookup: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of the lookup's tokens as a table (w, bits) of 64-bit words,
+    with one hash, and the log2 of its size.
+
+    About 16 bits a token, from ``BLOOM_LOG2[0]`` to ``BLOOM_LOG2[1]``: the table has
+    at most 2**(BLOOM_LOG2[1] - 6) rows of 16 bytes (16 MB) and may be broadcast
+    whatever the dictionary's size; a fuller one lets more through, no more.
+    """
+    least, most = BLOOM_LOG2
+    size = min(most, max(least, (16 * lookup.count()).bit_length()))
+    w, bit = _bloom_cell(F.xxhash64("token", "kind"), size)
+    words = lookup.select(w.alias("w"), bit.alias("bit")).selectExpr("w", "shiftleft(1L, bit) AS b")
+    return words.groupBy("w").agg(F.bit_or("b").alias("bits")), size
+
+
+def _bloom_cell(h, log2: int):
+    cell = F.shiftrightunsigned(h, 64 - log2)
+    return F.shiftright(cell, 6), cell.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _candidates(chunks):
+    """(token, kind) of a document, each once: its chunks as they stand, and the
+    parts of compounds."""
+    whole = F.transform(F.array_distinct(chunks), lambda c: F.struct(c.alias("token"), F.lit("whole").alias("kind")))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter(chunks, lambda c: c.contains("-")),
+                                                   lambda c: F.split(c, PART_SEPARATOR))))
+    return F.concat(whole, F.transform(parts, lambda p: F.struct(p.alias("token"), F.lit("part").alias("kind"))))
+
+
+def postings_by_lookup(docs: DataFrame, text_col: str, keep: tuple[str, ...], dictionary: DictionaryTables,
+                       hiring_only: bool = False) -> DataFrame:
+    """:func:`postings` for a dictionary too large to fold into an expression.
+
+    Each row is tokenised once.  Its distinct candidates, (chunk, whole) and
+    (part of a compound, part), meet a broadcast Bloom filter of the dictionary's
+    tokens in the same stage, so that words outside the dictionary are never
+    shuffled.  The others are joined to the lookup by (token, kind), where a token
+    stands once: a hot token makes one side of that join heavy, which AQE splits.
+    Rows are told apart by a number of their own, not by id: as in the other form,
+    rows that repeat an id have facts of their own, and a row has a word once.
+    """
+    if docs.isStreaming:
+        raise ValueError("a stream is matched with a large dictionary batch by batch (streaming.streams)")
+    lookup = dictionary.lookup(hiring_only)
+    bitmap, log2 = token_bitmap(lookup)
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), plain_chunks(text_col).alias("_chunks"))
+    found = rows.select("_row", *keep, F.explode(_candidates(F.col("_chunks"))).alias("c")).select(
+        "_row", *keep, "c.token", "c.kind")
+    w, bit = _bloom_cell(F.xxhash64("token", "kind"), log2)
+    held = (found.withColumn("w", w).withColumn("bit", bit).join(F.broadcast(bitmap), "w")
+            .where(F.expr("shiftright(bits, bit) & 1") == 1).drop("w", "bit", "bits"))
+    # two tokens of a row may stand for one word
+    matched = held.join(lookup, ["token", "kind"]).select("_row", *keep, "canonical").distinct()
+    return matched.join(dictionary.vocabulary(hiring_only), "canonical").select("word", *keep)
+
+
 def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],
                      keyword_list: DataFrame, synonyms: DataFrame,
                      hiring_only: bool = False) -> DataFrame:
-    """Same result as :func:`postings` for a dictionary too large to fold into a
-    column expression.
-
-    Each document is tokenised once; its distinct chunks become candidates
-    ``(value, kind)`` — the chunk itself (``whole``) and, for a compound, each
-    part (``part``) — exploded with the document id only (the text is not
-    carried along).  One equi join against a lookup of ``(token, kind)`` —
-    the synonym table for whole chunks, the canonical words for parts — gives
-    the canonical words; the distinct (id, canonical) pairs are joined to the
-    vocabulary and back to the documents for the ``keep`` columns.  Join
-    strategies are left to the planner (broadcast only under its size
-    threshold, AQE re-planning on measured sizes).
-    """
-    key = keep[0]
-    vocab = effective_vocabulary(keyword_list, synonyms)
-    if hiring_only:
-        vocab = vocab.where(F.col("include_hiring"))
-    vocab = vocab.select(F.col("keyword").alias("word"), "canonical")
-    lookup = synonyms.select("token", "canonical", F.lit("whole").alias("kind")).unionByName(
-        synonyms.select(F.col("canonical").alias("token"), "canonical", F.lit("part").alias("kind"))
-        .distinct())
-    chunks = F.array_distinct(plain_chunks(text_col))
-    candidates = F.flatten(F.transform(chunks, lambda c: F.concat(
-        F.array(F.struct(c.alias("value"), F.lit("whole").alias("kind"))),
-        F.transform(F.when(c.contains("-"), F.split(c, PART_SEPARATOR))
-                    .otherwise(F.array().cast("array<string>")),
-                    lambda p: F.struct(p.alias("value"), F.lit("part").alias("kind"))))))
-    cand = docs.select(key, F.explode(candidates).alias("c")).select(key, "c.value", "c.kind")
-    matched = (cand.join(lookup, (cand["value"] == lookup["token"]) & (cand["kind"] == lookup["kind"]))
-               .select(key, "canonical").distinct())
-    facts = matched.join(vocab, "canonical").select("word", key)
-    return facts.join(docs.select(*keep), key).select("word", *keep)
+    """:func:`postings` by joins, whatever the size of the given vocabulary tables."""
+    return postings_by_lookup(docs, text_col, keep, DictionaryTables(keyword_list, synonyms), hiring_only)
 
 
 def postings_for(docs: DataFrame, text_col: str, keep: tuple[str, ...],
                  keyword_list: DataFrame, synonyms: DataFrame,
                  hiring_only: bool = False) -> DataFrame:
-    """Pick the matching path by dictionary size: the map literal up to
-    ``MAP_LIMIT`` tokens (checked with a bounded read), the join path beyond."""
-    from ..sources.dictionary import DictionaryTooLarge, load_dictionary
-    try:
-        dictionary = load_dictionary(keyword_list, synonyms)
-    except DictionaryTooLarge:
+    """:func:`postings` with the vocabulary tables in the form that their size allows."""
+    dictionary = any_dictionary(keyword_list, synonyms)
+    if isinstance(dictionary, DictionaryTables):
         return postings_by_join(docs, text_col, keep, keyword_list, synonyms, hiring_only)
     return postings(docs, text_col, keep, dictionary, hiring_only)
 
 
-def story_postings(stories: DataFrame, dictionary: Dictionary) -> DataFrame:
+def story_postings(stories: DataFrame, dictionary: Dictionary | DictionaryTables) -> DataFrame:
     """(word, objectid, submission_date, title, year_month) for all keywords."""
     return postings(stories, "title", STORY_POSTING_COLUMNS, dictionary)
 
 
-def comment_postings(comments: DataFrame, dictionary: Dictionary) -> DataFrame:
+def comment_postings(comments: DataFrame, dictionary: Dictionary | DictionaryTables) -> DataFrame:
     """(word, objectid, year_month) for keywords flagged ``include_hiring``."""
     return postings(comments, "comment_text", COMMENT_POSTING_COLUMNS, dictionary, hiring_only=True)
 

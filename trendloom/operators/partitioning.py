@@ -38,23 +38,3 @@ def spread(df: DataFrame, by: str | None = None, min_partitions: int | None = No
     if df.rdd.getNumPartitions() >= min(target, cores):
         return df
     return df.repartition(target, F.col(by)) if by else df.repartition(target)
-
-
-# Largest dimension side broadcast without further thought (rows).  Beyond it
-# the join is left to the planner: shuffle join, AQE switching to a broadcast
-# only when the measured shuffle output is small, and splitting skewed keys.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_bounded(side: DataFrame, bound: DataFrame, per_row: int = 1,
-                         max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``side`` when its size is proven small, else return it as is.
-
-    ``side`` has at most ``per_row`` rows per row of ``bound`` (e.g. postings
-    of a dimension: at most one row per vocabulary word).  Counting stops at
-    the limit, so the check reads no more than ``max_rows / per_row + 1`` rows
-    of ``bound``.
-    """
-    limit = max_rows // max(per_row, 1)
-    n = bound.limit(limit + 1).count()
-    return F.broadcast(side) if n <= limit else side

@@ -18,6 +18,7 @@ from ..functions.text import TERM_REPLACEMENTS
 from ..operators import aggregate as agg
 from ..operators.ingest import unprocessed
 from ..operators.sample import sample_rows
+from .facts import refresh, refresh_incremental  # noqa: F401  (U3)
 
 # FIXED VALUES of the hiring-thread view: posting accounts, title prefix and
 # the one excluded thread id.
@@ -104,88 +105,3 @@ def register_sql_functions(spark: SparkSession) -> None:
         body = f"replace({body}, '{search}', '{repl}')"
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_terms(text STRING) "
               f"RETURNS STRING RETURN {body}")
-
-
-def refresh(stories: DataFrame, comments: DataFrame, dictionary, root: str) -> dict[str, str]:
-    """U3 (T7 + T8 + S6): rebuild both fact tables in full under ``root``.
-
-    One pass over each corpus (not one probe per keyword); each write is a
-    map-only match stage followed by a rebalance on ``word`` so that a hot
-    word is spread over several files.  Overwrite semantics make a rerun
-    idempotent: refresh twice = refresh once.
-    """
-    from ..operators.matching import comment_postings, story_postings
-    from ..sources.tables import write_table
-
-    paths = {"keywords": f"{root.rstrip('/')}/keywords",
-             "hiring_keywords": f"{root.rstrip('/')}/hiring_keywords"}
-    write_table(story_postings(stories, dictionary), paths["keywords"], "keywords")
-    write_table(comment_postings(comments, dictionary), paths["hiring_keywords"], "hiring_keywords")
-    return paths
-
-
-def refresh_incremental(stories: DataFrame, comments: DataFrame, dictionary, root: str) -> dict[str, str]:
-    """U3, incremental: match only documents no earlier refresh has seen.
-
-    Matching is per document, so facts of old documents stay valid while the
-    dictionary is unchanged.  The dictionary's fingerprint is stored with the
-    facts; when it differs (or on the first run) this is a full refresh.  The
-    ids of every matched document — with or without matches — are kept in
-    ``_seen_*`` tables, so a document is tokenised once; new documents are
-    found with an anti join on ids.
-
-    Re-runnable: a run stages the ids it is about to match in ``_pending_*``
-    and empties them at the end.  A run that finds pending ids left by an
-    interrupted one re-matches those documents and appends their facts doing
-    nothing on conflict (checked against the facts of those documents only).
-    """
-    from pyspark.errors import AnalysisException
-
-    from ..operators.append import append_new
-    from ..operators.matching import comment_postings, story_postings
-    from ..sources.tables import read_table, write_table
-
-    spark = stories.sparkSession
-    root = root.rstrip("/")
-    meta = f"{root}/_dictionary"
-    fp = dictionary.fingerprint()
-
-    def read_or_none(path):
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            return None
-
-    prev = read_or_none(meta)
-    previous = prev.select("fingerprint").limit(1).collect() if prev is not None else []
-    paths = {"keywords": f"{root}/keywords", "hiring_keywords": f"{root}/hiring_keywords"}
-    if not previous or previous[0][0] != fp:
-        refresh(stories, comments, dictionary, root)
-        stories.select("objectid").write.mode("overwrite").parquet(f"{root}/_seen_stories")
-        comments.select("objectid").write.mode("overwrite").parquet(f"{root}/_seen_comments")
-        for kind in ("stories", "comments"):
-            spark.createDataFrame([], "objectid string").write.mode("overwrite").parquet(
-                f"{root}/_pending_{kind}")
-        spark.createDataFrame([(fp,)], "fingerprint string").write.mode("overwrite").parquet(meta)
-        return paths
-
-    corpora = {"stories": (stories, story_postings, "keywords"),
-               "comments": (comments, comment_postings, "hiring_keywords")}
-    for kind, (docs, match, table) in corpora.items():
-        seen, pending = f"{root}/_seen_{kind}", f"{root}/_pending_{kind}"
-        left_over = read_or_none(pending)
-        recovering = left_over is not None and not left_over.isEmpty()
-        # what an interrupted run left over first, then the documents not seen yet
-        for left_from_before in ([True, False] if recovering else [False]):
-            if not left_from_before:
-                fresh_ids = docs.select("objectid").join(spark.read.parquet(seen), "objectid", "left_anti")
-                fresh_ids.write.mode("overwrite").parquet(pending)
-            ids = spark.read.parquet(pending)
-            facts = match(docs.join(ids, "objectid", "left_semi"), dictionary)
-            if left_from_before:   # some of these facts may be stored already
-                stored = read_table(spark, paths[table], table).join(ids, "objectid", "left_semi")
-                facts = append_new(stored, facts, ["word", "objectid"])
-            write_table(facts, paths[table], table, mode="append")
-            ids.write.mode("append").parquet(seen)
-            spark.createDataFrame([], "objectid string").write.mode("overwrite").parquet(pending)
-    return paths

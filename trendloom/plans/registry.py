@@ -15,6 +15,7 @@ from ..operators import matching
 from . import api
 from . import fixtures as fx
 from . import oracle as osql
+from . import registry_load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,17 +31,11 @@ def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, year_month, title) of the large trend input.
 
     Tokenising runs on the part dimension (one row per part), not on every
-    lineitem row; the lineitem side only contributes (partkey, month).  The
-    part postings are broadcast only when the part table is proven small;
-    beyond that the join is a shuffle join (AQE splits skewed part keys).
+    lineitem row; the lineitem side only contributes (partkey, month).  The join's
+    strategy is left to the planner and AQE, which know the sides' sizes: a broadcast
+    where the postings are small, else a shuffle join with heavy part keys split.
     """
-    from ..operators.partitioning import broadcast_if_bounded
-    parts = fx.trend_parts(spark, sf_dir)
-    d = fx.part_dictionary()
-    words = matching.postings(parts, "title", ("p_partkey", "title"), d)
-    # at most one posting per (part, keyword): bounded by the part table's rows
-    words = broadcast_if_bounded(words, fx.read(spark, sf_dir, "part").select("p_partkey"),
-                                 per_row=len(d.keywords))
+    words = matching.postings(fx.trend_parts(spark, sf_dir), "title", ("p_partkey", "title"), fx.part_dictionary())
     li = fx.trend_periods(spark, sf_dir)
     return (li.join(words, li["l_partkey"] == words["p_partkey"])
             .select("word", "year_month", "title"))
@@ -142,11 +137,9 @@ def s5_append_new(spark, sf_dir):
 def s6_refresh(spark, sf_dir):
     """S6 + U3: full refresh of both fact tables; the story facts read back."""
     from ..session import scratch_path
-    from ..sources.tables import read_table
     root = scratch_path(spark, "facts")
-    paths = api.refresh(fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir),
-                        fx.doc_dictionary(), root)
-    return read_table(spark, paths["keywords"], "keywords")
+    return api.refresh(fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir),
+                       fx.doc_dictionary(), root).read("keywords")
 
 
 INCREMENTAL_FIRST_BEFORE = "2021-01-01"
@@ -156,23 +149,19 @@ def u3_refresh_incremental(spark, sf_dir):
     """U3 incremental: a full refresh of the older documents, then an
     incremental one over all of them (only the newer are tokenised)."""
     from ..session import scratch_path
-    from ..sources.tables import read_table
     root = scratch_path(spark, "facts-inc")
     docs, comments, d = fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir), fx.doc_dictionary()
     api.refresh_incremental(docs.where(F.col("submission_date") < INCREMENTAL_FIRST_BEFORE),
                             comments.where(F.col("created_date") < INCREMENTAL_FIRST_BEFORE), d, root)
-    paths = api.refresh_incremental(docs, comments, d, root)
-    return read_table(spark, paths["keywords"], "keywords")
+    return api.refresh_incremental(docs, comments, d, root).read("keywords")
 
 
 def s6_refresh_hiring(spark, sf_dir):
     """S6 + U3: the comment facts of the same refresh, read back."""
     from ..session import scratch_path
-    from ..sources.tables import read_table
     root = scratch_path(spark, "facts")
-    paths = api.refresh(fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir),
-                        fx.doc_dictionary(), root)
-    return read_table(spark, paths["hiring_keywords"], "hiring_keywords")
+    return api.refresh(fx.doc_stories(spark, sf_dir), fx.hiring_comments(spark, sf_dir),
+                       fx.doc_dictionary(), root).read("hiring_keywords")
 
 
 def s7_mark_processed(spark, sf_dir):
@@ -306,7 +295,7 @@ F10_WORD = "der"
 
 def f10_contains_word(spark, sf_dir):
     from ..functions.text import contains_word
-    d = fx.doc_stories(spark, sf_dir)
+    d = fx.doc_stories_of(fx.read(spark, sf_dir, "documents"))
     return d.where(contains_word("title", F10_WORD, fx.DOC_SYNONYMS)).select("objectid")
 
 
@@ -365,10 +354,9 @@ def t7_stories_postings(spark, sf_dir):
 
 
 def p3_unescape_html_full(spark, sf_dir):
-    """P3, full entity set (Arrow-batched pandas UDF) over the whole pages."""
-    from ..functions.text import unescape_html_full
-    pages = fx.read(spark, sf_dir, "pages")
-    return pages.select("page_id", unescape_html_full("html").alias("text"))
+    """P3, every named and numeric reference, over the whole pages."""
+    from ..functions.text import unescape_html
+    return fx.read(spark, sf_dir, "pages").select("page_id", unescape_html("html").alias("text"))
 
 
 # ---- vocabulary files (S2, S3, Q1, T6) -------------------------------------------
@@ -542,7 +530,7 @@ def queries() -> dict[str, Query]:
         "r2_stream_postings": r2_stream_postings,
         "r3_stream_window_counts": r3_stream_window_counts,
         "r3_monthly_rollup": r3_monthly_rollup,
-    }
+    } | registry_load.queries()
 
 
 # ---- oracle ------------------------------------------------------------------------
@@ -739,4 +727,4 @@ def oracle_sql() -> dict[str, str]:
             + ") k GROUP BY 1, 2"),
         "r3_monthly_rollup": (f"SELECT year_month, word, count(*) AS num_occurences FROM ({_comment_postings_sql()}) k "
                               f"GROUP BY year_month, word"),
-    }
+    } | registry_load.oracle_sql()

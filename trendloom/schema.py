@@ -95,6 +95,10 @@ REQUIRED = {
     "hiring_keywords": ["word", "objectid"],
 }
 
+# Date columns, which must start like an ISO date (their month is a partition).
+DATES = {"stories": ["submission_date"], "hiring_comments": ["created_date"]}
+ISO_DATE = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
+
 SCHEMAS = {
     "stories": STORIES,
     "hiring_comments": HIRING_COMMENTS,

@@ -3,8 +3,9 @@
 The keyword list and the synonym file are read as DataFrames.  Matching needs
 them on every executor, so they are turned into a :class:`Dictionary` — but
 only after checking their size: at most ``max_entries`` rows are ever brought
-to the driver.  A dictionary over the bound is refused, and the caller uses the
-join-based matching path instead (``operators.matching``).
+to the driver.  A larger one stays distributed, as :class:`DictionaryTables`.
+:func:`any_dictionary` gives whichever fits; matching, refresh and streams take
+both (``operators.matching``).
 """
 
 from __future__ import annotations
@@ -116,6 +117,47 @@ def _bounded_rows(df: DataFrame, max_entries: int, what: str) -> list:
     return rows
 
 
+def folded_synonyms(synonyms: DataFrame) -> DataFrame:
+    """(token, canonical) in lower case, one canonical word (the smallest) a token."""
+    return (synonyms.where(F.col("token").isNotNull() & F.col("canonical").isNotNull())
+            .groupBy(F.lower("token").alias("token")).agg(F.min(F.lower("canonical")).alias("canonical")))
+
+
+def folded_keywords(keyword_list: DataFrame) -> DataFrame:
+    """(keyword, include_hiring), one row a keyword as written; flagged if any row is."""
+    return (keyword_list.where(F.col("keyword").isNotNull())
+            .groupBy("keyword").agg(F.max("include_hiring").alias("include_hiring")))
+
+
+class DictionaryTables:
+    """A vocabulary of any size, held as tables; the counterpart of :class:`Dictionary`."""
+
+    def __init__(self, keyword_list: DataFrame, synonyms: DataFrame):
+        self.keywords, self.synonyms = folded_keywords(keyword_list), folded_synonyms(synonyms)
+
+    def vocabulary(self, hiring_only: bool = False) -> DataFrame:
+        """(word, canonical) of the keywords that the dictionary knows."""
+        kept = self.keywords.where("include_hiring") if hiring_only else self.keywords
+        return kept.join(self.synonyms, F.lower(kept["keyword"]) == self.synonyms["token"]).select(
+            F.col("keyword").alias("word"), "canonical")
+
+    def lookup(self, hiring_only: bool = False) -> DataFrame:
+        """(token, kind, canonical): what chunks (``whole``) and parts of compounds
+        (``part``) stand for, as far as some keyword needs it."""
+        needed = self.vocabulary(hiring_only).select("canonical").distinct()
+        whole = self.synonyms.join(needed, "canonical", "left_semi")
+        parts = needed.join(self.synonyms.select("canonical").distinct(), "canonical", "left_semi")
+        return whole.select("token", F.lit("whole").alias("kind"), "canonical").unionByName(
+            parts.select(F.col("canonical").alias("token"), F.lit("part").alias("kind"), "canonical"))
+
+    def fingerprint(self) -> str:
+        """A digest of both tables, from sums over their rows."""
+        def mark(rows: DataFrame) -> str:
+            r = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("s")).first()
+            return f"{r['n']}:{r['s']}"
+        return f"tables:{mark(self.keywords)}:{mark(self.synonyms)}"
+
+
 def effective_vocabulary(keyword_list: DataFrame, synonyms: DataFrame) -> DataFrame:
     """T6 as a DataFrame: (keyword, canonical, include_hiring) for the keywords
     the dictionary knows.  A keyword goes through the dictionary like a query
@@ -133,12 +175,19 @@ def load_dictionary(keyword_list: DataFrame, synonyms: DataFrame,
     ``MAP_LIMIT`` by default)."""
     max_entries = MAP_LIMIT if max_entries is None else max_entries
     syn = {r["token"]: r["canonical"]
-           for r in _bounded_rows(synonyms, max_entries, "synonym dictionary")}
-    kw_rows = _bounded_rows(keyword_list.select("keyword", "include_hiring")
-                            .where(F.col("keyword").isNotNull())
-                            .dropDuplicates(["keyword"]), max_entries, "keyword list")
+           for r in _bounded_rows(folded_synonyms(synonyms), max_entries, "synonym dictionary")}
+    kw_rows = _bounded_rows(folded_keywords(keyword_list), max_entries, "keyword list")
     return Dictionary.of(syn, {r["keyword"]: r["include_hiring"] for r in kw_rows})
 
 
+def any_dictionary(keyword_list: DataFrame, synonyms: DataFrame) -> "Dictionary | DictionaryTables":
+    """The vocabulary in the form that its size allows: up to ``MAP_LIMIT`` tokens
+    on the driver, to be folded into expressions; tables beyond."""
+    try:
+        return load_dictionary(keyword_list, synonyms)
+    except DictionaryTooLarge:
+        return DictionaryTables(keyword_list, synonyms)
+
+
 def default_dictionary(spark: SparkSession) -> Dictionary:
     return load_dictionary(default_keyword_list(spark), default_synonyms(spark))

@@ -17,17 +17,17 @@ from .. import schema
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def create_tables(spark: SparkSession, root: str, names=None) -> list[str]:
+def create_tables(spark: SparkSession, root: str, names=None, database: str | None = None) -> list[str]:
     """``CREATE TABLE IF NOT EXISTS ... USING parquet`` for each table,
     partitioned as in :data:`schema.PARTITION_COLUMNS`, located under ``root``.
     Returns the table names; existing tables are left as they are."""
-    made = []
+    made, prefix = [], f"`{database}`." if database else ""
     for name in names or schema.SCHEMAS:
         st = schema.SCHEMAS[name]
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.fields)
         parts = schema.PARTITION_COLUMNS.get(name)
         part_sql = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({cols}) USING parquet"
                   f"{part_sql} LOCATION '{root.rstrip('/')}/{name}'")
         made.append(name)
     return made

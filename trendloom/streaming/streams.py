@@ -5,13 +5,20 @@ R1  idempotent ingest: new files -> ``foreachBatch`` append-new (S5): repeats
     however late it comes (no watermark, no state).  The checkpoint records
     which files were read: a restart re-reads nothing and an interrupted batch
     is redone whole.
+    Over search responses: ``streaming.hits``.
 R2  continuous postings: the matching expressions (T7/T8) on a streaming
-    DataFrame; stateless, append to a Parquet sink partitioned by word
-    (exactly-once file sink).
+    DataFrame, append to a Parquet sink partitioned by word (exactly-once file
+    sink).  Documents are remembered by id in the state store, without a
+    watermark: one delivered again, however late, has no facts again.
 R3  windowed trend with late data: counts per (day window, word) with a
-    watermark of the settling age; ``update`` mode into a versioned sink whose
-    latest version per key is the answer.  Calendar months are not a window
-    length: roll days up to ``year_month`` in batch.
+    watermark of the settling age; facts are remembered by (word, id), so repeats
+    do not count.  ``update`` mode into a versioned sink whose latest version per
+    key is the answer; old versions are merged level by level.  Calendar months
+    are not a window length: roll days up to ``year_month`` in batch.
+
+The memory of ids grows with the documents (a key of some ten bytes each); it lies
+in RocksDB on the executors' disks with its changes in the checkpoint, not in
+their heaps.  Rows that repeat an id are taken to be the same item: one of them stays.
 
 All sinks and checkpoints live under the shared checkpoint folder.
 """
@@ -21,12 +28,21 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.append import append_new
 from ..operators.matching import postings
-from ..sources.dictionary import Dictionary
 from ..session import table_path
+from ..sources import files
+from ..sources.dictionary import Dictionary, DictionaryTables
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batch versions (then merged runs of a level) that are merged into one.
+FANOUT = 8
+COUNTS = T.StructType([T.StructField("window_start_s", T.LongType()), T.StructField("window_end_s", T.LongType()),
+                       T.StructField("word", T.StringType()), T.StructField("n", T.LongType()),
+                       T.StructField("batch_id", T.LongType())])
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str,
@@ -101,48 +117,133 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, key: list[str],
     return writer.start()
 
 
-def postings_stream(comments: DataFrame, dictionary: Dictionary, sink: str, checkpoint: str,
+def _start(writer, spark: SparkSession, available_now: bool) -> StreamingQuery:
+    """Start a query with its state in RocksDB; a provider that the session names
+    itself is kept, and so is the one that a checkpoint was begun with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    own = "HDFSBackedStateStoreProvider" in spark.conf.get(key)          # the default
+    if not own:
+        return writer.start()
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)                                        # the query has a copy of the session
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
+def postings_stream(comments: DataFrame, dictionary: Dictionary | DictionaryTables, sink: str, checkpoint: str,
                     keep: tuple[str, ...] = ("objectid", "year_month"),
                     text_col: str = "comment_text", hiring_only: bool = True,
                     available_now: bool = True) -> StreamingQuery:
-    """R2: stateless postings of a comment stream, appended to a Parquet sink."""
-    facts = postings(comments, text_col, keep, dictionary, hiring_only)
-    # same layout as the batch fact tables: one folder per word, so a word
-    # lookup prunes to it; the file sink's log keeps the output exactly-once
-    writer = (facts.writeStream.format("parquet").option("path", sink).partitionBy("word")
-              .option("checkpointLocation", checkpoint).outputMode("append"))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    """R2: postings of a comment stream, appended to a Parquet sink, each document's once.
+
+    With a large dictionary the documents not met before are matched batch by
+    batch; such a batch has a folder of its own, written over when it is repeated.
+    """
+    spark = comments.sparkSession
+    once = comments.dropDuplicates([keep[0]])
+    if isinstance(dictionary, DictionaryTables):
+        def _match(batch: DataFrame, batch_id: int) -> None:
+            staging = f"{checkpoint.rstrip('/')}/staging"
+            batch.select(*keep, text_col).write.mode("overwrite").parquet(staging)
+            rows = spark.read.schema(batch.select(*keep, text_col).schema).parquet(staging)
+            (postings(rows, text_col, keep, dictionary, hiring_only)
+             .write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}"))
+
+        writer = once.writeStream.foreachBatch(_match)
+    else:
+        # same layout as the batch fact tables: one folder per word, so a word
+        # lookup prunes to it; the file sink's log keeps the output exactly-once
+        facts = postings(once, text_col, keep, dictionary, hiring_only)
+        writer = facts.writeStream.format("parquet").option("path", sink).partitionBy("word").outputMode("append")
+    return _start(writer.option("checkpointLocation", checkpoint), spark, available_now)
 
 
 def windowed_counts_stream(facts: DataFrame, event_time: str, sink: str, checkpoint: str,
                            window: str = "1 day", watermark: str = "5 days",
-                           available_now: bool = True) -> StreamingQuery:
+                           available_now: bool = True, key: tuple[str, ...] = ()) -> StreamingQuery:
     """(window, word) counts; rows later than the watermark are dropped.
 
-    Each micro-batch writes the groups it updated, tagged with its batch id;
-    :func:`latest_counts` reads the newest version of every group.
+    With ``key`` (the columns that tell a fact, such as word and objectid) a fact
+    counts once, however often it is delivered.  Each micro-batch writes the groups
+    it updated as a run of level 0, tagged with its batch id; :func:`latest_counts`
+    reads the newest version of every group.  Before that, runs of earlier batches
+    are merged where ``FANOUT`` of a level have gathered (:func:`compact_counts`).
     """
-    counts = (facts.withWatermark(event_time, watermark)
+    spark = facts.sparkSession
+    timed = facts.withWatermark(event_time, watermark)
+    counts = ((timed.dropDuplicates(list(key)) if key else timed)
               .groupBy(F.window(event_time, window).alias("w"), "word")
               .agg(F.count(F.lit(1)).alias("n")))
 
     def _write(batch: DataFrame, batch_id: int) -> None:
+        compact_counts(spark, sink, batch_id)
         # one action per batch: the stateful aggregation must not run twice
         (batch.select(F.unix_seconds(F.col("w.start")).alias("window_start_s"),
                       F.unix_seconds(F.col("w.end")).alias("window_end_s"),
                       "word", "n", F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(sink))
+         .write.mode("overwrite").parquet(_run(sink, 0, batch_id, batch_id)))
 
-    writer = (counts.writeStream.outputMode("update").foreachBatch(_write)
-              .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    writer = counts.writeStream.outputMode("update").foreachBatch(_write).option("checkpointLocation", checkpoint)
+    return _start(writer, spark, available_now)
+
+
+def _run(sink: str, level: int, first: int, last: int) -> str:
+    return f"{sink.rstrip('/')}/level={level}/run={first:012d}-{last:012d}"
+
+
+def _runs(spark: SparkSession, sink: str) -> dict[int, list[tuple[int, int]]]:
+    """level -> (first batch, last batch) of its complete runs."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for level in (n for n in files.names(spark, sink) if n.startswith("level=")):
+        for run in files.names(spark, f"{sink.rstrip('/')}/{level}"):
+            if files.exists(spark, f"{sink.rstrip('/')}/{level}/{run}/_SUCCESS"):
+                first, last = run.partition("=")[2].split("-")
+                found.setdefault(int(level.partition("=")[2]), []).append((int(first), int(last)))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _merged(runs: dict[int, list[tuple[int, int]]], level: int, run: tuple[int, int]) -> bool:
+    """Whether a run of a higher level holds all batches of this one."""
+    return any(lo <= run[0] and run[1] <= hi for k, v in runs.items() if k > level for lo, hi in v)
+
+
+def compact_counts(spark: SparkSession, sink: str, before_batch: int, fanout: int = FANOUT) -> int:
+    """Merge runs of batches before ``before_batch`` where a level holds ``fanout``
+    that are not merged yet; returns how many merges were made.
+
+    A merged run keeps the newest version of every group, with its batch id, so that
+    reading it together with its parts gives the same answer: a merge that dies
+    halfway, or a reader between its end and the deletion of the parts, does no
+    harm.  Parts are deleted one call after their merge, which leaves readers time.
+    """
+    runs = _runs(spark, sink)
+    for level, own in runs.items():
+        for run in own:
+            if _merged(runs, level, run):
+                files.delete(spark, _run(sink, level, *run))
+    merges = 0
+    for level in sorted(runs):
+        own = [r for r in runs[level] if not _merged(runs, level, r) and r[1] < before_batch]
+        if len(own) < fanout:
+            continue
+        path = _run(sink, level + 1, own[0][0], own[-1][1])
+        parts = spark.read.schema(COUNTS).parquet(*(_run(sink, level, *r) for r in own))
+        merged = (parts.groupBy("window_start_s", "window_end_s", "word")
+                  .agg(F.max_by("n", "batch_id").alias("n"), F.max("batch_id").alias("batch_id")))
+        merged.select(*COUNTS.fieldNames()).hint("rebalance").write.mode("overwrite").parquet(path)
+        runs.setdefault(level + 1, []).append((own[0][0], own[-1][1]))
+        merges += 1
+    return merges
 
 
 def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
     """R3 read side: the newest version of each (window, word) count."""
-    versions = spark.read.parquet(sink)
+    runs = _runs(spark, sink)
+    kept = [_run(sink, level, *r) for level, own in runs.items() for r in own if not _merged(runs, level, r)]
+    versions = spark.read.schema(COUNTS).parquet(*kept) if kept else spark.createDataFrame([], COUNTS)
     return (versions.groupBy("window_start_s", "window_end_s", "word")
             .agg(F.max_by("n", "batch_id").alias("n")))
 
