@@ -9,14 +9,17 @@ form one word; words of over 24 characters are read in overlapping windows; a wo
 with digits is read without them as well.
 
 *Landmarks* are words found far more often in toxic than in clean training texts,
-each unlike the ones before it.  A sentence's features are, per landmark, the
-highest kernel value of its words, put through the Nystroem map K^(-1/2).  A
-linear support vector machine (squared hinge) is trained on labelled sentences:
-those of clean texts, and of each toxic text the one that the machine itself finds
-most toxic (two rounds, as labels belong to texts).  A training text, toxic or
+so much so that among as many words without a preference less than about one would
+be, each unlike the ones before it.  They are counted by their neighbours: copies of
+a toxic text, whose every word is found in toxic texts, count once.  A sentence's
+features are, per landmark, the highest kernel value of its words and its fourth
+power (a kernel as well, so that a close match tells more than several loose ones),
+each put through its Nystroem map K^(-1/2).  A linear support vector machine
+(squared hinge) is trained on labelled sentences: those of clean texts, and of each
+toxic text the one that the machine itself finds most toxic (chosen again ``ROUNDS`` times, as labels belong to texts).  A training text, toxic or
 clean, gives at most ``SENTENCES`` sentences, those with the highest kernel value.
 A text to score is read whole and scores by its most toxic sentence, turned into a
-probability by Platt's scaling.
+probability by Platt's scaling of margins that were cross-validated.
 
 Pairs of a word and a landmark are screened before the kernel: they need some
 ordered letter pairs (at distances 1 to 3) in common, else the value is 0, in
@@ -41,10 +44,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_slices, list_array, texts_of
+from .common import Scratch, fold, in_slices, list_array, texts_of
 
 LENGTH, DECAY = 3, 0.6           # of the subsequences; per letter spanned
 FLOOR = 0.3                      # lower kernel values count as 0
@@ -52,7 +55,12 @@ WINDOW = 24                      # letters of a word read together
 LANDMARKS = 80
 APART = 0.6                      # landmarks are less alike than this
 MAX_TOXIC, MAX_CLEAN = 6_000, 10_000
+MAX_CANDIDATES = 2_000           # words looked at for landmarks
 SENTENCES = 8                    # of a training text, toxic or clean
+POWERS = (1, 4)                  # of the kernel: close matches weigh apart from loose ones
+COST = 0.1                       # of the machine's errors
+ROUNDS = 3                       # of choosing the most toxic sentence of a toxic text
+FOLDS = 4                        # for the margins that the probabilities are fitted on
 PREDICT_FROM = 0.7
 _CACHED_WORDS = 800_000
 _STRIP = re.compile(r"[\W_]+")
@@ -219,13 +227,13 @@ def _kernel(landmarks: tuple[str, ...]) -> LandmarkKernel:
 @dataclass
 class ToxicityModel:
     landmarks: list[str]
-    weights: np.ndarray          # on kernel values: K^(-1/2) w
+    weights: np.ndarray          # on kernel values, by power: K^(-1/2) w
     bias: float
     slope: float
     shift: float
 
     def margins(self, features: np.ndarray) -> np.ndarray:
-        return features @ self.weights + self.bias
+        return sum((features ** p @ w for p, w in zip(POWERS, self.weights)), self.bias)
 
     def score(self, features: np.ndarray) -> float:
         margin = max(self.bias, float(self.margins(features).max())) if len(features) else self.bias
@@ -275,6 +283,15 @@ def choose_landmarks(ranked: list[str], most: int = LANDMARKS) -> list[str]:
     return chosen
 
 
+def _evidence(share: float) -> Column:
+    """Half the likelihood-ratio statistic of a word's texts against the ``share`` of
+    toxic ones among all: words that prefer neither class have x or more of it with
+    a probability of about exp(-x)."""
+    n = F.col("toxic") + F.col("clean")
+    return (F.col("toxic") * F.log(F.col("toxic") / (n * share))
+            + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
         max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel | None:
     """Fit on bounded samples of both classes of ``labels``; null without both."""
@@ -305,12 +322,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         return None
     per_word = (train.mapInArrow(counted, "word string, toxic long, clean long")
                 .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    several = Scratch(spark, "toxicity").save(per_word.where("toxic + clean >= 3"), "words")
     odds = (F.log((F.col("toxic") + 0.5) / sizes[1]) - F.log((F.col("clean") + 0.5) / sizes[0]))
-    ranked = [r["word"] for r in per_word.where("toxic >= 3").where(odds > 2)
-              .orderBy(F.desc(odds * F.sqrt("toxic")), "word").limit(2000).collect()]     # bounded
+    evidence = _evidence(sizes[1] / (sizes[0] + sizes[1]))
+    telling = (F.col("toxic") >= 3) & (odds > 2)
+    candidates = {r["word"] for r in several.where(telling & (evidence > np.log(max(1, several.count()))))
+                  .orderBy(F.desc(odds * F.sqrt("toxic")), "word").limit(MAX_CANDIDATES).collect()}
+    wanted = spark.sparkContext.broadcast(candidates)
+
+    def neighbours(batches):
+        for batch in batches:
+            found = []
+            for t, c in zip(texts_of(batch), batch.column("y").to_pylist()):
+                runs, met = t.lower().split(), set()
+                for i, w in enumerate(map(word_of, runs)):
+                    if w in wanted.value and w not in met:
+                        met.add(w)
+                        found.append((w, " ".join(runs[max(0, i - 1):i + 2]), c))
+            words, places, y = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.string()),
+                                              pa.array(y, pa.int32())], names=["word", "place", "y"])
+
+    # a word counts once for each pair of neighbours, so that copies of a text count once
+    placed = (train.mapInArrow(neighbours, "word string, place string, y int").groupBy("word", "place")
+              .agg(F.max("y").alias("toxic"), (1 - F.min("y")).alias("clean"))
+              .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    ranked = [r["word"] for r in placed.where(telling & (evidence > np.log(max(1, len(candidates)))))
+              .orderBy(F.desc(odds * F.sqrt("toxic")), "word").collect()]
     landmarks = choose_landmarks(ranked)
     if not landmarks:
-        return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(sizes[1] / sizes[0])))
+        return ToxicityModel([], np.zeros((len(POWERS), 0)), 0.0, 0.0, float(np.log(sizes[1] / sizes[0])))
     shared = spark.sparkContext.broadcast(tuple(landmarks))
 
     def featured(batches):
@@ -331,25 +372,49 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return _train(landmarks, texts, y)
 
 
-def _train(landmarks: list[str], texts: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
+def _roots(landmarks: list[str]) -> list[np.ndarray]:
+    """The Nystroem map K^(-1/2) of each power of the kernel."""
     m = len(landmarks)
     c = codes(landmarks)
     own = normalised(c.repeat(m, 0), np.tile(c, (m, 1))).reshape(m, m).astype(np.float64)
-    value, vector = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(m))
-    root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
-    nothing = np.zeros((1, m))
-    bags = [t if len(t) else nothing for t in texts]
-    clean = np.concatenate([b for b, c in zip(bags, y) if not c]) @ root
-    toxic = [b @ root for b, c in zip(bags, y) if c and b.any()]
+    roots = []
+    for power in POWERS:
+        value, vector = np.linalg.eigh((own ** power + own.T ** power) / 2 + 1e-3 * np.eye(m))
+        roots.append(vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T)
+    return roots
+
+
+def _train(landmarks: list[str], texts: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
+    m = len(landmarks)
+    roots = _roots(landmarks)
+    nothing = np.zeros((1, m * len(POWERS)))
+    bags = [np.concatenate([t ** p @ r for p, r in zip(POWERS, roots)], axis=1) if len(t) else nothing for t in texts]
+    toxic = [k for k, c in enumerate(y) if c and bags[k].any()]
+    clean = [k for k, c in enumerate(y) if not c]
     if not toxic:
-        return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(max(1, y.sum()) / max(1, len(y) - y.sum()))))
-    picked = np.array([b[b.sum(axis=1).argmax()] for b in toxic])
-    for _ in range(2):
-        w = _svm(np.concatenate([picked, clean]), np.concatenate([np.ones(len(picked)), -np.ones(len(clean))]))
-        picked = np.array([b[(b @ w[:-1]).argmax()] for b in toxic])
-    model = ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
-    margin = np.array([max(model.bias, float(model.margins(b).max())) for b in bags])
-    model.slope, model.shift = _platt(margin, y.astype(float))
+        return ToxicityModel([], np.zeros((len(POWERS), 0)), 0.0, 0.0, float(np.log(max(1, y.sum()) / max(1, len(y) - y.sum()))))
+
+    def machine(pos: list[int], neg: list[int]) -> np.ndarray:
+        x = np.concatenate([[picked[k] for k in pos], *(bags[k] for k in neg)])
+        return _svm(x, np.concatenate([np.ones(len(pos)), -np.ones(len(x) - len(pos))]), COST)
+
+    def margin(w: np.ndarray, k: int) -> float:
+        return max(w[-1], float((bags[k] @ w[:-1]).max() + w[-1]))
+
+    picked = {k: bags[k][np.abs(bags[k]).sum(axis=1).argmax()] for k in toxic}
+    for _ in range(ROUNDS):
+        w = machine(toxic, clean)
+        picked = {k: bags[k][(bags[k] @ w[:-1]).argmax()] for k in toxic}
+    weights = np.array([r @ part for r, part in zip(roots, w[:-1].reshape(len(POWERS), m))])
+    model = ToxicityModel(landmarks, weights, float(w[-1]), 1.0, 0.0)
+    # margins of texts that the machine has not seen tell what its margins are worth
+    margins = np.array([margin(w, k) for k in range(len(y))])
+    for f in range(FOLDS):
+        pos, neg = [k for k in toxic if k % FOLDS != f], [k for k in clean if k % FOLDS != f]
+        if pos and neg:
+            own = machine(pos, neg)
+            margins[f::FOLDS] = [margin(own, k) for k in range(f, len(y), FOLDS)]
+    model.slope, model.shift = _platt(margins, y.astype(float))
     return model
 
 
