@@ -332,10 +332,12 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # a line that occurs once and is in no group stays
     places = lines.select("k", "h", "pos", "node")
-    places = scratch.save(places.mapInArrow(met_again, places.schema), "places").join(groups, "node", "left").select(
-        F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label"))
-    firsts = (places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-              .where("n > 1").select("label", "first"))
+    places = scratch.save(scratch.save(places.mapInArrow(met_again, places.schema), "places")
+                          .join(groups, "node", "left").select(
+        F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label")), "labelled")
+    # written, so that AQE splits the join where a line is repeated very often
+    firsts = scratch.save(places.groupBy("label").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+                          .where("n > 1").select("label", "first"), "firsts")
     return (places.join(firsts, "label").where("not (place <=> first)").select("place.k", "place.h", "place.pos")
             .groupBy("k", "h").agg(F.collect_set("pos").alias("drops")))
 
