@@ -231,8 +231,16 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         return known.select("node", "n", "s", rest.alias("rest"))
 
     linked = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=True)
-    rows = sets.select("doc_id", "n", "node").join(linked, "node", "left").select(
-        "doc_id", "n", F.coalesce("comp", "node").alias("label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the smallest id of each node, then of its component; only nodes with copies or links are joined
+    nodes = scratch.save(sets.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    ids = nodes.join(linked, "node").select("node", "least", "comp")
+    smallest = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    places = ids.join(smallest, "comp").select("node", "component_id").union(
+        nodes.join(linked, "node", "left_anti").where("copies > 1").select("node", "least"))
+    # written, so that AQE splits the join where a node has many copies; empty sets lie by their row
+    places = scratch.save(places.withColumnRenamed("node", "place"), "places")
+    own = F.coalesce("node", F.xxhash64("doc_id", F.lit("empty")))
+    joined = sets.select("doc_id", "n", "node", own.alias("own")).join(places, F.col("own") == F.col("place"), "left")
+    component = F.when(F.col("node").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
