@@ -408,3 +408,50 @@ def test_repeated_hashes_are_marked(spark):
     once = np.array([words[f"x{i}".encode()] for i in range(50, 2000)], dtype=np.uint64)
     assert in_bitmap(found[2][0], many).all() and in_bitmap(found[2][0], once).mean() < 0.01
     assert found[64][1] == 1 and in_bitmap(found[64][0], many).sum() == 1
+
+
+def clustered(rng, clusters=40, each=60, size=16):
+    """Vectors close to directions of their own, some pointing away from each other."""
+    centres = rng.normal(size=(clusters, size))
+    centres *= 12 / np.linalg.norm(centres, axis=1)[:, None]
+    return np.concatenate([c + 0.15 * rng.normal(size=(each, size)) for c in centres])
+
+
+def test_pairs_of_nodes_are_pruned_on_both_trees():
+    rng = np.random.default_rng(8)
+    x = cover_tree.quantise(clustered(rng))
+    ids = np.arange(len(x))
+    q = x[::10]
+    top = cover_tree.TopK(ids[::10], np.full(len(q), -np.inf), 20)
+    trees = cover_tree.cover_tree(q, leaf=4), cover_tree.cover_tree(x, leaf=16)
+    assert trees[0].children and trees[1].children
+    made = cover_tree.search(trees[0], q, trees[1], x, ids, top)
+    assert made < 0.2 * len(q) * len(x)
+    for row, own in enumerate(ids[::10]):
+        s = (x @ q[row]).astype(int)
+        assert sorted(zip(-top.kept[row][0], top.kept[row][1])) == sorted(((-s[i], i) for i in ids if i != own))[:20]
+
+
+def test_queries_go_only_where_they_may_have_neighbours(spark, monkeypatch):
+    """On clustered vectors most pairs of pivot cells are pruned before data are sent."""
+    rng = np.random.default_rng(9)
+    x = clustered(rng)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    real = spark.createDataFrame
+
+    def watched(data, schema=None, **more):
+        if schema == "asked int, pivot int":
+            sent.append(list(data))
+        return real(data, schema, **more)
+
+    monkeypatch.setattr(spark, "createDataFrame", watched)
+    rows = cover_tree.top_k(df, block=100, group=30).collect()
+    assert len(sent[0]) < 0.25 * cover_tree.PIVOTS ** 2
+    v = cover_tree.quantise(x)
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got[r.query_id].append((-r.score, r.vec_id))
+    for i in range(0, len(x), 20):
+        s = (v @ v[i]).astype(int)
+        assert got[i] == sorted((-int(s[j]), j) for j in range(len(x)) if j != i)[:20]

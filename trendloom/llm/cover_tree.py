@@ -3,20 +3,23 @@
 Vectors are quantised to integers, floor(64 x), and scored by their integer inner
 product.  Queries and data are indexed together: a farthest-first set of pivots
 of a bounded sample is the top level of both trees, every vector goes to its
-nearest pivot.  Below, the vectors of a pivot are cut into blocks of bounded
-size, each with a local cover tree: a node has a centre, a covering radius and
-children whose centres cover it with half the radius.
+nearest pivot.  Below, the vectors of a pivot are dealt into parts of bounded size,
+queries and data apart, each with a cover tree: a node has a centre, a covering
+radius and children, whose centres are chosen farthest first until they cover it
+with half the radius, or are ``FAN``; their radii are those measured.
 
 For a query node Q (centre c, radius r) and a data node D (centre d, radius s)
 no inner product exceeds  c.d + r |d| + s |c| + r s.  A pair of nodes whose bound
-is below the worst k-th score of Q's queries is pruned; the rest goes down to
-the leaves, where a matrix product gives the scores.  The k-th scores start from
-the sample (a subset of the candidates, so a valid bound) and rise as the search
-goes on, best bounds first.
+is below the worst k-th score of Q's queries is pruned; of another pair the node
+with the larger radius is replaced by its children, best bounds first, and two
+leaves meet in a matrix product.  The k-th scores start from the sample (a subset of
+the candidates, so a valid bound) and rise as the search goes on.
 
-Every data block meets every query group once, in tasks of a few blocks each:
-the groups are copied to the tasks that need them, the data are shuffled once.
-A task returns at most k rows a query.
+Pairs of pivots are tested first, on counts, radii and least k-th scores of their
+cells: only the query parts of pairs that are left are sent to a data part.  The data
+are shuffled once; the queries once for every data part that they may have a
+neighbour in.  Rows travel one by one, sorted by part, so that a task holds one data
+part and one query part at a time and returns at most k rows a query.
 
 Edge cases: vectors that are null or hold a null, NaN or infinity take no part,
 nor do those of a length other than the most frequent one (of equally frequent
@@ -38,10 +41,9 @@ from .common import Scratch
 SCALE = 64
 PIVOTS = 48
 SAMPLE = 4096                    # vectors the driver reads
-BLOCK = 2048                     # vectors of a data block, about
-QUERY_GROUP = 4096               # queries searched together, about
-BLOCKS_PER_TASK = 4
-LEAF = 256
+BLOCK = 16_384                   # vectors of a data part, about
+QUERY_GROUP = 4096               # queries of a query part, about
+FAN, LEAF = 8, 128               # children of a node at most; vectors of a leaf
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
@@ -60,8 +62,8 @@ def _distances(x: np.ndarray, sq: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq - 2 * (x @ c) + c @ c, 0))
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """Cover tree over the rows of x; radii halve from parent to child."""
+def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Node:
+    """Cover tree over the rows of x."""
     sq = (x * x).sum(axis=1)
 
     def build(rows, first, distance):
@@ -69,9 +71,7 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
         if len(rows) <= leaf or node.radius <= 1e-3:
             return node
         centres, near, owner = [first], distance.copy(), np.zeros(len(rows), dtype=int)
-        while near.max() > node.radius / 2:
-            if len(centres) * leaf > 4 * len(rows):          # too spread out to be covered by few
-                return node
+        while near.max() > node.radius / 2 and len(centres) < fan:
             new = int(near.argmax())
             d = _distances(x[rows], sq[rows], x[rows[new]])
             owner[d < near] = len(centres)
@@ -84,12 +84,16 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
 
     if not len(x):
         return Node(np.arange(0), np.zeros(x.shape[1]), 0.0)
-    d = _distances(x, sq, x[0])
-    return build(np.arange(len(x)), 0, d)
+    return build(np.arange(len(x)), 0, _distances(x, sq, x[0]))
+
+
+def largest(c: np.ndarray, r: float, d: np.ndarray, s: float) -> float:
+    """No inner product of vectors within r of c and within s of d is above this."""
+    b = float(c @ d) + r * float(np.sqrt(d @ d)) + s * float(np.sqrt(c @ c)) + r * s
+    return b + 1e-6 * abs(b) + 1e-3
 
 
 def bound(q: Node, d: Node) -> float:
-    """No inner product of the nodes' vectors is above this (plus rounding)."""
     b = float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
     return b + 1e-6 * abs(b) + 1e-3
 
@@ -115,25 +119,25 @@ class TopK:
             self.kept[r] = (s, n)
 
 
-def search(qtree: Node, q: np.ndarray, dtree: Node, d: np.ndarray, ids: np.ndarray, top: TopK) -> None:
-    """Dual-tree search of one data tree for all queries of a tree."""
-    def leaves(node):
-        if not node.children:
-            yield node
-        for child in node.children:
-            yield from leaves(child)
-
-    for leaf in leaves(qtree):
-        stack = [(bound(leaf, dtree), 0, dtree)]
-        while stack:
-            b, _, node = stack.pop()
-            if b < top.worst[leaf.rows].min(initial=np.inf):
-                continue
-            if not node.children:
-                top.offer(leaf.rows, q[leaf.rows] @ d[node.rows].T, ids[node.rows])
-                continue
-            below = [(bound(leaf, c), i, c) for i, c in enumerate(node.children)]
-            stack.extend(sorted(below, key=lambda e: e[:2]))         # the best bound is taken first
+def search(qtree: Node, q: np.ndarray, dtree: Node, d: np.ndarray, ids: np.ndarray, top: TopK) -> int:
+    """Dual-tree search of a data tree for a query tree, by pairs of nodes; returns
+    how many pairs of vectors were multiplied."""
+    made = 0
+    stack = [(bound(qtree, dtree), qtree, dtree)]
+    while stack:
+        b, qn, dn = stack.pop()
+        if b < top.worst[qn.rows].min(initial=np.inf):
+            continue
+        if not qn.children and not dn.children:
+            made += len(qn.rows) * len(dn.rows)
+            top.offer(qn.rows, q[qn.rows] @ d[dn.rows].T, ids[dn.rows])
+            continue
+        if dn.children and (not qn.children or dn.radius >= qn.radius):
+            below = [(bound(qn, c), qn, c) for c in dn.children]
+        else:
+            below = [(bound(c, dn), c, dn) for c in qn.children]
+        stack.extend(sorted(below, key=lambda e: e[0]))              # the best bound is taken first
+    return made
 
 
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
@@ -181,95 +185,101 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
         p = pivots.value
         for batch in batches:
             x = _vectors(batch.column("x"), size)
-            d = (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32))],
-                                             names=["vec_id", "x", "pivot"])
+            d = np.maximum((x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T), 0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(np.sqrt(d.min(axis=1)))],
+                names=["vec_id", "x", "pivot", "far"])
 
-    data = scratch.save(rows.mapInArrow(nearest, "vec_id long, x array<double>, pivot int")
+    data = scratch.save(rows.mapInArrow(nearest, "vec_id long, x array<double>, pivot int, far double")
                         .withColumn("part", F.xxhash64(F.monotonically_increasing_id())), "data")
-    queries = (data.where(is_query).groupBy("vec_id")
-               .agg(F.min(F.struct("x", "pivot")).alias("q")).select("vec_id", "q.x", "q.pivot"))
-    queries = scratch.save(queries, "queries")
-
-    # pivots hold known numbers of vectors: a large one is cut into even blocks
-    per_pivot = {r["pivot"]: (r["n"], r["q"]) for r in data.groupBy("pivot").agg(F.count("*").alias("n"))
-                 .join(queries.groupBy("pivot").agg(F.count("*").alias("q")), "pivot", "left")
-                 .na.fill(0).collect()}                                             # PIVOTS rows
-    groups, at, filled = {}, 0, 0                 # pivot -> (first group, groups): small ones share a group
-    blocks = 0
-    for p, (n, q) in sorted(per_pivot.items()):
-        blocks += -(-n // block)
-        if q > group:
-            at += filled > 0
-            groups[p] = (at, -(-q // group))
-            at, filled = at + groups[p][1], 0
-        elif q:
-            if filled + q > group:
-                at, filled = at + 1, 0
-            groups[p], filled = (at, 1), filled + q
-    n_groups = max((a + n for a, n in groups.values()), default=0)
-    if not n_groups:
-        return empty
-    tasks = -(-blocks // BLOCKS_PER_TASK)
-
-    def by_pivot(values):
-        return F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col("pivot"))
-
-    cut = by_pivot({p: -(-n // block) for p, (n, _) in per_pivot.items()})
-    held = (data.withColumn("block", F.pmod("part", cut))
-            .withColumn("task", F.pmod(F.xxhash64("pivot", "block"), F.lit(tasks)).cast("int"))
-            .groupBy("pivot", "block", "task").agg(F.collect_list(F.struct("vec_id", "x")).alias("v")))
-    held = scratch.save(held.select("task", F.col("v.vec_id").alias("ids"), F.flatten("v.x").alias("xs")), "blocks")
-    first, several = by_pivot({p: a for p, (a, _) in groups.items()}), by_pivot({p: n for p, (_, n) in groups.items()})
-    asked = (queries.withColumn("group", (first + F.pmod(F.xxhash64("vec_id"), several)).cast("int"))
-             .groupBy("group").agg(F.collect_list(F.struct("pivot", "vec_id", "x")).alias("v")))
-    asked = asked.select("group", F.array_sort("v").alias("v")).select(
-        "group", F.col("v.vec_id").alias("ids"), F.flatten("v.x").alias("xs"))
-    floor = spark.sparkContext.broadcast((sample_ids, sample_x))
+    held = spark.sparkContext.broadcast((sample_ids, sample_x))
 
     def floors(batches):
         """The k-th best score of every query within the sample."""
-        ids, x = floor.value
+        ids, x = held.value
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                own = batch.column("ids")[i].values.to_numpy()
-                s = batch.column("xs")[i].values.to_numpy().reshape(-1, size) @ x.T
-                s[own[:, None] == ids[None, :]] = -np.inf
-                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(own), -np.inf)
-                out.append(kth)
-            flat = pa.array(np.concatenate(out) if out else np.empty(0))
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(o) for o in out]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)],
-                                             names=["group", "ids", "xs", "floor"])
-
-    asked = scratch.save(asked.mapInArrow(floors, "group int, ids array<long>, xs array<double>, floor array<double>"),
-                         "groups")
-    here = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    there = asked.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-
-    def dual(asks: pa.Table, blocks_: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        for g in range(asks.num_rows):
-            ids = asks.column("ids")[g].values.to_numpy()
-            q = asks.column("xs")[g].values.to_numpy().reshape(-1, size)
-            top = TopK(ids, asks.column("floor")[g].values.to_numpy(), k)
-            qtree = cover_tree(q)
-            qn = np.sqrt((q * q).sum(axis=1))
-            for b in range(blocks_.num_rows):
-                d = blocks_.column("xs")[b].values.to_numpy().reshape(-1, size)
-                kind = _exact(qn, np.sqrt((d * d).sum(axis=1)))
-                search(qtree, q.astype(kind), cover_tree(d), d.astype(kind),
-                       blocks_.column("ids")[b].values.to_numpy(), top)
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                s = _vectors(some.column("x"), size) @ x.T
+                s[some.column("vec_id").to_numpy()[:, None] == ids[None, :]] = -np.inf
+                out.append(np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))],
+                                             names=["vec_id", "x", "pivot", "far", "floor"])
+
+    queries = (data.where(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "pivot", "far")).alias("q"))
+               .select("vec_id", "q.x", "q.pivot", "q.far"))
+    queries = scratch.save(queries.mapInArrow(
+        floors, "vec_id long, x array<double>, pivot int, far double, floor double"), "queries")
+
+    # the top of both trees: PIVOTS cells each, with counts, radii and least k-th scores
+    cells = {r["pivot"]: (r["n"], r["far"]) for r in
+             data.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    asked = {r["pivot"]: (r["n"], r["far"], r["floor"]) for r in
+             queries.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far"),
+                                          F.min("floor").alias("floor")).collect()}
+    if not asked:
+        return empty
+    top_level, slack = pivots.value, 1 + 1e-9
+    pairs = [(q, d) for q, (_, r, least) in asked.items() for d, (_, s) in cells.items()
+             if largest(top_level[q], r * slack + 1e-6, top_level[d], s * slack + 1e-6) >= least]
+
+    def dealt(counts: dict[int, int], most: int) -> tuple[F.Column, F.Column]:
+        """Of a row's pivot, how many parts it has and the number of the first."""
+        several = {p: -(-n // most) for p, n in counts.items()}
+        first = dict(zip(several, np.cumsum([0, *several.values()]).tolist()))
+        return tuple(F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col("pivot"))
+                     for values in (several, first))
+
+    several, first = dealt({p: n for p, (n, _) in cells.items()}, block)
+    parts = data.select((first + F.pmod("part", several)).cast("int").alias("task"), F.lit(0).alias("kind"),
+                        F.lit(0).alias("grp"), "vec_id", "x", F.lit(0.0).alias("floor"))
+    in_groups, first_group = dealt({p: n for p, (n, _, _) in asked.items()}, group)
+    groups = queries.withColumn("grp", (first_group + F.pmod(F.xxhash64("vec_id"), in_groups)).cast("int"))
+    left = spark.createDataFrame(pairs, "asked int, pivot int")                     # PIVOTS ** 2 rows at most
+    sent = (groups.withColumnRenamed("pivot", "asked").join(F.broadcast(left), "asked")
+            .withColumn("task", F.explode(F.sequence(first, first + several - 1)))
+            .select(F.col("task").cast("int"), F.lit(1).alias("kind"), "grp", "vec_id", "x", "floor"))
+
+    def dual(batches):
+        """Rows come by task: its data part, then its query parts one after the other."""
+        data_part = None
+        for (task, kind, _), ids, x, floor in _segments(batches, size):
+            if kind == 0:
+                data_part = task, ids, x, cover_tree(x), np.sqrt((x * x).sum(axis=1))
+                continue
+            if data_part is None or data_part[0] != task:
+                continue                                             # a part without data
+            exact = _exact(np.sqrt((x * x).sum(axis=1)), data_part[4])
+            top = TopK(ids, floor, k)
+            search(cover_tree(x), x.astype(exact), data_part[3], data_part[2].astype(exact), data_part[1], top)
             for own, (s, n) in zip(ids, top.kept):
-                out[0].append(np.full(len(s), own))
-                out[1].append(n)
-                out[2].append(s)
-        flat = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "vec_id", "score"), flat)})
-
-    best = (there.groupBy("group", "task").cogroup(here.groupBy("group", "task"))
-            .applyInArrow(dual, "query_id long, vec_id long, score long"))
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), own)), pa.array(n), pa.array(s)],
+                                                     names=["query_id", "vec_id", "score"])
+
+    best = (parts.union(sent).repartition("task").sortWithinPartitions("task", "kind", "grp")
+            .mapInArrow(dual, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
+
+
+def _segments(batches, size: int):
+    """((task, kind, grp), ids, vectors, floors) of rows sorted by these three."""
+    key, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("task", "kind", "grp")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            if begin == end:
+                continue
+            if key is not None and key != tuple(keys[begin]):
+                yield key, *map(np.concatenate, zip(*held))
+                held = []
+            key = tuple(keys[begin])
+            some = batch.slice(begin, end - begin)
+            held.append((some.column("vec_id").to_numpy(), _vectors(some.column("x"), size),
+                         some.column("floor").to_numpy()))
+    if held:
+        yield key, *map(np.concatenate, zip(*held))
