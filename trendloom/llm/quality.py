@@ -186,8 +186,8 @@ def _with_posterior(scored: DataFrame, rates: DataFrame, names: _Columns) -> Dat
     on = [names.host, names.path]
     if rates.count() <= MAX_BROADCAST_PATHS:
         joined = scored.join(F.broadcast(rates), on)
-    else:                                                         # a hot path's rows go to SALTS tasks
-        joined = (scored.withColumn(names.salt, F.pmod(F.xxhash64(names.evidence), F.lit(SALTS)))
+    else:                                                         # a hot path's rows, equal ones too, go to SALTS tasks
+        joined = (scored.withColumn(names.salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
                   .join(rates.withColumn(names.salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")),
                         [*on, names.salt]).drop(names.salt))
     rate = F.least(F.greatest(F.col(names.rate), F.lit(1e-6)), F.lit(1 - 1e-6))
