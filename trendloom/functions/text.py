@@ -28,13 +28,13 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns of the matching rules above.
+# The patterns of the matching rules above.
 TAG_PATTERN = r"<[/!?]?[a-z][^>]*>"
 URL_PATTERN = r"https?://[^ \t\n\x0B\f\r]+"
 CHUNK_PATTERN = r"(?:~?/)?[\p{L}\p{N}]+(?:[-./@]+[\p{L}\p{N}]+)*"
 PART_SEPARATOR = r"-+"
 
-# (search, replacement) applied in order after lower-casing.
+# Fixed values: (search, replacement) applied in order after lower-casing.
 TERM_REPLACEMENTS = (("f#", "fsharp"), ("c#", "csharp"), ("c++", "cpp"))
 
 

@@ -5,9 +5,11 @@ what it has not seen.  Here the same decisions are set-based DataFrame
 operations over hit files:
 
 * I1  cursor bounds   — one global aggregate (two numbers reach the driver)
-* I2  select_new      — the bounds become literal predicates, so they are
-                        pushed into the Parquet/JSON scan of the incoming data
-* I5  newest_batch    — top-k (TakeOrderedAndProject), never a global sort
+* I2  select_new      — the bounds become literal predicates, which a Parquet
+                        scan of the incoming data can use (a JSON one parses
+                        every body; ``sources.loaded_files`` skips files)
+* I5  newest_batch    — top-k (TakeOrderedAndProject), never a global sort;
+                        ``operators.paging`` for cursors that lose no tie
 * I6  pending_comments— one semi join replaces the per-thread request loop
 """
 

@@ -6,19 +6,20 @@
 
 Both are re-runnable: the append does nothing on conflict, and the log is
 written only after the comments, so an interrupted run re-reads its threads
-and the append absorbs the repeats.
+and the append absorbs the repeats.  ``plans.load_job`` composes both into one job
+over catalog tables that reads every file once.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
 from ..operators.append import append_new
 from ..operators.ingest import of_kind, pending_comments, select_new, to_comments, to_stories
+from ..sources import files
 from ..sources.hits import read_hits
 from ..sources.tables import mark_processed, read_table, write_table
 from ..session import scratch_path
@@ -26,19 +27,20 @@ from . import api
 
 
 def _table_or_empty(spark: SparkSession, path: str, name: str) -> DataFrame:
-    try:
+    """A stored table, empty before the first run; one that cannot be read is an error."""
+    if files.exists(spark, path):
         return read_table(spark, path, name)
-    except AnalysisException:  # first run: no table yet
-        return spark.createDataFrame([], schema.SCHEMAS[name])
+    return spark.createDataFrame([], schema.SCHEMAS[name])
 
 
 def load_stories(spark: SparkSession, hits_path: str, stories_path: str,
                  mode: str = "latest", inclusive: bool = False) -> DataFrame:
-    """New stories of the hit files appended to the stories table; returns the rows appended."""
+    """New stories of the hit files appended to the stories table, of repeated ids the
+    newest; returns the table."""
     existing = _table_or_empty(spark, stories_path, "stories")
     hits = of_kind(read_hits(spark, hits_path), "story")
     incoming = select_new(to_stories(hits), existing, mode, inclusive=inclusive)
-    fresh = append_new(existing, incoming, schema.KEYS["stories"])
+    fresh = append_new(existing, incoming, schema.KEYS["stories"], ["-created_at_i"])
     write_table(fresh, stories_path, "stories", mode="append")
     return read_table(spark, stories_path, "stories")
 

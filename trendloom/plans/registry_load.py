@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_chunks
+from ..operators import aggregate as agg
 from ..operators import matching
 from ..operators.paging import numbered
 from ..session import scratch_path
@@ -64,6 +65,11 @@ def s9_create_tables(spark, sf_dir):
                      f"FROM {catalog.name('stories')}")
 
 
+def a7_repeated_keys(spark, sf_dir):
+    """A7 over rows whose key does repeat: lineitem by part and supplier."""
+    return agg.duplicate_keys(fx.read(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
 # ---- the load ----------------------------------------------------------------------------
 
 def _hit_halves(spark, sf_dir, root):
@@ -185,7 +191,7 @@ def r3_repeated_files(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        t7_corpus_vocabulary, u3_changed_documents, s9_create_tables, i2_load_job, i6_load_job_comments,
+        t7_corpus_vocabulary, u3_changed_documents, a7_repeated_keys, s9_create_tables, i2_load_job, i6_load_job_comments,
         a8_quarantine, i5_page_walk, r1_hit_stream, r2_repeated_files, r3_repeated_files)}
 
 
@@ -205,6 +211,8 @@ parts AS (SELECT objectid, year_month, unnest(string_split_regex(c, '-+')) AS c
 SELECT DISTINCT word, objectid, year_month FROM (SELECT * FROM p UNION ALL SELECT * FROM parts) x JOIN words ON c = word""",
         "u3_changed_documents": osql.postings_sql(left, ["objectid"], "title", fx.doc_dictionary(),
                                                   extra=["submission_date", "title", "year_month"]),
+        "a7_repeated_keys": ("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem "
+                             "GROUP BY l_partkey, l_suppkey HAVING count(*) > 1"),
         "s9_create_tables": osql.STORIES,
         "i2_load_job": osql.STORIES,
         "i6_load_job_comments": f"SELECT * FROM ({osql.HIRING_COMMENTS}) c WHERE storyid IN ({threads})",
