@@ -208,14 +208,17 @@ class LandmarkKernel:
         found = [values[r] for r in hits] + [values[w] for w in apart if w in values]
         if not found:
             return np.zeros((0, self.size), dtype=np.float32)
-        rows = []
+        rows, starts = [], []                                # all sentences' words, then maxima in one go
         for sentence in _SENTENCE.split(text):
-            own = [values[r] for r in hits.intersection(sentence.split())]
+            before = len(rows)
+            rows += [values[r] for r in hits.intersection(sentence.split())]
             if apart:
-                own += [values[w] for w in spaced(sentence) if w in values]
-            if own:
-                rows.append(np.max(own, axis=0))
-        return np.array(rows or [np.max(found, axis=0)], dtype=np.float32)
+                rows += [values[w] for w in spaced(sentence) if w in values]
+            if len(rows) > before:
+                starts.append(before)
+        if not starts:                                       # a spaced word that a sentence's end cuts
+            rows, starts = found, [0]
+        return np.maximum.reduceat(np.concatenate(rows).reshape(-1, self.size), starts, axis=0)
 
 
 @lru_cache(maxsize=1)
@@ -224,6 +227,11 @@ def _kernel(landmarks: tuple[str, ...]) -> LandmarkKernel:
     return LandmarkKernel(landmarks)
 
 
+def _power(x: np.ndarray, p: int) -> np.ndarray:
+    """x ** p by products, which are faster than numpy's powers."""
+    return x if p == 1 else _power(x * x, p // 2) if p % 2 == 0 else x * _power(x, p - 1)
+
+
 @dataclass
 class ToxicityModel:
     landmarks: list[str]
@@ -233,7 +241,7 @@ class ToxicityModel:
     shift: float
 
     def margins(self, features: np.ndarray) -> np.ndarray:
-        return sum((features ** p @ w for p, w in zip(POWERS, self.weights)), self.bias)
+        return sum((_power(features, p) @ w for p, w in zip(POWERS, self.weights)), self.bias)
 
     def score(self, features: np.ndarray) -> float:
         margin = max(self.bias, float(self.margins(features).max())) if len(features) else self.bias
@@ -388,7 +396,7 @@ def _train(landmarks: list[str], texts: list[np.ndarray], y: np.ndarray) -> Toxi
     m = len(landmarks)
     roots = _roots(landmarks)
     nothing = np.zeros((1, m * len(POWERS)))
-    bags = [np.concatenate([t ** p @ r for p, r in zip(POWERS, roots)], axis=1) if len(t) else nothing for t in texts]
+    bags = [np.concatenate([_power(t, p) @ r for p, r in zip(POWERS, roots)], axis=1) if len(t) else nothing for t in texts]
     toxic = [k for k, c in enumerate(y) if c and bags[k].any()]
     clean = [k for k, c in enumerate(y) if not c]
     if not toxic:
