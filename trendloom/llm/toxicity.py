@@ -89,9 +89,11 @@ def windows(word: str) -> list[str]:
 
 def codes(words: list[str]) -> np.ndarray:
     """Code points, one row a word, padded with 0."""
-    out = np.zeros((len(words), max(map(len, words), default=0)), dtype=np.int32)
-    for i, w in enumerate(words):
-        out[i, :len(w)] = np.frombuffer(w.encode("utf-32-le", "replace"), dtype=np.int32)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    out = np.zeros((len(words), int(sizes.max(initial=0))), dtype=np.int32)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.int32)
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(words)), sizes), np.arange(len(flat)) - begin] = flat
     return out
 
 
@@ -170,7 +172,7 @@ class LandmarkKernel:
         self.words.update(dict.fromkeys(words))
         if not self.size:
             return
-        parts = [(w, p) for w in words for p in windows(w)]
+        parts = [(w, p) for w in words for p in ((w,) if w.isalpha() and len(w) <= WINDOW else windows(w))]
         c = codes([p for _, p in parts])
         low = (c & 63).astype(np.int64)
         shared = np.zeros((len(parts), self.size), dtype=np.uint8)
