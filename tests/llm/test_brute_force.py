@@ -122,16 +122,17 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, few, many, sketch
     assert {n: comp.get(n, n) for n in sets} == want
 
 
-def test_lines_keep_one_of_each_group(spark, texts):
+@pytest.mark.parametrize("gram", [5, 10])
+def test_lines_keep_one_of_each_group(spark, texts, gram):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, counts=("n", "gone")).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, gram=gram, counts=("n", "gone")).collect()}
     grams, place = {}, {}
     for i in sorted(texts):
         for p, line in enumerate(texts[i].split("\n")):
             line = line_dedup.normalise(line)
             if len(line) >= line_dedup.MIN_CHARS:
                 place[i, p] = line
-                grams.setdefault(line, frozenset(line[k:k + 10] for k in range(len(line) - 9)))
+                grams.setdefault(line, frozenset(line[k:k + gram] for k in range(len(line) - gram + 1)))
     lines = list(grams)
     u = jaccard_classes({k: grams[x] for k, x in enumerate(lines)})
     group = {x: u[k] for k, x in enumerate(lines)}
@@ -315,6 +316,20 @@ def test_gapped_insults_are_matched():
     assert not len(k.sentences("station of the"))
 
 
+def test_groups_keep_their_first_row_by_id_and_text(spark):
+    """The pipeline's stage: ids that share a text with one group and have another
+    text of their own, and repeated rows."""
+    import corpus_pipeline
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " x"), (9, a), (1, "alone here"), (1, "alone here"), (2, ""), (2, ""),
+            (None, "no id at all"), (None, b), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.one_per_group(spark, df, None).collect())
+    assert got == {(3, a): 1, (None, b): 1, (1, "alone here"): 1, (2, ""): 2, (None, "no id at all"): 1, (4, None): 1}
+    got = corpus_pipeline.one_per_group(spark, df.where("doc_id > 2"), None).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == [(3, a), (5, b)]
+
+
 def test_dual_tree_bound_and_search():
     rng = np.random.default_rng(2)
     x = cover_tree.quantise(rng.normal(size=(700, 8)))

@@ -11,10 +11,9 @@ least 0.8) decides, and the linked nodes' components keep one line each: the
 first by id, then by line number.
 
 What 0.8 means depends on ``gram``: n replaced characters in the middle of a line
-of L cost n + gram - 1 of its L - gram + 1 n-grams.  With ``SHORT_GRAM`` (the
-registered query and the pipeline) one replaced character is linked from 49
-characters up, a word of six letters from 94; with ``GRAM``, the default, from
-99 and 144.  Nearer to an end it costs less.
+of L cost n + gram - 1 of its L - gram + 1 n-grams.  With ``GRAM``, the default, one
+replaced character is linked from 49 characters up, a word of six letters from 94;
+with 10-grams from 99 and 144.  Nearer to an end it costs less.
 
 Lines are addressed by (id, hash of the text, line number).
 
@@ -42,7 +41,7 @@ from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
 MIN_CHARS = 20
-GRAM, SHORT_GRAM = 10, 5
+GRAM = SHORT_GRAM = 5
 BANDS, ROWS = 23, 7              # 7: unrelated lines share some 5-grams, with 6 ten times as many would meet
 MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
