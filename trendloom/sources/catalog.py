@@ -44,7 +44,7 @@ class Catalog:
         """Declare the tables that the catalog does not know; register the
         partitions that an earlier session left in their folders."""
         if self.database:
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`")
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{self.root}/database'")
         made = create_tables(self.spark, self.root, tables, self.database)
         for table in made:
             stored = files.exists(self.spark, f"{self.root}/{table}")
