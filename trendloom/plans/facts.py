@@ -6,6 +6,8 @@ and the digests of the documents that they stand for change together.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ def refresh(stories: DataFrame, comments: DataFrame, dictionary, root: str) -> F
     """Match every document and publish both fact tables as a new version."""
     store = FactStore(stories.sparkSession, root)
     new = store.begin()
+    tables = []
     for docs, (facts, digests, match, columns) in zip((stories, comments), _CORPORA.values()):
-        new.write(facts, match(docs, dictionary))
-        new.write(digests, _digests(docs, columns))
+        tables += [(facts, match(docs, dictionary)), (digests, _digests(docs, columns))]
+    with ThreadPoolExecutor(len(tables)) as pool:         # the tables' jobs share the cluster
+        for done in [pool.submit(new.write, name, rows) for name, rows in tables]:
+            done.result()
     new.commit(dictionary=dictionary.fingerprint())
     return store
 
