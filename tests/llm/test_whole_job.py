@@ -112,3 +112,39 @@ def test_rare_languages_are_learned(spark):
     assert set(model.languages) == {"en", "xx"}
     sample = language_id._sample(df.selectExpr("xxhash64(doc_id) h", "lang", "text"), 20).groupBy("lang").count().collect()
     assert {r.lang: r["count"] for r in sample} == {"en": 10, "xx": 1}
+
+
+def test_signatures_and_sketches_by_definition():
+    """Lines signed and sketched together, over the ends of blocks, as one by one."""
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abcdé ð𐍈"), n)) for n in [20, 21, 300, 5, 5, 64, *rng.integers(5, 90, 40)]]
+    got, block = line_dedup.band_keys(lines, 5), line_dedup._SIGNED
+    try:
+        line_dedup._SIGNED = 70
+        assert (line_dedup.band_keys(lines, 5) == got).all()
+    finally:
+        line_dedup._SIGNED = block
+    for line, keys in zip(lines, got):
+        grams = line_dedup.gram_hashes(np.array([ord(c) for c in line], dtype=np.uint32), 5)
+        minima = [int((grams * a).min()) for a in line_dedup._A]
+        for b in range(line_dedup.BANDS):
+            h = np.array([line_dedup.tag(b, 60)])
+            for r in range(line_dedup.ROWS):
+                h += np.uint64(minima[b * line_dedup.ROWS + r]) * line_dedup.MULTIPLIERS[r:r + 1]
+            assert line_dedup.signed(line_dedup.mix(h))[0] == keys[b]
+    sets = line_dedup.gram_sets(lines)
+    marks = line_dedup.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for x, m in zip(sets, marks.view(np.uint64)):
+        cells = {int(g) >> 52 for g in x}
+        assert {i for i in range(line_dedup.SKETCH) if int(m[i >> 6]) >> (i & 63) & 1} == cells
+
+
+def test_texts_that_lose_no_line_stay_as_they_are(spark):
+    line = "a line of some twenty characters"
+    docs = spark.createDataFrame([(1, f"{line}\n\nx"), (2, f"  {line}\r\n\tshort\n"), (3, None), (4, ""), (5, " y \r\n"),
+                                  (6, line)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.text, r.n, r.gone) for r in line_dedup.dedup_lines(docs, counts=("n", "gone")).collect()}
+    assert got == {1: (f"{line}\n\nx", 3, 0), 2: ("\tshort\n", 3, 1), 3: (None, 0, 0), 4: ("", 1, 0),
+                   5: (" y \r\n", 2, 0), 6: ("", 1, 1)}
+    left = line_dedup.dedup_lines(docs, drop_emptied=True).where("doc_id = 6 or doc_id = 3")
+    assert [r.doc_id for r in left.collect()] == [3]

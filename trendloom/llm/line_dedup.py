@@ -27,16 +27,18 @@ different ones are taken for equal with a probability of about 2**-64.
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices
 from .hashing import MULTIPLIERS, mix, signed, tag
 from .repeats import repeat_bitmaps
 
@@ -47,6 +49,8 @@ MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB
 SIMILARITY = 0.8
 SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each n-gram
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
+_SIGNED = 1 << 19                # characters signed together: 2 MB a hash function, few calls a line
+_ROWS = 1024                     # rows written or compared together
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
 _G = [(m >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for m in MULTIPLIERS[50:55]]
@@ -99,7 +103,7 @@ def band_keys(lines: list[str], gram: int = GRAM) -> np.ndarray:
     at = 0
     while at < len(lines):
         end, size = at, 0
-        while end < len(lines) and (size == 0 or size + len(lines[end]) <= _BLOCK):
+        while end < len(lines) and (size == 0 or size + len(lines[end]) <= _SIGNED):
             size += len(lines[end])
             end += 1
         out[at:end] = _block_keys(lines[at:end], gram)
@@ -110,13 +114,18 @@ def band_keys(lines: list[str], gram: int = GRAM) -> np.ndarray:
 def _block_keys(lines: list[str], gram: int) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
     c = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), dtype=np.uint32)
-    grams = np.append(gram_hashes(c, gram), np.uint32(0))          # one more, so that every end is an index
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    cuts = np.empty(2 * len(lines), dtype=np.int64)          # grams of a line, then those across its end
-    cuts[0::2], cuts[1::2] = begin, begin + lengths - gram + 1
-    minima = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint64)
+    grams, ends = gram_hashes(c, gram), np.cumsum(lengths)
+    within = np.ones(len(c), dtype=bool)                     # not across the end of a line
+    for i in range(1, gram):
+        within[ends - i] = False
+    grams = grams[within[:len(grams)]]
+    counts = lengths - gram + 1
+    begin = np.cumsum(counts) - counts
+    minima = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32)
+    hashed = np.empty_like(grams)
     for i, a in enumerate(_A):
-        minima[i] = np.minimum.reduceat(grams * a, cuts)[::2]
+        np.multiply(grams, a, out=hashed)
+        np.minimum.reduceat(hashed, begin, out=minima[i])
     keys = np.empty((len(lines), BANDS), dtype=np.int64)
     for b in range(BANDS):
         h = np.full(len(lines), tag(b, 60))
@@ -126,13 +135,20 @@ def _block_keys(lines: list[str], gram: int) -> np.ndarray:
     return keys
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """int64[SKETCH // 64], a bit for each n-gram's cell.  A bit that only one
-    of two sketches has set stands for an n-gram that only one of the sets holds."""
+def sketches(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """int64[set, SKETCH // 64] of sets of ``sizes`` n-grams, one after the other: a
+    bit for each n-gram's cell.  A bit that only one of two sketches has set stands
+    for an n-gram that only one of the sets holds."""
     cells = grams >> np.uint64(65 - SKETCH.bit_length())
-    words = np.zeros(SKETCH // 64, dtype=np.uint64)
-    np.bitwise_or.at(words, cells >> np.uint64(6), np.uint64(1) << (cells & np.uint64(63)))
-    return signed(words)
+    words = np.zeros(len(sizes) * (SKETCH // 64), dtype=np.uint64)
+    at = np.repeat(np.arange(len(sizes)) * (SKETCH // 64), sizes) + (cells >> np.uint64(6)).astype(np.int64)
+    np.bitwise_or.at(words, at, np.uint64(1) << (cells & np.uint64(63)))
+    return signed(words).reshape(len(sizes), SKETCH // 64)
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """:func:`sketches` of one set."""
+    return sketches(grams, np.array([len(grams)]))[0]
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -202,10 +218,9 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def signatures(batches):
         for batch in batches:
-            row, pos, nodes, keys = [], [], [], [np.empty((0, BANDS), np.int64)]
             i = 0
-            for texts in in_slices(batch):
-                lines = []
+            for texts in in_slices(batch):                   # written slice by slice: only one is held
+                row, pos, nodes, lines = [], [], [], []
                 for t in texts:
                     for p, n in _eligible(t, min_chars):
                         row.append(i)
@@ -213,12 +228,11 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         nodes.append(_node(n))
                         lines.append(n)
                     i += 1
-                keys.append(band_keys(lines, gram))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
-                 pa.array(nodes, pa.int64()), packed(np.concatenate(keys))],
-                names=["k", "h", "pos", "node", "bands"])
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
+                     pa.array(nodes, pa.int64()), packed(band_keys(lines, gram))],
+                    names=["k", "h", "pos", "node", "bands"])
 
     lines = scratch.save(rows.mapInArrow(
         signatures, f"k {kind}, h long, pos int, node long, bands binary"), "lines")
@@ -271,9 +285,9 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         def run(batches):
             bits = wanted.value
-            for batch in batches:
+            for texts in chain.from_iterable(map(in_slices, batches)):
                 found: dict[int, str] = {}
-                for t in texts_of(batch):
+                for t in texts:
                     found.update((_node(n), n) for _, n in _eligible(t, min_chars))
                 nodes = np.fromiter(found, dtype=np.int64, count=len(found))
                 keep = in_bitmap(bits, nodes.view(np.uint64))
@@ -301,21 +315,28 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         lines hold (bands say nothing about the rest), and their sketches."""
         chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
 
-        def sets_of(batch):
-            for line in batch.column("line").to_pylist():
-                yield gram_set(line, gram)
+        def blocks_of(batch):
+            """(block of the batch's rows, their sets one after the other, the sets' sizes)"""
+            for at in range(0, batch.num_rows, _ROWS):
+                block = batch.slice(at, _ROWS)
+                sets = gram_sets(block.column("line").to_pylist(), gram)
+                yield block, np.concatenate(sets), np.array([len(x) for x in sets])
+
+        def hashes_of(batch):
+            for _, grams, _ in blocks_of(batch):
+                yield grams
 
         common = spark.sparkContext.broadcast(                        # 8 MB
-            repeat_bitmaps(chosen.select("line"), sets_of, (2,))[2][0])
+            repeat_bitmaps(chosen.select("line"), hashes_of, (2,))[2][0])
 
         def run(batches):
             bits = common.value
-            for batch in batches:
-                sets = list(sets_of(batch))
-                n = pa.array([len(x) for x in sets], pa.int64())
-                s = pa.array([int(in_bitmap(bits, x).sum()) for x in sets], pa.int64())
-                marks = list_array([sketch(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("node"), n, s, s, marks],
+            for block, grams, n in chain.from_iterable(map(blocks_of, batches)):
+                s = pa.array(np.add.reduceat(in_bitmap(bits, grams).astype(np.int64), np.cumsum(n) - n))
+                marks = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(SKETCH // 64)),
+                    pa.array(sketches(grams, n).ravel()))
+                yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(n, pa.int64()), s, s, marks],
                                                  names=["node", "n", "s", "rest", "sketch"])
 
         return chosen.mapInArrow(run, "node long, n long, s long, rest long, sketch array<long>")
@@ -365,20 +386,21 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
 
     def rewrite(batches):
         for batch in batches:
-            texts, total, removed, keep = [], [], [], []
-            for t, gone in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist()):
-                lines = [] if t is None else t.split("\n")
-                gone = set(gone or ())
-                left = [x for i, x in enumerate(lines) if i not in gone]
-                texts.append(None if t is None else "\n".join(left))
-                total.append(len(lines))
-                removed.append(len(gone))
-                keep.append(not (drop_emptied and gone and not any(map(normalise, left))))
-            arrays = [batch.column(i) if i != place else pa.array(texts, batch.schema.field(i).type)
-                      for i in range(len(columns))]
-            arrays += [pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            whole, drops = batch.column(place), batch.column(len(columns))
+            total = pc.fill_null(pc.add(pc.count_substring(whole, "\n").cast(pa.int64()), 1), 0)
+            texts, keep, hit = [], np.ones(batch.num_rows, bool), pc.and_(whole.is_valid(), drops.is_valid())
+            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))     # the other texts stay as they are
+            for i in at.tolist():
+                t, gone = whole[i].as_py(), set(drops[i].as_py())
+                left = [x for j, x in enumerate(t.split("\n")) if j not in gone]
+                texts.append("\n".join(left))
+                keep[i] = not (drop_emptied and not any(map(normalise, left)))
+            if texts:
+                whole = pc.replace_with_mask(whole, hit, pa.array(texts, whole.type))
+            arrays = [batch.column(i) if i != place else whole for i in range(len(columns))]
+            arrays += [total, pc.fill_null(pc.list_value_length(drops).cast(pa.int64()), 0)]
             yield pa.RecordBatch.from_arrays(
-                arrays, names=[*columns, f"n_{tag}", f"r_{tag}"]).filter(pa.array(keep, pa.bool_()))
+                arrays, names=[*columns, f"n_{tag}", f"r_{tag}"]).filter(pa.array(keep))
 
     out = joined.select(*[hashed[c] for c in columns], d).mapInArrow(rewrite, schema)
     if counts:
