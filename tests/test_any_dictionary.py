@@ -69,6 +69,37 @@ def test_every_word_of_the_documents(spark):
     assert got.groupBy("word", "objectid").count().where("count > 1").count() == 0 and got.count() > 10_000
 
 
+def test_a_dictionary_of_the_corpus_is_read_once(spark, monkeypatch):
+    """Words taken from the documents: the facts' plan takes the documents apart once
+    and shuffles neither candidates nor facts where the lookup is broadcast."""
+    docs = spark.createDataFrame(DOCS, "objectid string, title string, year_month string").repartition(3)
+    words = docs.select(F.explode(matching.plain_chunks("title")).alias("w")).distinct()
+    def facts():
+        return matching.postings(docs, "title", KEEP, DictionaryTables(
+            words.select(F.col("w").alias("keyword"), F.lit(True).alias("include_hiring")),
+            words.select(F.col("w").alias("token"), F.col("w").alias("canonical"))))
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+    few = facts()
+    p = plan(few)
+    assert p.count("regexp_extract_all") == 1 and "SortMergeJoin" not in p
+    assert p.count("Exchange hashpartitioning") == 1                # the filter's, a row a word of bits
+    monkeypatch.setattr(matching, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(matching, "_may_broadcast", lambda _: False)
+    many = facts()
+    assert plan(many).count("regexp_extract_all") == 1
+    assert rows(few) == rows(many) and ("python", "1", "m") in rows(few)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_tokens_and_keywords_that_share_a_word(spark, monkeypatch, limit):
+    """Several tokens of a word need a distinct, several keywords a join: each alone, by either join."""
+    monkeypatch.setattr(matching, "MAX_BROADCAST", limit)
+    docs = spark.createDataFrame(DOCS, "objectid string, title string, year_month string").where("objectid is not null")
+    assert ("Python", "1", "m") in both(spark, docs, [("Python", True)], SYNONYMS)           # one keyword, many tokens
+    assert ("PY", "1", "m") in both(spark, docs, [("PY", True), ("py", True)], [("py", "python")])
+
+
 def test_words_outside_the_dictionary_are_not_shuffled(spark, monkeypatch):
     docs = spark.createDataFrame([(str(i), f"rare{i} common other{i} go", "m") for i in range(200)],
                                  "objectid string, title string, year_month string")

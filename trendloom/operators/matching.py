@@ -24,6 +24,7 @@ from ..sources.dictionary import Dictionary, DictionaryTables, any_dictionary
 STORY_POSTING_COLUMNS = ("objectid", "submission_date", "title", "year_month")
 COMMENT_POSTING_COLUMNS = ("objectid", "year_month")
 BLOOM_LOG2 = (12, 26)            # log2 of the bits of the token filter: 512 bytes to 8 MB of bits
+MAX_BROADCAST = 250_000          # rows of a lookup that is broadcast, some 100 bytes each
 
 
 def vocabulary_frame(spark, dictionary: Dictionary, hiring_only: bool = False) -> DataFrame:
@@ -69,7 +70,7 @@ def token_bitmap(lookup: DataFrame) -> tuple[DataFrame, int]:
     """
     least, most = BLOOM_LOG2
     size = min(most, max(least, (16 * lookup.count()).bit_length()))
-    w, bit = _bloom_cell(F.xxhash64("token", "kind"), size)
+    w, bit = _bloom_cell(F.xxhash64("token"), size)
     words = lookup.select(w.alias("w"), bit.alias("bit")).selectExpr("w", "shiftleft(1L, bit) AS b")
     return words.groupBy("w").agg(F.bit_or("b").alias("bits")), size
 
@@ -79,40 +80,67 @@ def _bloom_cell(h, log2: int):
     return F.shiftright(cell, 6), cell.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _candidates(chunks):
-    """(token, kind) of a document, each once: its chunks as they stand, and the
-    parts of compounds."""
-    whole = F.transform(F.array_distinct(chunks), lambda c: F.struct(c.alias("token"), F.lit("whole").alias("kind")))
-    parts = F.array_distinct(F.flatten(F.transform(F.filter(chunks, lambda c: c.contains("-")),
-                                                   lambda c: F.split(c, PART_SEPARATOR))))
-    return F.concat(whole, F.transform(parts, lambda p: F.struct(p.alias("token"), F.lit("part").alias("kind"))))
+def _parts(chunks):
+    """The parts of a document's compounds, each once."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(chunks, lambda c: c.contains("-")),
+                                                  lambda c: F.split(c, PART_SEPARATOR))))
+
+
+def _candidates(chunks, parts):
+    """(token, as_chunk, as_part) of a document, each token once: its chunks as they
+    stand, and the parts of compounds."""
+    def marked(tokens, as_chunk: bool, as_part: bool):
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(as_chunk).alias("as_chunk"),
+                                                      F.lit(as_part).alias("as_part")))
+    return F.concat(marked(F.array_except(chunks, parts), True, False), marked(F.array_intersect(chunks, parts), True, True),
+                    marked(F.array_except(parts, chunks), False, True))
 
 
 def postings_by_lookup(docs: DataFrame, text_col: str, keep: tuple[str, ...], dictionary: DictionaryTables,
                        hiring_only: bool = False) -> DataFrame:
     """:func:`postings` for a dictionary too large to fold into an expression.
 
-    Each row is tokenised once.  Its distinct candidates, (chunk, whole) and
-    (part of a compound, part), meet a broadcast Bloom filter of the dictionary's
-    tokens in the same stage, so that words outside the dictionary are never
-    shuffled.  The others are joined to the lookup by (token, kind), where a token
-    stands once: a hot token makes one side of that join heavy, which AQE splits.
+    Each row is tokenised once.  Its distinct candidates, chunks and parts of
+    compounds, meet a broadcast Bloom filter of the dictionary's tokens in the same
+    stage, so that words outside the dictionary are never shuffled.  The others are
+    joined to the lookup by token, which stands there once: a lookup of up to
+    ``MAX_BROADCAST`` rows is broadcast; for a larger one (or any, where the session
+    broadcasts nothing) the candidates are shuffled, and a hot token makes one side of
+    that join heavy, which AQE splits.  Only where several tokens stand for one word
+    is a row's word sought out again, and only where a word has several keywords does
+    another join follow.
     Rows are told apart by a number of their own, not by id: as in the other form,
     rows that repeat an id have facts of their own, and a row has a word once.
     """
     if docs.isStreaming:
         raise ValueError("a stream is matched with a large dictionary batch by batch (streaming.streams)")
-    lookup = dictionary.lookup(hiring_only)
-    bitmap, log2 = token_bitmap(lookup)
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), plain_chunks(text_col).alias("_chunks"))
-    found = rows.select("_row", *keep, F.explode(_candidates(F.col("_chunks"))).alias("c")).select(
-        "_row", *keep, "c.token", "c.kind")
-    w, bit = _bloom_cell(F.xxhash64("token", "kind"), log2)
+    tokens, words, sole = dictionary.meanings(hiring_only)
+    bitmap, log2 = token_bitmap(tokens)
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    if _may_broadcast(docs.sparkSession) and tokens.count() <= MAX_BROADCAST:
+        tokens = F.broadcast(tokens)
+        if not sole:
+            rows = rows.repartition("_row")                  # a row's facts stay together: distinct without a shuffle
+    rows = rows.select("_row", *keep, plain_chunks("_text").alias("_chunks"))
+    rows = rows.select("_row", *keep, "_chunks", _parts(F.col("_chunks")).alias("_parts"))
+    found = rows.select("_row", *keep, F.explode(_candidates(F.col("_chunks"), F.col("_parts"))).alias("c")).select(
+        "_row", *keep, "c.token", "c.as_chunk", "c.as_part")
+    w, bit = _bloom_cell(F.xxhash64("token"), log2)
     held = (found.withColumn("w", w).withColumn("bit", bit).join(F.broadcast(bitmap), "w")
             .where(F.expr("shiftright(bits, bit) & 1") == 1).drop("w", "bit", "bits"))
-    # two tokens of a row may stand for one word
-    matched = held.join(lookup, ["token", "kind"]).select("_row", *keep, "canonical").distinct()
-    return matched.join(dictionary.vocabulary(hiring_only), "canonical").select("word", *keep)
+    meant = F.array_compact(F.array_distinct(F.array(F.when(F.col("as_chunk"), F.col("whole")),
+                                                     F.when(F.col("as_part"), F.col("part")))))
+    matched = held.join(tokens, "token").select("_row", *keep, F.explode(meant).alias("word"))
+    if not sole:                                             # two tokens of a row may stand for one word
+        matched = matched.distinct()
+    if words is None:
+        return matched.select("word", *keep)
+    return matched.withColumnRenamed("word", "canonical").join(words, "canonical").select("word", *keep)
+
+
+def _may_broadcast(spark) -> bool:
+    """Whether the session lets the planner broadcast tables (a negative threshold forbids it)."""
+    return not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
 
 
 def postings_by_join(docs: DataFrame, text_col: str, keep: tuple[str, ...],

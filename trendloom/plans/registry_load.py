@@ -33,7 +33,9 @@ def t7_corpus_vocabulary(spark, sf_dir):
     """T7 with every word of the documents as a keyword: a dictionary far beyond
     what may be folded into an expression."""
     docs = fx.doc_stories(spark, sf_dir)
-    words = docs.select(F.explode(plain_chunks("title")).alias("w")).distinct()
+    path = scratch_path(spark, "words")                      # the corpus is taken apart once for its words
+    docs.select(F.explode(plain_chunks("title")).alias("w")).distinct().write.parquet(path)
+    words = spark.read.schema("w string").parquet(path)
     dictionary = any_dictionary(words.select(F.col("w").alias("keyword"), F.lit(True).alias("include_hiring")),
                                 words.select(F.col("w").alias("token"), F.col("w").alias("canonical")))
     return matching.postings(docs, "title", ("objectid", "year_month"), dictionary)

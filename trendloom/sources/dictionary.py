@@ -11,11 +11,13 @@ both (``operators.matching``).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema, vocab
+from ..session import scratch_path
 
 # Largest dictionary folded into a column expression (map literal).  Larger
 # dictionaries are matched with the join path instead.  Measured on the 10,000
@@ -129,11 +131,32 @@ def folded_keywords(keyword_list: DataFrame) -> DataFrame:
             .groupBy("keyword").agg(F.max("include_hiring").alias("include_hiring")))
 
 
+class Meanings(NamedTuple):
+    """A :class:`DictionaryTables` as matching needs it.
+
+    ``tokens`` (token, whole, part), a row a token: what it stands for as a chunk and as
+    a part of a compound, or null; a keyword where each canonical word has only one,
+    else the canonical word, whose keywords are in ``words`` (word, canonical).
+    ``sole``: no two tokens stand for one word."""
+
+    tokens: DataFrame
+    words: DataFrame | None
+    sole: bool
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    spark = rows.sparkSession
+    path = scratch_path(spark, f"dictionary-{name}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class DictionaryTables:
     """A vocabulary of any size, held as tables; the counterpart of :class:`Dictionary`."""
 
     def __init__(self, keyword_list: DataFrame, synonyms: DataFrame):
         self.keywords, self.synonyms = folded_keywords(keyword_list), folded_synonyms(synonyms)
+        self._meanings: dict[bool, Meanings] = {}
 
     def vocabulary(self, hiring_only: bool = False) -> DataFrame:
         """(word, canonical) of the keywords that the dictionary knows."""
@@ -150,6 +173,22 @@ class DictionaryTables:
         return whole.select("token", F.lit("whole").alias("kind"), "canonical").unionByName(
             parts.select(F.col("canonical").alias("token"), F.lit("part").alias("kind"), "canonical"))
 
+    def meanings(self, hiring_only: bool = False) -> Meanings:
+        """The lookup by token, written once to the scratch folder: what it is derived
+        from, a corpus maybe, is not read again wherever it is used."""
+        if hiring_only not in self._meanings:
+            words = _written(self.vocabulary(hiring_only), "vocabulary")
+            lookup = _written(self.lookup(hiring_only), "lookup")
+            single = words.groupBy("canonical").count().where("count > 1").isEmpty()
+            sole = (lookup.select("token", "canonical").distinct().groupBy("canonical").count()
+                    .where("count > 1").isEmpty())
+            named = lookup.join(words, "canonical") if single else lookup.withColumn("word", F.col("canonical"))
+            tokens = _written(named.groupBy("token").agg(
+                F.max(F.when(F.col("kind") == "whole", F.col("word"))).alias("whole"),
+                F.max(F.when(F.col("kind") == "part", F.col("word"))).alias("part")), "meanings")
+            self._meanings[hiring_only] = Meanings(tokens, None if single else words, sole)
+        return self._meanings[hiring_only]
+
     def fingerprint(self) -> str:
         """A digest of both tables, from sums over their rows."""
         def mark(rows: DataFrame) -> str:
