@@ -122,6 +122,29 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, few, many, sketch
     assert {n: comp.get(n, n) for n in sets} == want
 
 
+def test_buckets_alike_count_once_and_pivots_leave(spark):
+    """Buckets of the same nodes are one; a bucket whose pairs its pivot decided is
+    done, whether linked or not."""
+    members = [(1, 2), (2, 1), (1, 2), (3, 4, 5), (3, 4, 5), (6, 7), (8,), (5, 6)]
+    held = spark.createDataFrame([(k, n, True) for k, m in enumerate(members) for n in m],
+                                 "key long, node long, short boolean")
+    links = spark.createDataFrame([(3, 4), (3, 5), (4, 5), (6, 7)], "a long, b long")
+    scratch, asked = common.Scratch(spark, "t"), []
+
+    def limits(nodes):
+        raise AssertionError("every pair is decided")
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.join(links, ["a", "b"])
+
+    got = clusters.link_components(scratch, held, verify, lambda nodes: None, limits, alike=True)
+    assert {r.node: r.comp for r in got.collect()} == {3: 3, 4: 3, 5: 3, 6: 6, 7: 6}
+    assert len(asked) == len(set(asked)) and {(1, 2), (6, 7), (5, 6)} <= set(asked)
+    shared = spark.read.parquet(f"{scratch.base}/shared").collect()
+    assert len({r.key for r in shared}) == 4 and len(shared) == 9
+
+
 @pytest.mark.parametrize("gram", [5, 10])
 def test_lines_keep_one_of_each_group(spark, texts, gram):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -148,3 +148,17 @@ def test_texts_that_lose_no_line_stay_as_they_are(spark):
                    5: (" y \r\n", 2, 0), 6: ("", 1, 1)}
     left = line_dedup.dedup_lines(docs, drop_emptied=True).where("doc_id = 6 or doc_id = 3")
     assert [r.doc_id for r in left.collect()] == [3]
+
+
+def test_many_lines_of_one_text_are_removed_at_once(spark):
+    """A long text is taken apart once, and every kind of blank counts as one."""
+    rng = np.random.default_rng(9)
+    lines = [" ".join(words_of_six(rng, 5)) for _ in range(3000)]
+    blanks = "\t\x0b\x0c\x1c \x85\xa0\u2003\u2028\u3000\r"
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::-1]) + f"\n{blanks}\n"),
+                                  (3, "\n".join(["x", *lines[:1500], "", *lines[1500:], "\u200b"]))],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n, r.gone) for r in line_dedup.dedup_lines(docs, counts=("n", "gone")).collect()}
+    assert got == {1: ("\n".join(lines), 3000, 0), 2: (f"{blanks}\n", 3002, 3000), 3: ("x\n\n\u200b", 3003, 3000)}
+    left = line_dedup.dedup_lines(docs, drop_emptied=True).collect()
+    assert {r.doc_id: r.text for r in left} == {1: "\n".join(lines), 3: "x\n\n\u200b"}

@@ -6,7 +6,8 @@ on pairs.  All pairs of a large bucket are never made:
 
 1. Every node is tested against one *pivot* of its bucket, the node that shares
    most buckets with most others (linear in the buckets' rows).  What is linked
-   is merged; a bucket within one component has nothing left to decide.
+   is merged; a bucket within one component has nothing left to decide.  The pivot,
+   tested against all of its bucket, leaves it.
 2. Sets are bounded: of a node's n elements only s occur in any other node's set,
    and only ``rest`` of these are no keys.  So a pair overlaps in at most
    min(s, s') elements, and in at most as many as the keys it shares and the larger
@@ -53,8 +54,13 @@ def _star_step(edges: DataFrame) -> DataFrame:
     return _largest_first(small)
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, steps: int | None = None) -> DataFrame:
-    """(node, comp) of the nodes of ``edges`` (a, b); comp is the smallest node.
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+    """(node, comp) of the nodes of ``edges`` (a, b); comp is the smallest node."""
+    return _smallest(_stars(scratch, edges, name))
+
+
+def _stars(scratch: Scratch, edges: DataFrame, name: str, steps: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, with the components of ``edges`` (a, b).
 
     Union-find over tables, step by step until the edges are stars; with
     ``steps`` only so many, where a component may still be in several parts.
@@ -71,8 +77,13 @@ def components(scratch: Scratch, edges: DataFrame, name: str, steps: int | None
         step += 1
         current = scratch.save(_star_step(current), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
-    return (current.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            .union(current.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+    return current
+
+
+def _smallest(stars: DataFrame) -> DataFrame:
+    """(node, comp): each node's smallest neighbour or itself."""
+    return (stars.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            .union(stars.select(F.col("v").alias("node"), F.col("v").alias("comp")))
             .groupBy("node").agg(F.min("comp").alias("comp")))
 
 
@@ -86,7 +97,7 @@ def _pivots(shared: DataFrame) -> DataFrame:
 
 def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
                     prepare: Callable[[DataFrame], None], limits: Callable[[DataFrame], DataFrame] | None = None,
-                    *, limits_known: bool = False, rounds: int = 3,
+                    *, limits_known: bool = False, alike: bool = False, rounds: int = 3,
                     pairs_left: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of all nodes with a link; buckets: (key, node, short), repeats
     allowed.
@@ -96,22 +107,30 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
     and, where it has them, sketch (array of long): used at once if
     ``limits_known``, else when many pairs are left.  ``pairs_left`` maps the rows
     (key, node, short, label) of open buckets to the pairs still to be tested, in
-    place of the pairs that ``limits`` leave.
+    place of the pairs that ``limits`` leave.  ``alike``: all rows are short, none
+    repeats, and ``rest`` counts every element, as no key is one; then of the
+    buckets that hold the same nodes one is kept.
     """
-    ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-            .where("lo < hi").select("key"))
-    shared = scratch.save(buckets.join(ends, "key").groupBy("key", "node").agg(F.bool_or("short").alias("short")),
-                          "shared")
+    if alike:
+        ends = _one_of_each(buckets)
+        shared = scratch.save(buckets.join(ends, "key"), "shared")
+    else:
+        ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                .where("lo < hi").select("key"))
+        shared = scratch.save(buckets.join(ends, "key").groupBy("key", "node").agg(F.bool_or("short").alias("short")),
+                              "shared")
     prepare(shared.select("node"))
-    tested = scratch.save(_ordered(shared.join(_pivots(shared), "key")
-                                   .select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs-0")
+    led = scratch.save(shared.join(_pivots(shared), "key"), "led-0")
+    tested = scratch.save(_ordered(_with_pivot(led)), "pairs-0")
     links = scratch.save(verify(tested), "links-0")
-    rest, bounds, before = shared, None, None
+    rest, bounds, before = _followers(led), None, None
     if limits_known:
         bounds = scratch.save(limits(shared.select("node").distinct()).where("5 * s >= 4 * n"), "limits")
         rest = rest.join(bounds.select("node"), "node", "left_semi")
     for r in range(1, rounds + 1):
-        comp = components(scratch, links, f"parts-{r}", steps=2)
+        links = _stars(scratch, links, f"parts-{r}", steps=2)
+        comp = _smallest(links)
+        links = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
         labelled = rest.select("key", "node", "short").join(comp, "node", "left").select(
             "key", "node", "short", F.coalesce("comp", "node").alias("label"))
         rest = scratch.save(_open(labelled), f"open-{r}")
@@ -126,9 +145,10 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
                 or (before is not None and left["cross"] > 0.9 * before))
         before = left["cross"]
         if not last:
-            new = rest.join(_pivots(rest), "key").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            led = scratch.save(rest.join(_pivots(rest), "key"), f"led-{r}")
+            new, rest = _with_pivot(led), _followers(led)
         else:
-            new = pairs_left(rest) if pairs_left else _pairs_left(rest, bounds, many)
+            new = pairs_left(rest) if pairs_left else _pairs_left(rest, bounds, many, alike)
         fresh = scratch.save(_ordered(new).join(tested, ["a", "b"], "left_anti"), f"pairs-{r}")
         links = links.union(scratch.save(verify(fresh), f"links-{r}"))
         if last:
@@ -137,12 +157,29 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
     return scratch.save(components(scratch, links, "components"), "linked")
 
 
+def _one_of_each(buckets: DataFrame) -> DataFrame:
+    """(key) of the buckets of several nodes, of those with the same nodes the
+    smallest: sets are told apart by their ends and 64 bits of their nodes' hashes."""
+    sets = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                      F.bit_xor(F.xxhash64("node")).alias("x"))
+    return sets.where("lo < hi").groupBy("lo", "hi", "x").agg(F.min("key").alias("key")).select("key")
+
+
+def _with_pivot(led: DataFrame) -> DataFrame:
+    return led.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def _followers(led: DataFrame) -> DataFrame:
+    """The rows of buckets without their pivots, whose pairs are all tested."""
+    return led.where("node <> pivot").select("key", "node", "short")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .where("a <> b").distinct())
 
 
-def _pairs_left(rest: DataFrame, bounds: DataFrame, many: bool) -> DataFrame:
+def _pairs_left(rest: DataFrame, bounds: DataFrame, many: bool, alike: bool) -> DataFrame:
     """Pairs (a, b) of different labels in a bucket that the bounds leave."""
     one = full = rest.join(bounds, "node")
     columns = ["key", "node", "label", "n", "s", "rest"]
@@ -159,7 +196,7 @@ def _pairs_left(rest: DataFrame, bounds: DataFrame, many: bool) -> DataFrame:
                    "and 9 * (size(array_intersect(keys, keys2)) + greatest(rest, rest2)) >= 4 * (n + n2)")
         order = "node < node2"
     else:
-        one = full.where("short")
+        one = full if alike else full.where("short")         # the same on both sides is dealt out once
         order = "(n < n2 or n = n2 and node <> node2)"
     two = full.select("key", *(F.col(c).alias(f"{c}2") for c in columns if c != "key"))
     return (one.select(*columns).join(two, "key").where(f"{order} and label <> label2 and {needed}")

@@ -31,11 +31,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import clusters
 from .common import Scratch, fixed_bitmap, in_bitmap, in_slices
@@ -49,7 +47,7 @@ MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB
 SIMILARITY = 0.8
 SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each n-gram
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
-_SIGNED = 1 << 19                # characters signed together: 2 MB a hash function, few calls a line
+_SIGNED = 1 << 16                # characters signed together: two blocks of hashes stay in the cache
 _ROWS = 1024                     # rows written or compared together
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIERS[61]).astype(np.uint32) | np.uint32(1)
@@ -60,6 +58,10 @@ _G = [(m >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for m in MULTIPLIERS
 _UNEVEN = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)) + ("  ",)
 
 
+#: A character that no line of blanks has.
+_NOT_BLANK = "[^" + "".join(f"\\x{{{ord(x):x}}}" for x in (*_UNEVEN[:-1], "\n", " ")) + "]"
+
+
 def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
@@ -247,12 +249,13 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def equal_lines(batches):
         for batch in batches:
-            yield batch.filter(pa.array(met_twice(batch)))
+            nodes, first = np.unique(batch.column("node").to_numpy(), return_index=True)
+            yield batch.take(pa.array(first[in_bitmap(again.value, nodes.view(np.uint64))]))
 
     # equal lines are one node, whose bands count once
     signed_nodes = lines.select("node", "bands")
     merged = scratch.save(signed_nodes.mapInArrow(equal_lines, signed_nodes.schema)
-                          .groupBy("node").agg(F.first("bands").alias("bands")), "merged")
+                          .repartition("node").groupBy("node").agg(F.first("bands").alias("bands")), "merged")
     nodes = (signed_nodes.withColumn("merged", F.lit(False))
              .union(merged.withColumn("merged", F.lit(True))))
 
@@ -297,7 +300,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         candidates["lines"] = scratch.save(
             rows.select("text").mapInArrow(run, "node long, line string")
-            .groupBy("node").agg(F.first("line").alias("line")), "candidates")
+            .repartition("node").groupBy("node").agg(F.first("line").alias("line")), "candidates")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches):
@@ -341,7 +344,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         return chosen.mapInArrow(run, "node long, n long, s long, rest long, sketch array<long>")
 
-    groups = clusters.link_components(scratch, buckets, verify, prepare, limits, limits_known=False)
+    groups = clusters.link_components(scratch, buckets, verify, prepare, limits, alike=True)
     in_groups = spark.sparkContext.broadcast(fixed_bitmap(groups, "node"))
 
     def met_again(batches):
@@ -379,30 +382,20 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
         drops = F.broadcast(drops)
     hashed = docs.withColumn(f"t_{tag}", F.xxhash64(F.col(text)))
     joined = hashed.join(drops, hashed[key].eqNullSafe(drops[k]) & (hashed[f"t_{tag}"] == drops[h]), "left")
-    columns = docs.columns
+    columns, whole, gone = docs.columns, hashed[text], F.col(d)
     place = columns.index(text)
-    extra = [T.StructField(f"n_{tag}", T.LongType()), T.StructField(f"r_{tag}", T.LongType())]
-    schema = T.StructType(docs.schema.fields + extra)
-
-    def rewrite(batches):
-        for batch in batches:
-            whole, drops = batch.column(place), batch.column(len(columns))
-            total = pc.fill_null(pc.add(pc.count_substring(whole, "\n").cast(pa.int64()), 1), 0)
-            texts, keep, hit = [], np.ones(batch.num_rows, bool), pc.and_(whole.is_valid(), drops.is_valid())
-            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))     # the other texts stay as they are
-            for i in at.tolist():
-                t, gone = whole[i].as_py(), set(drops[i].as_py())
-                left = [x for j, x in enumerate(t.split("\n")) if j not in gone]
-                texts.append("\n".join(left))
-                keep[i] = not (drop_emptied and not any(map(normalise, left)))
-            if texts:
-                whole = pc.replace_with_mask(whole, hit, pa.array(texts, whole.type))
-            arrays = [batch.column(i) if i != place else whole for i in range(len(columns))]
-            arrays += [total, pc.fill_null(pc.list_value_length(drops).cast(pa.int64()), 0)]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=[*columns, f"n_{tag}", f"r_{tag}"]).filter(pa.array(keep))
-
-    out = joined.select(*[hashed[c] for c in columns], d).mapInArrow(rewrite, schema)
+    if drop_emptied:                                             # a removed line is never blank
+        filled = F.filter(F.split(whole, "\n"), lambda x: x.rlike(_NOT_BLANK))
+        joined = joined.where(gone.isNull() | (F.size(filled) > F.size(gone)))
+    # split once: the array of one binds the lines to a name
+    left = F.transform(F.array(F.split(whole, "\n")), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n"))[0]
+    total = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    out = joined.select(
+        *[F.when(gone.isNull(), whole).otherwise(left).alias(c) if i == place else hashed[c]
+          for i, c in enumerate(columns)],
+        F.coalesce(total, F.lit(0)).cast("long").alias(f"n_{tag}"),
+        F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias(f"r_{tag}"))
     if counts:
         return out.withColumnsRenamed({f"n_{tag}": counts[0], f"r_{tag}": counts[1]})
     return out.drop(f"n_{tag}", f"r_{tag}")
