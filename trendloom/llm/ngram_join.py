@@ -37,7 +37,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import clusters
-from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array, texts_of
+from .common import Scratch, fixed_bitmap, in_bitmap, in_slices, list_array
 from .hashing import MULTIPLIERS, WordHashes, mix, shingles, signed, tag
 from .repeats import repeat_bitmaps
 
@@ -131,28 +131,31 @@ def _signatures(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray]) -> Data
     def run(batches):
         words, (repeated, long) = WordHashes(), shared.value
         for batch in batches:
-            nodes, sizes, elsewhere_n, short, long_entries, prefixes, small = [], [], [], [], [], [], []
-            for text in texts_of(batch):
-                s = text_set(words, text)
-                n, p = len(s), prefix_length(len(s))
-                elsewhere = s[in_bitmap(repeated, s)] if n else s
-                hot = in_bitmap(long, elsewhere)
-                # rarest first: those of this set alone, then short lists, then long ones
-                order = np.concatenate((elsewhere[~hot], elsewhere[hot]))
-                order = order[:max(0, p - (n - len(elsewhere)))] if 5 * len(elsewhere) >= 4 * n else s[:0]
-                elsewhere_n.append(len(elsewhere))
-                short.append(max(0, len(elsewhere) + 1 + (-8 * n // 9)))
-                nodes.append(_node(s) if n else None)
-                sizes.append(n)
-                long_entries.append(max(0, len(order) - int((~hot).sum())))
-                prefixes.append(signed(order))
-                small.append(signed(s) if n <= LARGEST_LIGHT else signed(s[:0]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(elsewhere_n, pa.int64()), pa.array(short, pa.int64()),
-                 pa.array(long_entries, pa.int64()), list_array(prefixes, pa.int64()),
-                 list_array(small, pa.int64())],
-                names=["doc_id", "node", "n", "s", "short", "long_entries", "prefix", "small"])
+            at = 0
+            for texts in in_slices(batch):                   # written slice by slice: only one is held
+                nodes, sizes, elsewhere_n, short, long_entries, prefixes, small = [], [], [], [], [], [], []
+                for text in texts:
+                    s = text_set(words, text)
+                    n, p = len(s), prefix_length(len(s))
+                    elsewhere = s[in_bitmap(repeated, s)] if n else s
+                    hot = in_bitmap(long, elsewhere)
+                    # rarest first: those of this set alone, then short lists, then long ones
+                    order = np.concatenate((elsewhere[~hot], elsewhere[hot]))
+                    order = order[:max(0, p - (n - len(elsewhere)))] if 5 * len(elsewhere) >= 4 * n else s[:0]
+                    elsewhere_n.append(len(elsewhere))
+                    short.append(max(0, len(elsewhere) + 1 + (-8 * n // 9)))
+                    nodes.append(_node(s) if n else None)
+                    sizes.append(n)
+                    long_entries.append(max(0, len(order) - int((~hot).sum())))
+                    prefixes.append(signed(order))
+                    small.append(signed(s) if n <= LARGEST_LIGHT else signed(s[:0]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                     pa.array(elsewhere_n, pa.int64()), pa.array(short, pa.int64()),
+                     pa.array(long_entries, pa.int64()), list_array(prefixes, pa.int64()),
+                     list_array(small, pa.int64())],
+                    names=["doc_id", "node", "n", "s", "short", "long_entries", "prefix", "small"])
+                at += len(texts)
 
     return docs.mapInArrow(run, f"doc_id {kind}, node long, n long, s long, short long, long_entries long, "
                                 "prefix array<long>, small array<long>")
@@ -199,9 +202,9 @@ def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
         def run(batches):
             words, bits, met = WordHashes(), wanted.value, set()
-            for batch in batches:
+            for texts in chain.from_iterable(map(in_slices, batches)):
                 found, members = [], []
-                for t in texts_of(batch):
+                for t in texts:
                     s = text_set(words, t)
                     node = _node(s)
                     if len(s) and node not in met and in_bitmap(bits, np.array([node]).view(np.uint64))[0]:
