@@ -54,6 +54,14 @@ def _star_step(edges: DataFrame) -> DataFrame:
     return _largest_first(small)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, which has none: a further step changes nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b); comp is the smallest node."""
     return _smallest(_stars(scratch, edges, name))
@@ -66,14 +74,8 @@ def _stars(scratch: Scratch, edges: DataFrame, name: str, steps: int | None = No
     ``steps`` only so many, where a component may still be in several parts.
     """
     current = scratch.save(_largest_first(edges), f"{name}-0")
-    state, step = None, 0
-    while step != steps:
-        if steps is None:
-            marks = current.agg(F.count("*").alias("n"),
-                                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-            if (marks["n"], marks["h"]) == state or not marks["n"]:
-                break
-            state = (marks["n"], marks["h"])
+    step = 0
+    while step != steps and (steps is not None or not _are_stars(current)):
         step += 1
         current = scratch.save(_star_step(current), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
@@ -89,8 +91,10 @@ def _smallest(stars: DataFrame) -> DataFrame:
 
 def _pivots(shared: DataFrame) -> DataFrame:
     """(key, pivot): of each bucket, the node with the most neighbours in all."""
-    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
-    weight = sized.groupBy("node").agg(F.sum("n").alias("w"))
+    sized = shared                                           # may have its buckets' sizes
+    if "size" not in shared.columns:
+        sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key")
+    weight = sized.groupBy("node").agg(F.sum("size").alias("w"))
     return (shared.join(weight, "node").groupBy("key")
             .agg(F.max(F.struct("w", "node")).alias("p")).select("key", F.col("p.node").alias("pivot")))
 
@@ -112,8 +116,9 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
     buckets that hold the same nodes one is kept.
     """
     if alike:
-        ends = _one_of_each(buckets)
-        shared = scratch.save(buckets.join(ends, "key"), "shared")
+        # dealt out once, for both sides of the join
+        dealt = buckets.where("key is not null").select("key", "node").repartition("key")
+        shared = scratch.save(dealt.join(_one_of_each(dealt), "key").withColumn("short", F.lit(True)), "shared")
     else:
         ends = (buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
                 .where("lo < hi").select("key"))
@@ -158,11 +163,11 @@ def link_components(scratch: Scratch, buckets: DataFrame, verify: Callable[[Data
 
 
 def _one_of_each(buckets: DataFrame) -> DataFrame:
-    """(key) of the buckets of several nodes, of those with the same nodes the
-    smallest: sets are told apart by their ends and 64 bits of their nodes' hashes."""
+    """(key, size) of the buckets of several nodes, of those with the same nodes the
+    smallest: sets are told apart by their ends, sizes and 64 bits of their nodes' hashes."""
     sets = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                      F.bit_xor(F.xxhash64("node")).alias("x"))
-    return sets.where("lo < hi").groupBy("lo", "hi", "x").agg(F.min("key").alias("key")).select("key")
+                                      F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("size"))
+    return sets.where("lo < hi").groupBy("lo", "hi", "x", "size").agg(F.min("key").alias("key")).select("key", "size")
 
 
 def _with_pivot(led: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ GRAM = SHORT_GRAM = 5
 BANDS, ROWS = 23, 7              # 7: unrelated lines share some 5-grams, with 6 ten times as many would meet
 MAX_BROADCAST = (250_000, 2_000_000)   # documents, lines to remove: under 30 MB; beyond, a shuffle join
 SIMILARITY = 0.8
-SKETCH = 4096                    # bits that stand for a line's set in bounds on pairs: several for each n-gram
+SKETCH = 4096                    # bits that stand for a line's set unless told otherwise: several for each n-gram
+SENT = 1024                      # bits of those that joins of pairs carry: more than most sets' n-grams
+KEPT = 5                         # bytes written of a band's key: with the band's number, 2**-40 for two to clash
 _BLOCK = 1 << 16                 # characters hashed together: stays in the cache
 _SIGNED = 1 << 16                # characters signed together: two blocks of hashes stay in the cache
 _ROWS = 1024                     # rows written or compared together
@@ -137,15 +139,15 @@ def _block_keys(lines: list[str], gram: int) -> np.ndarray:
     return keys
 
 
-def sketches(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """int64[set, SKETCH // 64] of sets of ``sizes`` n-grams, one after the other: a
+def sketches(grams: np.ndarray, sizes: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """int64[set, bits // 64] of sets of ``sizes`` n-grams, one after the other: a
     bit for each n-gram's cell.  A bit that only one of two sketches has set stands
     for an n-gram that only one of the sets holds."""
-    cells = grams >> np.uint64(65 - SKETCH.bit_length())
-    words = np.zeros(len(sizes) * (SKETCH // 64), dtype=np.uint64)
-    at = np.repeat(np.arange(len(sizes)) * (SKETCH // 64), sizes) + (cells >> np.uint64(6)).astype(np.int64)
+    cells = grams >> np.uint64(65 - bits.bit_length())
+    words = np.zeros(len(sizes) * (bits // 64), dtype=np.uint64)
+    at = np.repeat(np.arange(len(sizes)) * (bits // 64), sizes) + (cells >> np.uint64(6)).astype(np.int64)
     np.bitwise_or.at(words, at, np.uint64(1) << (cells & np.uint64(63)))
-    return signed(words).reshape(len(sizes), SKETCH // 64)
+    return signed(words).reshape(len(sizes), bits // 64)
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -180,19 +182,37 @@ def linked(a: list[str], b: list[str], gram: int = GRAM) -> list[bool]:
     return out
 
 
-def packed(rows: np.ndarray) -> pa.BinaryArray:
-    """The rows of a matrix of 64-bit values as one binary value each."""
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * 8)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+def packed(values: np.ndarray, lengths: list[int] | np.ndarray) -> pa.BinaryArray:
+    """The rows of an array as binary values, ``lengths`` rows in each."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(np.asarray(lengths, dtype=np.int64) * (values.itemsize * values[:1].size), out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths),
+                                 [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def unpacked(column: pa.BinaryArray) -> np.ndarray:
-    """The 64-bit values of packed rows, one after the other."""
-    _, offsets, data = column.buffers()
+def unpacked(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of packed rows, one after the other; the bytes in each row)"""
     if not len(column):
-        return np.empty(0, np.int64)
-    at = np.frombuffer(offsets, dtype=np.int32)[[column.offset, column.offset + len(column)]]
-    return np.frombuffer(data, dtype=np.uint8)[at[0]:at[1]].view(np.int64)
+        return np.empty(0, kind), np.empty(0, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8)[at[0]:at[-1]].view(kind), np.diff(at)
+
+
+def kept_bytes(keys: np.ndarray) -> np.ndarray:
+    """uint8[line, BANDS * KEPT] of :func:`band_keys`: the upper KEPT bytes of each key."""
+    high = keys.view(np.uint64) >> np.uint64(64 - 8 * KEPT)
+    rows = np.empty((len(keys), BANDS * KEPT), dtype=np.uint8)
+    rows[:, :4 * BANDS] = (high >> np.uint64(8)).astype("<u4").view(np.uint8)
+    rows[:, 4 * BANDS:] = high.astype(np.uint8)
+    return rows
+
+
+def kept_keys(rows: np.ndarray) -> np.ndarray:
+    """uint64[line, BANDS]: the bytes that were kept, then zeros and the band's number."""
+    keys = np.ascontiguousarray(rows[:, :4 * BANDS]).view("<u4").astype(np.uint64) << np.uint64(32)
+    keys |= rows[:, 4 * BANDS:].astype(np.uint64) << np.uint64(24)
+    return keys | np.arange(BANDS, dtype=np.uint64)
 
 
 def _node(line: str) -> int:
@@ -222,66 +242,99 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for batch in batches:
             i = 0
             for texts in in_slices(batch):                   # written slice by slice: only one is held
-                row, pos, nodes, lines = [], [], [], []
+                row, sizes, pos, nodes, lines = [], [], [], [], []
                 for t in texts:
-                    for p, n in _eligible(t, min_chars):
+                    found = _eligible(t, min_chars)
+                    for at in range(0, len(found), _ROWS):   # a document's lines are one row, or some
                         row.append(i)
+                        sizes.append(len(found[at:at + _ROWS]))
+                    for p, n in found:
                         pos.append(p)
                         nodes.append(_node(n))
                         lines.append(n)
                     i += 1
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").take(take), batch.column("h").take(take), pa.array(pos, pa.int32()),
-                     pa.array(nodes, pa.int64()), packed(band_keys(lines, gram))],
-                    names=["k", "h", "pos", "node", "bands"])
+                    [batch.column("k").take(take), batch.column("h").take(take),
+                     packed(np.array(pos, dtype=np.int32), sizes), packed(np.array(nodes, dtype=np.int64), sizes),
+                     packed(kept_bytes(band_keys(lines, gram)), sizes)],
+                    names=["k", "h", "pos", "nodes", "bands"])
 
     lines = scratch.save(rows.mapInArrow(
-        signatures, f"k {kind}, h long, pos int, node long, bands binary"), "lines")
+        signatures, f"k {kind}, h long, pos binary, nodes binary, bands binary"), "lines")
+
+    def nodes_of(batch):
+        return unpacked(batch.column("nodes"), np.uint64)[0]
+
+    def bands_of(batch):
+        return unpacked(batch.column("bands"), np.uint8)[0].reshape(-1, BANDS * KEPT)
+
     def node_hashes(batch):
-        yield batch.column("node").to_numpy().view(np.uint64)
+        yield nodes_of(batch)
 
     again = spark.sparkContext.broadcast(                             # 8 MB: nodes met twice
-        repeat_bitmaps(lines.select("node"), node_hashes, (2,))[2][0])
-
-    def met_twice(batch):
-        return in_bitmap(again.value, batch.column("node").to_numpy().view(np.uint64))
+        repeat_bitmaps(lines.select("nodes"), node_hashes, (2,))[2][0])
 
     def equal_lines(batches):
         for batch in batches:
-            nodes, first = np.unique(batch.column("node").to_numpy(), return_index=True)
-            yield batch.take(pa.array(first[in_bitmap(again.value, nodes.view(np.uint64))]))
+            nodes, first = np.unique(nodes_of(batch), return_index=True)
+            met = in_bitmap(again.value, nodes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(nodes[met])), packed(bands_of(batch)[first[met]], np.ones(met.sum(), np.int64))],
+                names=["node", "bands"])
+
+    def in_rows(batches):
+        for batch in batches:
+            nodes, bands = batch.column("node").to_numpy(), unpacked(batch.column("bands"), np.uint8)[0]
+            sizes = [len(nodes[at:at + _ROWS]) for at in range(0, len(nodes), _ROWS)]
+            yield pa.RecordBatch.from_arrays(
+                [packed(nodes, sizes), packed(bands.reshape(-1, BANDS * KEPT), sizes)], names=["nodes", "bands"])
 
     # equal lines are one node, whose bands count once
-    signed_nodes = lines.select("node", "bands")
-    merged = scratch.save(signed_nodes.mapInArrow(equal_lines, signed_nodes.schema)
-                          .repartition("node").groupBy("node").agg(F.first("bands").alias("bands")), "merged")
+    signed_nodes = lines.select("nodes", "bands")
+    merged = scratch.save(signed_nodes.mapInArrow(equal_lines, "node long, bands binary")
+                          .repartition("node").groupBy("node").agg(F.first("bands").alias("bands"))
+                          .mapInArrow(in_rows, signed_nodes.schema), "merged")
     nodes = (signed_nodes.withColumn("merged", F.lit(False))
              .union(merged.withColumn("merged", F.lit(True))))
 
     def each_once(batch):
-        """The batch's nodes, those met twice from the merged rows only."""
-        return batch.filter(pa.array(batch.column("merged").to_numpy(zero_copy_only=False) | ~met_twice(batch)))
+        """The nodes and their keys, those met twice from the merged rows only, some rows at a time."""
+        for at in range(0, batch.num_rows, _ROWS):
+            some = batch.slice(at, _ROWS)
+            nodes, sizes = unpacked(some.column("nodes"), np.uint64)
+            once = np.repeat(some.column("merged").to_numpy(zero_copy_only=False), sizes // 8) | ~in_bitmap(again.value, nodes)
+            yield nodes[once], kept_keys(bands_of(some)[once]).ravel()
 
     def band_hashes(batch):
-        yield unpacked(each_once(batch).column("bands")).view(np.uint64)
+        for _, keys in each_once(batch):
+            yield keys
 
     repeated = spark.sparkContext.broadcast(                          # 8 MB: bands of several nodes
         repeat_bitmaps(nodes, band_hashes, (2,))[2][0])
 
     def screened(batches):
-        bits = repeated.value
-        for batch in map(each_once, batches):
-            bands = unpacked(batch.column("bands"))
-            at = np.flatnonzero(in_bitmap(bits, bands.view(np.uint64)))
+        for nodes, keys in chain.from_iterable(map(each_once, batches)):
+            at = np.flatnonzero(in_bitmap(repeated.value, keys))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bands[at]), batch.column("node").take(pa.array(at // BANDS))], names=["key", "node"])
+                [pa.array(signed(keys[at])), pa.array(signed(nodes[at // BANDS]))], names=["key", "node"])
 
     # a band of one node alone needs no bucket
     buckets = scratch.save(nodes.mapInArrow(screened, "key long, node long"), "buckets").withColumn(
         "short", F.lit(True))
     candidates: dict[str, DataFrame] = {}
 
+    def of_nodes(nodes: DataFrame) -> DataFrame:
+        """The candidates among ``nodes``, and some more by chance: nothing is shuffled."""
+        wanted = spark.sparkContext.broadcast(fixed_bitmap(nodes, "node"))
+
+        def run(batches):
+            for batch in batches:
+                nodes = batch.column("node").to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(in_bitmap(wanted.value, nodes)))
+
+        return candidates["lines"].mapInArrow(run, candidates["lines"].schema)
+
     def prepare(nodes: DataFrame) -> None:
         """The normalised lines of the nodes that share a bucket."""
         wanted = spark.sparkContext.broadcast(fixed_bitmap(nodes, "node"))
@@ -301,6 +354,7 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         candidates["lines"] = scratch.save(
             rows.select("text").mapInArrow(run, "node long, line string")
             .repartition("node").groupBy("node").agg(F.first("line").alias("line")), "candidates")
+        candidates["first"] = candidates["lines"]
 
     def verify(pairs: DataFrame) -> DataFrame:
         def run(batches):
@@ -309,14 +363,17 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["a", "b"])
 
-        a = candidates["lines"].select(F.col("node").alias("a"), F.col("line").alias("la"))
-        b = candidates["lines"].select(F.col("node").alias("b"), F.col("line").alias("lb"))
+        # the first pairs, with pivots, hold all candidates, later ones few
+        lines = candidates.pop("first", None) or of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        a = lines.select(F.col("node").alias("a"), F.col("line").alias("la"))
+        b = lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
     def limits(nodes: DataFrame) -> DataFrame:
         """Sizes of the lines' sets, how many of their n-grams several of these
-        lines hold (bands say nothing about the rest), and their sketches."""
-        chosen = scratch.save(candidates["lines"].join(nodes, "node"), "limited")
+        lines hold (bands say nothing about the rest), and their sketches.  Lines
+        that the bitmap lets through by chance may only raise the second."""
+        chosen = scratch.save(of_nodes(nodes), "limited")
 
         def blocks_of(batch):
             """(block of the batch's rows, their sets one after the other, the sets' sizes)"""
@@ -337,8 +394,8 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             for block, grams, n in chain.from_iterable(map(blocks_of, batches)):
                 s = pa.array(np.add.reduceat(in_bitmap(bits, grams).astype(np.int64), np.cumsum(n) - n))
                 marks = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(SKETCH // 64)),
-                    pa.array(sketches(grams, n).ravel()))
+                    pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(SENT // 64)),
+                    pa.array(sketches(grams, n, SENT).ravel()))
                 yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(n, pa.int64()), s, s, marks],
                                                  names=["node", "n", "s", "rest", "sketch"])
 
@@ -348,14 +405,18 @@ def line_drops(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     in_groups = spark.sparkContext.broadcast(fixed_bitmap(groups, "node"))
 
     def met_again(batches):
-        bits, members = again.value, in_groups.value
         for batch in batches:
-            node = batch.column("node").to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(in_bitmap(bits, node) | in_bitmap(members, node)))
+            nodes, sizes = unpacked(batch.column("nodes"), np.uint64)
+            keep = np.flatnonzero(in_bitmap(again.value, nodes) | in_bitmap(in_groups.value, nodes))
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes // 8)[keep])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k").take(row), batch.column("h").take(row),
+                 pa.array(unpacked(batch.column("pos"), np.int32)[0][keep]), pa.array(signed(nodes[keep]))],
+                names=["k", "h", "pos", "node"])
 
     # a line that occurs once and is in no group stays
-    places = lines.select("k", "h", "pos", "node")
-    places = scratch.save(scratch.save(places.mapInArrow(met_again, places.schema), "places")
+    places = lines.select("k", "h", "pos", "nodes").mapInArrow(met_again, f"k {kind}, h long, pos int, node long")
+    places = scratch.save(scratch.save(places, "places")
                           .join(groups, "node", "left").select(
         F.struct("k", "h", "pos").alias("place"), F.coalesce("comp", "node").alias("label")), "labelled")
     # written, so that AQE splits the join where a line is repeated very often
