@@ -1,9 +1,13 @@
 """What the operators hold at once and write in between."""
 
+import zlib
+from types import SimpleNamespace
+
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from trendloom.llm import clusters, common, line_dedup, ngram_join
+from trendloom.llm import clusters, common, line_dedup, ngram_join, packing
 
 
 class Rows:
@@ -98,3 +102,24 @@ def test_stars_take_no_further_step(spark):
         got = clusters.components(scratch, spark.createDataFrame(pairs, "a long, b long"), "c")
         assert {r.node: r.comp for r in got.collect()} == want
         assert (names == ["c-0"]) == stars
+
+
+def test_a_worker_keeps_few_words_between_packing_tasks(monkeypatch):
+    """The others go; the ids are those of a whole encoding."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing._tokens.cache_clear()
+    monkeypatch.setattr(packing, "_KEPT_WORDS", 500, raising=False)
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 2_000)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = ["the first words " + " ".join(f"w{i}x{j}" for j in range(900)) for i in range(8)]
+    made = []
+    for some in (texts[:4], texts[4:]):                            # two tasks of one worker
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(some)], names=["doc_id", "text"])
+        made += pa.Table.from_batches(list(packing._pieces(path, 1 << 20)([batch]))).to_pylist()
+        kept = packing._tokens(path)
+        assert "" in kept and len(kept) <= 500
+    whole = kept.tokenizer
+    for row, text in zip(made, texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, packing.CLOSING_ID], dtype="<u4")
+        assert (row["length"], row["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    packing._tokens.cache_clear()

@@ -39,11 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_slices
+from .common import Scratch, in_slices, release_unused
 
 CAPACITY = 4096
 CLOSING_ID = 1
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 200_000
+_KEPT_WORDS = 50_000             # after a task; those of the first texts: frequent ones are among them
 _TOGETHER = 256                  # words encoded as one text, full stops between them
 _LONGEST_CACHED = 48
 #: Between a letter or digit and a mark after it.  Only letters that normalising
@@ -84,8 +85,7 @@ class WordTokens(dict):
     def learn(self, words: set[str]) -> None:
         """Encode the new words of some texts in one call."""
         if len(self) > _CACHED_WORDS:
-            self.clear()
-            self[""] = b""
+            self.forget()
         new = [w for w in words.difference(self) if len(w) <= _LONGEST_CACHED]
         plain = [w for w in new if w.isalnum()]                       # none holds a full stop
         groups = [plain[i:i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
@@ -102,6 +102,11 @@ class WordTokens(dict):
         for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self[word] = array("I", e.ids).tobytes()
 
+    def forget(self) -> None:
+        """Keep the words met first."""
+        while len(self) > _KEPT_WORDS:
+            self.popitem()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         parts = [self.split(t) for t in texts]
         self.learn(set().union(*parts))
@@ -111,7 +116,8 @@ class WordTokens(dict):
 
 @lru_cache(maxsize=1)
 def _tokens(path: str) -> WordTokens:
-    """One per worker process, kept from task to task."""
+    """One per worker process, kept from task to task, as other operators' tasks
+    run beside it."""
     return WordTokens(path)
 
 
@@ -141,6 +147,8 @@ def _pieces(path: str, capacity: int):
                  pa.array(out["length"], pa.int64()), pa.array(out["crc"], pa.int64()),
                  pa.array([task] * len(out["row"]), pa.int32()), pa.array(out["rank"], pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank"])
+        tokens.forget()
+        release_unused()
     return run
 
 
